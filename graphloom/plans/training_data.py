@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.operators.nested_flatten import nested_items
+from graphloom.operators.schema_drift import schema_changes
 from graphloom.operators.snapshot_changes import snapshot_changes
 from graphloom.operators.top_per_group import top_per_group
 from graphloom.sources.tables import table
@@ -17,4 +19,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_per_group(table(spark, folder, "risk_hotspots"), "project", "subject_id", "score", "scored_at")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return nested_items(table(spark, folder, "project_runs"), table(spark, folder, "analysis_runs"), table(spark, folder, "conversation_turns"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return schema_changes(table(spark, folder, "export_files"), table(spark, folder, "project_runs"), table(spark, folder, "conversation_turns"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found}

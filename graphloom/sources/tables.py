@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.session import ship
+
 
 def table(spark: SparkSession, folder: str, name: str, columns: Sequence[str] = ()) -> DataFrame:
     """``<folder>/<name>.parquet``, a file or a directory; extra columns are left out when ``columns`` is given."""
+    ship(spark)
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
