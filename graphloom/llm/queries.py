@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm.conversations import rebuilt, sender_clocks, turns
 from graphloom.llm.encode import token_ids
 from graphloom.llm.leakage import leaks
+from graphloom.llm.pairs import defective_pairs
 from graphloom.llm.segments import fit_profiles, language_segments, mislabelled
 from graphloom.sources.tables import table
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return defective_pairs(table(spark, folder, "ask_log"), table(spark, folder, "conversation_turns"), table(spark, folder, "documents"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return rebuilt(table(spark, folder, "conversation_messages"))
 
@@ -36,5 +41,5 @@ def p9_languages(spark: SparkSession, folder: str) -> DataFrame:
     return language_segments(documents, fit_profiles(documents)).select("doc_id", "segment", "lang", "confidence")
 
 
-QUERIES = {"p5_found": p5_found, "p5_clocks": p5_clocks, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_languages": p9_languages}
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_clocks": p5_clocks, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_languages": p9_languages}
 SQL: dict[str, str] = {}
