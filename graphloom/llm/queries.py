@@ -12,8 +12,13 @@ from graphloom.llm.segments import fit_profiles, language_segments, mislabelled
 from graphloom.sources.tables import table
 
 
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents", ["doc_id", "text", "lang"], spread=True)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return defective_pairs(table(spark, folder, "ask_log"), table(spark, folder, "conversation_turns"), table(spark, folder, "documents"))
+    asks = table(spark, folder, "ask_log", ["ask_id", "turn_id", "question", "answer"], spread=True)
+    return defective_pairs(asks, table(spark, folder, "conversation_turns"), _labelled(spark, folder))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,19 +30,19 @@ def p5_clocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return token_ids(table(spark, folder, "documents"))
+    return token_ids(table(spark, folder, "documents", ["doc_id", "text"], spread=True))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leaks(table(spark, folder, "documents", ["doc_id", "text"], spread=True), table(spark, folder, "eval_items"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return mislabelled(table(spark, folder, "documents"))
+    return mislabelled(_labelled(spark, folder))
 
 
 def p9_languages(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    documents = _labelled(spark, folder)
     return language_segments(documents, fit_profiles(documents)).select("doc_id", "segment", "lang", "confidence")
 
 
