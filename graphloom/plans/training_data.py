@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.operators.nested_flatten import nested_items
-from graphloom.operators.schema_drift import schema_changes
+from graphloom.operators.schema_drift import consistent_table, failed_casts, schema_changes
 from graphloom.operators.snapshot_changes import snapshot_changes
 from graphloom.operators.top_per_group import top_per_group
 from graphloom.sources.tables import table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return snapshot_changes(table(spark, folder, "analysis_runs"), table(spark, folder, "project_runs"))
+    runs = table(spark, folder, "project_runs", ["analysis_run_id", "position", "project", "value_json", "received_at"], spread=True)
+    return snapshot_changes(table(spark, folder, "analysis_runs"), runs)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,4 +28,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return schema_changes(table(spark, folder, "export_files"), table(spark, folder, "project_runs"), table(spark, folder, "conversation_turns"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found}
+def p6_table(spark: SparkSession, folder: str) -> DataFrame:
+    return consistent_table(table(spark, folder, "export_files"), table(spark, folder, "project_runs"), table(spark, folder, "conversation_turns"))
+
+
+def p6_casts(spark: SparkSession, folder: str) -> DataFrame:
+    return failed_casts(p6_table(spark, folder))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_table": p6_table, "p6_casts": p6_casts}

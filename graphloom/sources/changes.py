@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.session import ship
@@ -92,17 +92,15 @@ def change_log(lines: DataFrame) -> DataFrame:
 
     Contributors are pseudonymised by SHA-256. ``id`` numbers the lines; each row takes the last header before it.
     """
-    from pyspark.sql import Window
-
     parts = F.split("value", "\t")
     header = F.col("value").startswith("@")
     marked = lines.withColumn("header", F.when(header, F.struct(F.substring(parts[0], 2, 100).alias("commit"), parts[1].alias("timestamp"), F.sha2(F.lower(parts[2]), 256).alias("contributor_id"))))
     block = F.floor(F.col("id") / 100_000)
     own = marked.withColumn("own", F.last("header", True).over(Window.partitionBy(block).orderBy("id")))
-    # headers reach over the blocks' edges by the last header of all earlier blocks
-    edges = marked.where("header is not null").groupBy(block.alias("b")).agg(F.max_by("header", "id").alias("h"))
-    carried = edges.withColumn("carried", F.lead("b").over(Window.orderBy("b")))
-    joined = own.withColumn("b", block).join(F.broadcast(carried), (F.col("own").isNull()) & (F.col("b") > carried["b"]) & (F.col("b") <= F.coalesce(carried["carried"], F.lit(2**62))), "left")
+    # a block without an own header so far takes the last one of the blocks before it
+    heads = marked.groupBy(block.alias("b")).agg(F.max_by("header", F.when(F.col("header").isNotNull(), F.col("id"))).alias("h"))
+    earlier = heads.select("b", F.last("h", True).over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("h"))
+    joined = own.withColumn("b", block).join(earlier, "b")
     number = F.regexp_extract("value", r"^(\d+|-)\t(\d+|-)\t(.+)$", 1)
     return joined.where(~header & (number != "")).select(
         F.coalesce("own.commit", "h.commit").alias("commit"), F.coalesce("own.timestamp", "h.timestamp").alias("timestamp"), F.coalesce("own.contributor_id", "h.contributor_id").alias("contributor_id"),
