@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import ngrams, prose, sentences, without_code
+from graphloom.llm.text import letters, ngrams, sentences, without_code, without_names
 
 #: The languages, and the spellings of their labels besides the two-letter code.
 NAMES = {
@@ -56,8 +56,8 @@ def gram_counts(sample: DataFrame, sizes: Sequence[int], buckets: int = 0) -> Da
         for batch in batches:
             for language, group in batch.groupby("language"):
                 for start in range(0, len(group), 200):
-                    texts = [prose(s) for t in group["text"].iloc[start : start + 200] for s in sentences(without_code(t))]
-                    gram, _, _ = ngrams(texts, sizes)
+                    texts = [letters(s) for t in group["text"].iloc[start : start + 200] for s in sentences(without_names(without_code(t)))]
+                    gram, _ = ngrams(texts, sizes)
                     gram, n = np.unique(gram % np.uint64(buckets) if buckets else gram, return_counts=True)
                     yield pd.DataFrame({"language": language, "gram": gram.astype(np.int64), "n": n})
 

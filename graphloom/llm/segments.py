@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.languages import LANGUAGES, SAMPLE_PER_LABEL, gram_counts, label_language, labelled_sample
-from graphloom.llm.text import chunks, is_sentence, ngrams, prose, sentences, without_code
+from graphloom.llm.text import chunks, is_sentence, letters, ngrams, sentences, without_code, without_names
 
 SIZES = (1, 2, 3, 4, 5)
 #: n-grams of each language's profile.
@@ -24,6 +24,10 @@ LEAST_MARGIN = 0.02
 WEAK_MARGIN = 0.1
 
 
+_ID_BITS = np.uint64(35)
+_ID_MASK = np.uint64((1 << 35) - 1)
+
+
 class Profiles:
     """Rank-order profiles of all languages."""
 
@@ -42,16 +46,16 @@ class Profiles:
         """Mean out-of-place distance of each text's most frequent n-grams to each profile, as a share of the worst."""
         found = np.ones((len(texts), len(LANGUAGES)))
         for start, stop in chunks(texts):
-            gram, owner, n = ngrams(texts[start:stop], SIZES)
+            gram, owner = ngrams(texts[start:stop], SIZES)
             if not len(gram):
                 continue
-            order = np.lexsort((gram, owner))
-            gram, owner, n = gram[order], owner[order], n[order]
-            first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])])
-            count = np.diff(np.r_[first, len(gram)])
-            gram, owner, n = gram[first], owner[first], n[first]
-            order = np.lexsort((gram, n, -count, owner))
-            gram, owner = gram[order], owner[order]
+            # owner (21 bits), 255 less the count (8), id (35): two sorts of plain numbers give each text's grams by rank
+            key = np.sort((owner.astype(np.uint64) << np.uint64(35)) | gram)
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            count = np.minimum(np.diff(np.r_[first, len(key)]), 255).astype(np.uint64)
+            key = key[first]
+            key = np.sort(((key >> _ID_BITS) << np.uint64(43)) | ((np.uint64(255) - count) << _ID_BITS) | (key & _ID_MASK))
+            owner, gram = (key >> np.uint64(43)).astype(np.int64), key & _ID_MASK
             begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             rank = np.arange(len(owner)) - np.repeat(begin, np.diff(np.r_[begin, len(owner)]))
             top = rank < self.size
@@ -92,7 +96,7 @@ def _segments(pieces: list[tuple[int, float]]) -> list[tuple[int, float]]:
 
 def segment_texts(texts: list[str | None], profiles: Profiles) -> list[list[tuple[str, float]]]:
     """The segments of each text as (language, confidence); empty where there is no natural language."""
-    pieces = [[(prose(s), is_sentence(s)) for s in sentences(without_code(t))] if t else [] for t in texts]
+    pieces = [[(letters(s), is_sentence(s)) for s in sentences(without_names(without_code(t)))] if t else [] for t in texts]
     unique = list({p: None for own in pieces for p, whole in own if p and whole})
     number = {p: k for k, p in enumerate(unique)}
     far = profiles.distances(unique) if unique else np.ones((0, len(LANGUAGES)))

@@ -12,7 +12,7 @@ _FENCED = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
 _SPAN = re.compile(r"`[^`\n]*`")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|<!--.*?-->", re.S)
 _LINK = re.compile(r"\b(?:https?://|www\.)\S+")
-_IDENTIFIER = re.compile(r"[A-Za-z0-9_]+(?:[._/:\\@-]+[A-Za-z0-9_]+)+|[A-Za-z]*[a-z][A-Z][A-Za-z]*|\w*\d\w*")
+_IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]*(?:[._/:\\@-]+[A-Za-z0-9_]|[0-9]|[a-z][A-Z]))[A-Za-z0-9_]+(?:[._/:\\@-]+[A-Za-z0-9_]+)*|\d+")
 _CODE_LINE = re.compile(
     r"(?m)^[ \t]*(?:\$ |#!|//|/\*|\*/|@\w|(?:def|class|public|private|protected|static|final|import|return)\b|from \S+ import\b|(?:SELECT|FROM|WHERE|GROUP BY|ORDER BY|INSERT|UPDATE|DELETE)\b"
     r"|(?:if|for|while|switch) ?\(|[{}\[\]]|\"[^\"\n]*\"[ \t]*:).*$|^.*[;{}][ \t]*$"
@@ -53,9 +53,19 @@ def is_sentence(piece: str, least_words: int = 6) -> bool:
     return len(_WORD.findall(piece)) >= least_words or len(_KANA.findall(piece)) >= 10
 
 
+def without_names(text: str) -> str:
+    """``text`` without identifiers and numbers."""
+    return _IDENTIFIER.sub(" ", text)
+
+
+def letters(text: str) -> str:
+    """The words of ``text``, lower case, one space apart."""
+    return " ".join(_LETTERS.findall(text)).lower()
+
+
 def prose(text: str) -> str:
     """The words of natural language, lower case, one space apart; identifiers and numbers are left out."""
-    return " ".join(_LETTERS.findall(_IDENTIFIER.sub(" ", text))).lower()
+    return letters(without_names(text))
 
 
 def chunks(texts: Sequence[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -70,32 +80,32 @@ def chunks(texts: Sequence[str], chars: int = 1 << 20) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
-def ngrams(texts: Sequence[str], sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All character n-grams of ``texts``: hash, the text's number, n. Words are padded by a space; none spans two words."""
+def ngrams(texts: Sequence[str], sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """All character n-grams of ``texts``: id and the text's number. Words are padded by a space; none spans two words.
+
+    An id is n and 32 bits of a hash, ``n << 32 | hash``, so ids of one text can be sorted beside its number in 64 bits.
+    """
     joined = "\0".join(f" {text} " for text in texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.cumsum(codes == 0)
-    space, cut = codes == 32, codes == 0
-    hashes, owners, lengths = [], [], []
-    for n in sizes:
+    cut, space = codes == 0, codes == 32
+    owner = np.cumsum(cut)
+    value, bad = codes.copy(), cut.copy()
+    found, owners = [], []
+    for n in range(1, max(sizes, default=0) + 1):
         last = len(codes) - n + 1
         if last <= 0:
-            continue
-        value = np.full(last, n, np.uint64)
-        bad = np.zeros(last, bool)
-        for k in range(n):
-            value = value * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + last]
-            bad |= cut[k : k + last]
-            if 0 < k < n - 1 or n == 1:
-                bad |= space[k : k + last]
-        if n == 2:
-            bad |= space[:last] & space[1 : last + 1]
-        keep = ~bad
-        value = value[keep]
-        value ^= value >> np.uint64(29)
-        hashes.append(value * np.uint64(0xBF58476D1CE4E5B9))
-        owners.append(owner[:last][keep])
-        lengths.append(np.full(len(value), n, np.int8))
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8)
-    return np.concatenate(hashes), np.concatenate(owners), np.concatenate(lengths)
+            break
+        if n > 1:
+            value = value[:last] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
+            bad = bad[:last] | cut[n - 1 :]
+        if n > 2:
+            bad |= space[n - 2 : n - 2 + last]  # a blank within
+        if n in sizes:
+            keep = ~bad & ~space if n == 1 else ~bad & ~(space[:last] & space[1 : last + 1]) if n == 2 else ~bad
+            mixed = value[keep]
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            found.append((mixed >> np.uint64(32)) | np.uint64(n << 32))
+            owners.append(owner[:last][keep])
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(found), np.concatenate(owners)

@@ -192,8 +192,9 @@ def test_text_helpers():
     assert without_code("a\r\n```\ncode\n```\nb").split() == ["a", "b"]
     assert sentences("One two. Three!\nfour。five") == ["One two.", "Three!", "four。", "five"]
     assert not is_sentence('("work in progress")') and is_sentence("Done.")
-    gram, owner, n = ngrams(["ab", "", "ab"], (1, 2))
+    gram, owner = ngrams(["ab", "", "ab"], (1, 2))
     assert sorted(owner.tolist()) == [0] * 5 + [2] * 5 and sorted(gram[owner == 0].tolist()) == sorted(gram[owner == 2].tolist())
+    assert len(ngrams(["a b"], (3,))[0]) == 2 and len(ngrams([], (1,))[0]) == 0 and len(ngrams(["", ""], (1, 2, 3))[0]) == 0
 
 
 # Pairs
