@@ -10,20 +10,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_BLANKS = " \t\r\n"
+
+
 def _closed(text: Column) -> Column:
     """The text if nothing follows its closing bracket; the JVM's reader would pass over what follows."""
-    bare = F.trim(F.regexp_replace(text, r"[\t\r\n]+$", ""))
-    opened = F.substring(F.ltrim(F.regexp_replace(text, r"^[\t\r\n]+", "")), 1, 1)
-    end = F.substring(bare, -1, 1)
-    return F.when(((opened == "{") & (end != "}")) | ((opened == "[") & (end != "]")) | ((opened == '"') & (end != '"')), None).otherwise(text)
+    bare = F.trim(text, F.lit(_BLANKS))
+    ends = F.concat(F.substring(bare, 1, 1), F.substring(bare, -1, 1))
+    return F.when(~ends.rlike(r'^[\[{"]') | ends.isin("{}", "[]", '""'), text)
 
 
 def variant(text: Column) -> Column:
     """VARIANT of a JSON text. Null for null and unreadable texts; one wrapping JSON string is taken off."""
     outer = F.try_parse_json(_closed(text))
     inner = F.try_variant_get(outer, "$", "string")
-    wrapped = F.ltrim(text).startswith('"')
-    return F.when(wrapped, F.try_parse_json(_closed(inner))).otherwise(outer)
+    return F.when(F.ltrim(text, F.lit(_BLANKS)).startswith('"'), F.try_parse_json(_closed(inner))).otherwise(outer)
 
 
 def instant(text: Column) -> Column:

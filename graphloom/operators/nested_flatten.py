@@ -190,7 +190,7 @@ def flatten(records: DataFrame, spec: Spec) -> DataFrame:
     rewrites it compactly; unreadable and null texts give no rows.
     """
     compact = records.select("record_table", "record_id", "record_position", F.to_json(variant(F.col("value"))).alias("text"))
-    return compact.where(F.col("text").isNotNull()).mapInArrow(_batches(spec), _OUT)
+    return compact.mapInArrow(_batches(spec), _OUT)  # nulls are left out there: a filter here would have each text read twice
 
 
 def _held(df: DataFrame, name: str, key: list, position, order, value: str) -> DataFrame:
