@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.languages import LANGUAGES, SAMPLE_PER_LABEL, gram_counts, label_language, labelled_sample
-from graphloom.llm.text import chunks, is_sentence, letters, ngrams, sentences, without_code, without_names
+from graphloom.llm.text import chunks, is_sentence, letters, ngrams, sentences, unwrapped, without_code, without_names
 
 SIZES = (1, 2, 3, 4, 5)
 #: n-grams of each language's profile.
@@ -22,6 +22,8 @@ LEAST_IDEOGRAMS = 4
 #: second best if that is a neighbour's language.
 LEAST_MARGIN = 0.02
 WEAK_MARGIN = 0.1
+#: Sentences of fewer letters need this margin.
+SHORT_LETTERS, SHORT_MARGIN = 24, 0.25
 
 
 _ID_BITS = np.uint64(35)
@@ -83,6 +85,11 @@ def _enough(words: str) -> bool:
     return letters >= LEAST_LETTERS or sum("぀" <= c <= "鿿" for c in words) >= LEAST_IDEOGRAMS
 
 
+def _wanted_margin(words: str) -> float:
+    short = len(words) - words.count(" ") < SHORT_LETTERS and words.isascii()
+    return SHORT_MARGIN if short else LEAST_MARGIN
+
+
 def _segments(pieces: list[tuple[int, float]]) -> list[tuple[int, float]]:
     """Stretches of one language with their mean confidence; sentences without a language join their neighbours."""
     found: list[list] = []
@@ -96,14 +103,14 @@ def _segments(pieces: list[tuple[int, float]]) -> list[tuple[int, float]]:
 
 def segment_texts(texts: list[str | None], profiles: Profiles) -> list[list[tuple[str, float]]]:
     """The segments of each text as (language, confidence); empty where there is no natural language."""
-    pieces = [[(letters(s), is_sentence(s)) for s in sentences(without_names(without_code(t)))] if t else [] for t in texts]
+    pieces = [[(letters(s), is_sentence(s)) for s in sentences(without_names(unwrapped(without_code(t))))] if t else [] for t in texts]
     unique = list({p: None for own in pieces for p, whole in own if p and whole})
     number = {p: k for k, p in enumerate(unique)}
     far = profiles.distances(unique) if unique else np.ones((0, len(LANGUAGES)))
     order = far.argsort(axis=1, kind="stable")
     near = np.take_along_axis(far, order[:, :2], axis=1)
     margin = (near[:, 1] - near[:, 0]) / np.maximum(near[:, 1], 1e-9)
-    sure = [_enough(p) and margin[k] >= LEAST_MARGIN for k, p in enumerate(unique)]
+    sure = [_enough(p) and margin[k] >= _wanted_margin(p) for k, p in enumerate(unique)]
     result = []
     for own in pieces:
         ids = [k for p, whole in own if p and whole and sure[k := number[p]]]

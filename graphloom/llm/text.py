@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import regex
 
 _FENCED = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
 _SPAN = re.compile(r"`[^`\n]*`")
@@ -35,6 +36,14 @@ def without_code(text: str) -> str:
     return text
 
 
+_WRAP = regex.compile(r"(?<=[\p{L},;:'’\"-])[ \t]*\n[ \t]*(?:>[ \t]*)*(?=\p{Ll})")
+
+
+def unwrapped(text: str) -> str:
+    """``text`` with lines joined that go on within a sentence: after a letter or comma, with a small letter."""
+    return _WRAP.sub(" ", text)
+
+
 def sentences(text: str) -> list[str]:
     """Pieces of ``text`` between ends of sentences or lines."""
     return [piece for piece in _SENTENCE.split(text) if piece and not piece.isspace()]

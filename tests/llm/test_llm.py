@@ -14,7 +14,7 @@ from graphloom.llm.encode import PATTERN, TOKENIZERS, VOCABULARY, Encoder, Vocab
 from graphloom.llm.languages import label_language  # noqa: E402
 from graphloom.llm.leakage import WORDS, Patterns, leaks, words  # noqa: E402
 from graphloom.llm.segments import LANGUAGES, fit_profiles, language_segments, mislabelled  # noqa: E402
-from graphloom.llm.text import is_sentence, ngrams, prose, sentences, without_code  # noqa: E402
+from graphloom.llm.text import is_sentence, ngrams, prose, sentences, unwrapped, without_code  # noqa: E402
 
 DATA = Path("/root/testdata/sf0.01")
 needs_data = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -191,6 +191,7 @@ def test_text_helpers():
     assert prose("The `x` Foo.bar MetricBridge said 3 things") == "the x said things"
     assert without_code("a\r\n```\ncode\n```\nb").split() == ["a", "b"]
     assert sentences("One two. Three!\nfour。five") == ["One two.", "Three!", "four。", "five"]
+    assert unwrapped("one\n  two,\nthree.\nfour\n\nfive\nSix") == "one two, three.\nfour\n\nfive\nSix"
     assert not is_sentence('("work in progress")') and is_sentence("Done.")
     gram, owner = ngrams(["ab", "", "ab"], (1, 2))
     assert sorted(owner.tolist()) == [0] * 5 + [2] * 5 and sorted(gram[owner == 0].tolist()) == sorted(gram[owner == 2].tolist())
