@@ -47,4 +47,7 @@ def p9_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_clocks": p5_clocks, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_languages": p9_languages}
-SQL: dict[str, str] = {}
+SQL = {
+    "p5_found": r"WITH m AS (SELECT conversation_id AS c, position AS p, id, CASE WHEN r IN ('user', 'human') THEN 'user' WHEN r IN ('assistant', 'model', 'bot', 'ai') THEN 'assistant' WHEN r IN ('system', 'sys') THEN 'system' END AS s, regexp_replace(content, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t, coalesce(regexp_replace(content, '[\s\p{Z}\p{C}]+', '', 'g'), '') = '' AS blank FROM (SELECT *, lower(regexp_replace(role, '[\s\p{Z}\p{C}]+', '', 'g')) AS r FROM conversation_messages) WHERE conversation_id IS NOT NULL), "
+    r"g AS (SELECT c, p, min(id) AS id, min(s) AS s, bool_or(blank OR p IS NULL OR s IS NULL) OR count(DISTINCT (s, t)) > 1 AS broken FROM m GROUP BY c, p), f AS (SELECT c, string_agg(left(s, 1), '' ORDER BY p) FILTER (s <> 'system') AS line, count(*) AS n, min(p) AS a, max(p) AS b, bool_or(broken) AS broken FROM g GROUP BY c) SELECT c AS conversation_id, p AS position, id AS message_id, s AS speaker FROM g JOIN f USING (c) WHERE NOT f.broken AND a = 0 AND b = n - 1 AND regexp_full_match(line, '(ua)+')",
+}
