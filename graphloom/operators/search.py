@@ -109,6 +109,38 @@ def all_terms(index: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return index.where(F.col("term").isin(*wanted)).groupBy("id").agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(set(wanted))).select("id")
 
 
+def search_by_plan(plan, nodes: DataFrame, edges: DataFrame, concepts: DataFrame, limit: int = 2000) -> DataFrame:
+    """``(id, why)`` of the subjects that a search plan asks for, the first ``limit`` by id.
+
+    ``nodes(id, kind, name)``, ``edges(source, target, relation)``, ``concepts(id, concept)``. A relation is walked from all
+    subjects of the plan's name; concepts must all hold; kinds, ``using`` and a scope filter what is found. All filters come
+    before the limit.
+    """
+    wanted = (plan.subject or plan.text).lower()
+    named = nodes.where((F.lower("name") == wanted) | (F.lower("id") == wanted)).select(F.col("id").alias("subject"))
+    if "relational" in plan.intents and plan.relation:
+        near, far = ("target", "source") if plan.direction != "outgoing" else ("source", "target")
+        links = edges.where(F.col("relation") == plan.relation).select(F.col(near).alias("subject"), F.col(far).alias("id"))
+        found, why = links.join(named, "subject", "left_semi").select("id").distinct(), plan.relation
+    elif plan.concepts:
+        held = concepts.where(F.col("concept").isin(*plan.concepts)).groupBy("id").agg(F.count_distinct("concept").alias("n"))
+        found, why = held.where(F.col("n") == len(plan.concepts)).select("id"), "concept"
+    elif "subject_kind" in plan.intents and plan.subject is None:
+        found, why = nodes.where(F.col("kind").isin(*plan.kinds)).select("id").distinct(), "kind"
+    else:
+        found, why = named.select(F.col("subject").alias("id")).distinct(), "identity"
+    if plan.kinds:
+        found = found.join(nodes.where(F.col("kind").isin(*plan.kinds)).select("id").distinct(), "id", "left_semi")
+    if "using" in plan.filters:
+        used = nodes.where(F.lower("name") == plan.filters["using"]).select(F.col("id").alias("target"))
+        found = found.join(edges.where("relation = 'depends_on'").join(used, "target", "left_semi").select(F.col("source").alias("id")).distinct(), "id", "left_semi")
+    for scope in ("project", "module", "package"):
+        if scope in plan.filters:
+            inside = nodes.where((F.col("kind") == scope) & (F.lower("name") == plan.filters[scope])).select(F.col("id").alias("target"))
+            found = found.join(edges.where("relation = 'member_of'").join(inside, "target", "left_semi").select(F.col("source").alias("id")).distinct(), "id", "left_semi")
+    return found.select("id", F.lit(why).alias("why")).orderBy("id").limit(limit)
+
+
 def hit_score(parts: dict[str, Column], exact: Column, evidenced: Column) -> Column:
     """The weighted mean over the parts that are active (not null); hits without evidence that are not exact count 0.39 of it."""
     total, weight = F.lit(0.0), F.lit(0.0)

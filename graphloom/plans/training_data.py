@@ -37,3 +37,7 @@ def p6_casts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_table": p6_table, "p6_casts": p6_casts}
+
+SQL = {
+    "p2_found": "WITH l AS (SELECT project, subject_id, arg_max({'s': score}, scored_at).s AS score FROM risk_hotspots WHERE project IS NOT NULL GROUP BY 1, 2) SELECT project, subject_id, row_number() OVER (PARTITION BY project ORDER BY score DESC, subject_id)::INT AS place FROM l WHERE score IS NOT NULL AND NOT isnan(score) QUALIFY place <= 5",
+}

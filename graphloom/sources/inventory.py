@@ -101,3 +101,18 @@ def project_fingerprints(files: DataFrame) -> DataFrame:
     """
     own = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", "path", "sha256"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return files.groupBy("project").agg(F.count("*").alias("files"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.sum(own).cast("string")), 256).alias("fingerprint"))
+
+
+def discovered_projects(files: DataFrame) -> DataFrame:
+    """``(root, markers, parent)``: folders with a manifest, its technologies in order, and the nearest such folder above, or null."""
+    from graphloom.operators.lookups import ancestors
+
+    name = file_name(F.col("path"))
+    found = F.lit(None).cast("string")
+    for manifest, technology in TECHNOLOGIES.items():
+        found = F.when(name == manifest, technology).otherwise(found)
+    folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(".")
+    roots = files.withColumn("t", found).where(F.col("t").isNotNull()).groupBy(folder.alias("root")).agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("markers"))
+    above = roots.where("root <> '.'").select("root", F.posexplode(ancestors(F.col("root"))).alias("depth", "up")).join(roots.select(F.col("root").alias("up")), "up")
+    nearest = above.groupBy("root").agg(F.max_by("up", "depth").alias("parent"))
+    return roots.join(nearest, "root", "left")

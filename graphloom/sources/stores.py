@@ -116,3 +116,18 @@ def dashboard(totals: DataFrame, limit: int = 100) -> str:
     names = totals.columns
     cells = lambda tag, values: "".join(f"<{tag}>{html.escape(str(v))}</{tag}>" for v in values)
     return "<table><tr>" + cells("th", names) + "</tr>" + "".join("<tr>" + cells("td", r) + "</tr>" for r in rows) + "</table>"
+
+
+def audit_entries(last_digest: str | None, first: int, payloads: Sequence[str]) -> list[tuple[int, str, str, str]]:
+    """``(seq, link, payload, digest)`` of new entries of an audit log: each digest covers the one before, so the log is a chain.
+
+    Appending is sequential by nature and small; a whole log is verified in parallel by ``chain_breaks``.
+    """
+    import hashlib
+
+    rows, link = [], last_digest or ""
+    for k, payload in enumerate(payloads, first):
+        digest = hashlib.sha256(f"{link}\n{k}\n{payload}".encode()).hexdigest()
+        rows.append((k, link, payload, digest))
+        link = digest
+    return rows

@@ -230,3 +230,18 @@ def test_leases(spark, rows):
     log = [("a", 0.0, 1, "lease", "w"), ("a", 9.0, 2, "heartbeat", "w"), ("b", 0.0, 3, "lease", "w"), ("c", 0.0, 4, "lease", "w"), ("c", 1.0, 5, "fail", "w"), ("d", 0.0, 6, "lease", "w"), ("d", 1.0, 7, "complete", "w"), ("e", 0.0, 8, "heartbeat", None)]
     got = {r[0]: r[1] for r in rows(H.lease_states(spark.createDataFrame(log, "job string, at_s double, seq int, kind string, worker string"), 10.0, 5.0, 3))}
     assert got == {"a": "leased", "b": "expired", "c": "pending", "d": "succeeded", "e": "pending"}
+
+
+def test_modules_projects_and_audit(spark, rows):
+    pom = "<project><parent><groupId>g</groupId><artifactId>root</artifactId></parent><artifactId>{}</artifactId><dependencies><dependency><groupId>g</groupId><artifactId>{}</artifactId></dependency></dependencies></project>"
+    files = [("pom.xml", "<project><groupId>g</groupId><artifactId>root</artifactId><modules><module>a</module><module>b</module></modules></project>"), ("a/pom.xml", pom.format("a", "b")), ("b/pom.xml", pom.format("b", "gone")), ("c/pom.xml", "<broken"), ("c/package.json", "{}"), ("a/x/build.gradle", ""), ("a/x/y.txt", None)]
+    df = spark.createDataFrame(files, "path string, content string")
+    assert rows(manifests.module_graph(df)) == [("g:a", "g:b", "depends_on"), ("g:b", "g:gone", "unresolved"), ("g:root", "g:a", "contains"), ("g:root", "g:a", "parent_of"), ("g:root", "g:b", "contains"), ("g:root", "g:b", "parent_of")]
+    assert rows(inventory.discovered_projects(df)) == [(".", "maven", None), ("a", "maven", "."), ("a/x", "gradle", "a"), ("b", "maven", "."), ("c", "maven,npm", ".")]
+    from graphloom.operators.aggregates import chain_breaks
+
+    entries = stores.audit_entries(None, 1, ["x", "y", "z"])
+    entries += stores.audit_entries(entries[-1][3], 4, ["w"])
+    log = spark.createDataFrame([(k, link, digest) for k, link, _, digest in entries], "seq int, link string, digest string")
+    assert chain_breaks(log, "seq", "link", "digest").count() == 0
+    assert chain_breaks(log.withColumn("digest", F.when(F.col("seq") == 2, "forged").otherwise(F.col("digest"))), "seq", "link", "digest").count() == 1
