@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.ordering import globally_ranked
+
 
 def named_statistics(files: DataFrame, name: str) -> DataFrame:
     """``(name, files, bytes, place)`` per value of a column; nulls are dropped; most files first, then bytes, then name."""
     counted = files.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.col("files").desc(), F.col("bytes").desc(), "name")))
+    ranked = globally_ranked(counted.withColumns({"_1": -F.col("files"), "_2": -F.col("bytes")}), ["_1", "_2", "name"], "place").drop("_1", "_2")
+    return ranked.withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def parent_folder(path: Column) -> Column:

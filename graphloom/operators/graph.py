@@ -57,6 +57,16 @@ def incident_edges(edges: DataFrame) -> DataFrame:
     )
 
 
+#: After so many levels what has been seen is written together, so that plans stay short on long chains.
+_COMPACT = 8
+
+
+def _grown(seen: DataFrame, frontier: DataFrame, level: int) -> DataFrame:
+    """``seen`` with the new level, as one table every few levels."""
+    both = seen.unionByName(frontier)
+    return checkpoint(both) if level % _COMPACT == 0 else both
+
+
 def reachable(edges: DataFrame, roots: DataFrame, include_start: str = "always", max_depth: int | None = None, stop: DataFrame | None = None) -> DataFrame:
     """``(root, node, depth)`` by shortest distance along ``edges(source, target)`` from ``roots(root)``.
 
@@ -74,7 +84,7 @@ def reachable(edges: DataFrame, roots: DataFrame, include_start: str = "always",
         leaving = frontier if stop is None else frontier.join(stop.select(F.col("id").alias("node")), "node", "left_anti")
         step = leaving.join(links, F.col("node") == F.col("source")).select("root", F.col("target").alias("node"), F.lit(depth).alias("depth")).distinct()
         frontier = checkpoint(step.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
-        seen = seen.unionByName(frontier)
+        seen = _grown(seen, frontier, depth)
     if include_start == "never":
         seen = seen.where(F.col("node") != F.col("root"))
     return seen
@@ -96,7 +106,7 @@ def shortest_paths(edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> D
         step = frontier.join(links, F.col("node") == F.col("source")).groupBy("root", F.col("target").alias("next")).agg(F.min("path").alias("path"))
         step = step.select("root", F.col("next").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("next")).alias("path"))
         frontier = checkpoint(step.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
-        seen = seen.unionByName(frontier)
+        seen = _grown(seen, frontier, depth)
     return seen
 
 
@@ -208,7 +218,7 @@ def waves(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         if ready.isEmpty():
             stuck = left.select("node", F.lit(None).cast("int").alias("wave"))
             return stuck if found is None else found.unionByName(stuck)
-        found = ready if found is None else found.unionByName(ready)
+        found = ready if found is None else _grown(found, ready, wave)
         left = checkpoint(left.join(ready, "node", "left_anti"))
         links = checkpoint(links.join(ready.select(F.col("node").alias("target")), "target", "left_anti").select("source", "target"))
         wave += 1

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.evidence import security_priority, severity_rank
+from graphloom.operators.ordering import globally_ranked
 
 #: What secrets look like.
 SECRETS = {
@@ -61,11 +62,12 @@ def taint_findings(paths: DataFrame, sources: Sequence, sinks: Sequence, sanitiz
 
 
 def debt_ranking(seams: DataFrame) -> DataFrame:
-    """``(seam, impact, direct, risk, rank)``: only seams with a known impact are ranked, by impact, direct, risk, name."""
+    """``(seam, impact, direct, risk, rank)``: only seams with a known impact are ranked, by impact, direct, risk, name;
+    unknown values come last. The ranks come from one range-partitioned sort."""
     known = F.col("impact").isNotNull()
-    order = Window.orderBy(F.col("impact").desc(), F.col("direct").desc_nulls_last(), F.col("risk").desc_nulls_last(), "seam")
-    ranked = seams.where(known).withColumn("rank", F.row_number().over(order))
-    return ranked.unionByName(seams.where(~known).withColumn("rank", F.lit(None).cast("int")))
+    keys = {"_1": -F.col("impact"), "_2": F.col("direct").isNull(), "_3": -F.col("direct"), "_4": F.col("risk").isNull(), "_5": -F.col("risk")}
+    ranked = globally_ranked(seams.where(known).withColumns(keys), [*keys, "seam"], "rank").drop(*keys)
+    return ranked.withColumn("rank", (F.col("rank") + 1).cast("int")).unionByName(seams.where(~known).withColumn("rank", F.lit(None).cast("int")))
 
 
 def change_review(changes: DataFrame, subjects: DataFrame, impact: DataFrame, risk: DataFrame, cyclic: DataFrame) -> DataFrame:

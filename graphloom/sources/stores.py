@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import table_digest
+from graphloom.operators.ordering import globally_ranked
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -75,10 +76,15 @@ def pruned(runs: DataFrame, keep: int) -> DataFrame:
 
 
 def appended_messages(held: DataFrame, new: DataFrame) -> DataFrame:
-    """``new(conversation_id, seq, ...)`` with ``position``: after the last position of its conversation, from 0 in a new one."""
+    """``new(conversation_id, seq, ...)`` with ``position``: after the last position of its conversation, from 0 in a new one.
+
+    Ranks come from one range-partitioned sort, so a conversation of any length is spread over all tasks.
+    """
     last = held.groupBy("conversation_id").agg(F.max("position").alias("_last"))
-    order = Window.partitionBy("conversation_id").orderBy("seq")
-    return new.join(last, "conversation_id", "left").withColumn("position", F.coalesce("_last", F.lit(-1)) + F.row_number().over(order)).drop("_last")
+    ranked = globally_ranked(new, ["conversation_id", "seq"], "_rank")
+    first = ranked.groupBy("conversation_id").agg(F.min("_rank").alias("_first"))
+    placed = ranked.join(first.join(last, "conversation_id", "left"), "conversation_id")
+    return placed.withColumn("position", (F.coalesce("_last", F.lit(-1)) + 1 + F.col("_rank") - F.col("_first")).cast("int")).drop("_last", "_first", "_rank")
 
 
 def json_lines(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -49,6 +49,7 @@ def test_reach_on_a_cycle(spark, graph, start, want):
 def test_reach_limits(spark, graph):
     chain = graph(*((f"n{k:02}", f"n{k + 1:02}") for k in range(20)), ("n03", "side"))
     assert G.reachable(chain, roots(spark, "n00"), max_depth=3).count() == 4
+    assert {r["node"]: r["depth"] for r in G.reachable(chain, roots(spark, "n00")).collect()}["n20"] == 20
     stop = spark.createDataFrame([("n03",)], "id string")
     assert G.reachable(chain, roots(spark, "n00"), stop=stop).count() == 4
     assert {r["node"] for r in G.reachable(chain, roots(spark, "zzz")).collect()} == {"zzz"}
