@@ -24,12 +24,13 @@ def degree_summaries(nodes: DataFrame, edges: DataFrame, subject_kinds: Sequence
     subjects = nodes.where(F.col("kind").isin(*subject_kinds)) if subject_kinds else nodes
     others = nodes.where(F.col("kind").isin(*neighbour_kinds)) if neighbour_kinds else nodes
     subjects, others = subjects.select("id").distinct(), others.select(F.col("id").alias("other")).distinct()
-    links = edges.select("source", "target", "relation").distinct()
+    links = edges.select("source", "target", "relation")
     ends = links.select(F.col("source").alias("id"), F.col("target").alias("other"), "relation", F.lit("out").alias("way")).unionByName(
         links.select(F.col("target").alias("id"), F.col("source").alias("other"), "relation", F.lit("in").alias("way"))
     )
     held = ends.join(subjects, "id", "left_semi").join(others, "other", "left_semi")
-    both = held.unionByName(held.select("other", "id", F.lit("*").alias("relation"), "way").distinct())
+    pairs = held.groupBy("id", "other", "way").agg(F.collect_set("relation").alias("relations"))
+    both = pairs.select("id", "way", F.explode(F.concat("relations", F.array(F.lit("*")))).alias("relation"))
     counted = both.groupBy("id", "relation").agg(F.count_if(F.col("way") == "out").alias("out_degree"), F.count_if(F.col("way") == "in").alias("in_degree"))
     if include_zero:
         missing = subjects.join(counted.select("id").distinct(), "id", "left_anti")
