@@ -61,6 +61,15 @@ def taint_findings(paths: DataFrame, sources: Sequence, sinks: Sequence, sanitiz
     return paths.where(first.isin(*sources) & last.isin(*sinks)).select("path", F.when(clean, "sanitized").otherwise("tainted").alias("verdict"))
 
 
+def taint_between(paths: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame) -> DataFrame:
+    """``taint_findings`` where the sources, sinks and sanitizers are tables of ``id``, of any size."""
+    first, last = F.element_at("path", 1), F.element_at("path", -1)
+    ends = paths.join(sources.select(F.col("id").alias("first")).distinct(), first == F.col("first"), "left_semi").join(sinks.select(F.col("id").alias("last")).distinct(), last == F.col("last"), "left_semi")
+    between = ends.select("path", F.explode(F.slice("path", F.lit(2), F.greatest(F.size("path") - 2, F.lit(0)))).alias("id"))
+    clean = between.join(sanitizers.select("id").distinct(), "id", "left_semi").select("path").distinct().withColumn("clean", F.lit(True))
+    return ends.join(clean, "path", "left").select("path", F.when(F.col("clean"), "sanitized").otherwise("tainted").alias("verdict"))
+
+
 def debt_ranking(seams: DataFrame) -> DataFrame:
     """``(seam, impact, direct, risk, rank)``: only seams with a known impact are ranked, by impact, direct, risk, name;
     unknown values come last. The ranks come from one range-partitioned sort."""
