@@ -130,27 +130,61 @@ def canonical_names(renamed: DataFrame, limit: int = 100_000) -> dict[str, str]:
     return {name: find(name) for name in root}
 
 
+def _typed(kind: Column, raw_type: Column, value: Column) -> dict[str, Column]:
+    """One column for each type, null unless the field is of that type and the value can be cast to it.
+
+    Group separators are read; an integer has no fraction; ``true`` and ``false`` are read from texts, and so are objects and
+    arrays; other values than objects and arrays are texts. ``number`` also holds what an integer field has with a fraction.
+    """
+    digits = F.when(~raw_type.isin("object", "array", "boolean"), F.regexp_replace(value, r"(?<=\d),(?=\d{3}(\D|$))", ""))
+    exact = digits.try_cast("decimal(38,10)")
+    whole = F.when(F.trim(digits).rlike(r"^[+-]?[0-9]+$"), digits.try_cast("decimal(38,0)")).when(exact == F.floor(exact), exact.try_cast("decimal(38,0)"))
+    shape = F.schema_of_variant(F.try_parse_json(value))
+    return {
+        "integer": F.when(kind == "integer", whole),
+        "number": F.when(kind.isin("integer", "number"), digits.try_cast("double")),
+        "flag": F.when((kind == "boolean") & raw_type.isin("boolean", "string") & F.lower(F.trim(value)).isin("true", "false"), F.lower(F.trim(value)) == "true"),
+        "text": F.when(kind.isin("string", "text") & ~raw_type.isin("object", "array"), value),
+        "json": F.when((kind == "object") & shape.startswith("OBJECT") | (kind == "array") & shape.startswith("ARRAY"), value),
+    }
+
+
+def _members(project_runs: DataFrame) -> DataFrame:
+    """Every non-null member of ``stats`` under its own name."""
+    members = F.try_variant_get(variant(F.col("value_json")), "$.stats", "map<string,variant>")
+    rows = project_runs.select("analysis_run_id", F.lit(None).cast("bigint").alias("turn_id"), "position", "export_file", F.explode(members).alias("raw_name", "v"))
+    value = F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v"))
+    return rows.select(F.lit("runs").alias("feed"), "analysis_run_id", "turn_id", "position", "export_file", "raw_name", json_type(F.schema_of_variant("v")).alias("raw_type"), value.alias("value")).where(F.col("raw_type").isNotNull())
+
+
+def _references(turns: DataFrame) -> DataFrame:
+    """Every non-null snapshot reference with the column that it stands in."""
+    places = F.explode(F.array(*(F.struct(F.lit(n).alias("raw_name"), F.col(n).alias("value")) for n in ("snapshot_id", "snapshot"))))
+    rows = turns.select(F.col("id").alias("turn_id"), "position", "export_file", places.alias("x")).where(F.col("x.value").isNotNull())
+    return rows.select(F.lit("turns").alias("feed"), F.lit(None).cast("bigint").alias("analysis_run_id"), "turn_id", "position", "export_file", "x.raw_name", snapshot_type(F.col("x.value")).alias("raw_type"), "x.value")
+
+
 def consistent_table(export_files: DataFrame, project_runs: DataFrame, conversation_turns: DataFrame) -> DataFrame:
-    """``(analysis_run_id, position, export_file, field, raw_name, raw_type, value, number, cast_failed)``: every member of
-    ``stats`` under one name, its text, and its value as the field's numbers.
+    """``(feed, analysis_run_id, turn_id, position, export_file, field, field_type, raw_name, raw_type, value, integer, number,
+    flag, text, json, cast_failed)``: every member of ``stats`` and every snapshot reference under one name, its text, and
+    its value in the column of the field's type, which is its commonest one (at a tie the first by name).
 
-    A field whose commonest type is integer or number is a numeric one; group separators are read; values that cannot be
-    read as its numbers are reported, not dropped.
+    Snapshot references are the field ``snapshot_id`` of the feed ``turns``, whichever column they stand in. Values that
+    cannot be cast to the field's type are reported, not dropped.
     """
     changes = schema_changes(export_files, project_runs, conversation_turns)
     names = canonical_names(changes.where("change_kind = 'renamed' and new_name not in ('snapshot', 'snapshot_id')"))
-    members = F.try_variant_get(variant(F.col("value_json")), "$.stats", "map<string,variant>")
-    rows = project_runs.select("analysis_run_id", "position", "export_file", F.explode(members).alias("raw_name", "v"))
-    typed = rows.select("analysis_run_id", "position", "export_file", "raw_name", json_type(F.schema_of_variant("v")).alias("raw_type"), F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")).alias("value")).where(F.col("raw_type").isNotNull())
     pairs = [F.lit(x) for pair in sorted(names.items()) for x in pair]
     field = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("raw_name")), F.col("raw_name")) if pairs else F.col("raw_name")
-    named = typed.withColumn("field", field)
-    kinds = named.groupBy("field", "raw_type").agg(F.count("*").alias("n")).groupBy("field").agg(F.min(F.struct(-F.col("n"), "raw_type")).alias("k")).select("field", F.col("k.raw_type").isin("integer", "number").alias("numeric"))
-    number = F.regexp_replace("value", r"(?<=\d),(?=\d{3}(\D|$))", "").try_cast("double")
-    joined = named.join(kinds, "field")
-    return joined.select("analysis_run_id", "position", "export_file", "field", "raw_name", "raw_type", "value", F.when(F.col("numeric"), number).alias("number"), (F.col("numeric") & number.isNull()).alias("cast_failed"))
+    named = _members(project_runs).withColumn("field", field).unionByName(_references(conversation_turns).withColumn("field", F.lit("snapshot_id")))
+    kinds = named.groupBy("feed", "field", "raw_type").agg(F.count("*").alias("n")).groupBy("feed", "field").agg(F.min(F.struct(-F.col("n"), "raw_type")).alias("k")).select("feed", "field", F.col("k.raw_type").alias("field_type"))
+    typed = named.join(kinds, ["feed", "field"]).withColumns(_typed(F.col("field_type"), F.col("raw_type"), F.col("value")))
+    cast = F.when(F.col("field_type") == "integer", F.col("integer").isNull()).otherwise(F.coalesce(F.col("number").cast("string"), F.col("flag").cast("string"), "text", "json").isNull())
+    return typed.select("feed", "analysis_run_id", "turn_id", "position", "export_file", "field", "field_type", "raw_name", "raw_type", "value", "integer", "number", "flag", "text", "json", cast.alias("cast_failed"))
 
 
 def failed_casts(consistent: DataFrame) -> DataFrame:
-    """``(export_file, field, raw_name, rows, failed)``: per file and name, how many values could not be read."""
-    return consistent.groupBy("export_file", "field", "raw_name").agg(F.count("*").alias("rows"), F.count_if("cast_failed").alias("failed"))
+    """``(feed, export_file, field, raw_name, field_type, rows, other_type, failed)``: per file and name, how many values have
+    another type than the field, and how many could not be cast to it."""
+    counts = (F.count("*").alias("rows"), F.count_if(F.col("raw_type") != F.col("field_type")).alias("other_type"), F.count_if("cast_failed").alias("failed"))
+    return consistent.groupBy("feed", "export_file", "field", "raw_name", "field_type").agg(*counts)
