@@ -207,7 +207,7 @@ def models(spark):
         pytest.skip("no test tables")
     asks, documents = spark.read.parquet(f"{DATA}/ask_log.parquet"), spark.read.parquet(f"{DATA}/documents.parquet")
     answering = pairs.fit_answers(documents)
-    return pairs.fit_ends(asks), pairs.fit_questions(asks, answering), answering
+    return pairs.fit_ends(asks, documents), pairs.fit_questions(asks, answering), answering
 
 
 EN = "The scheduler was moved to the other package because two teams had kept separate copies."
@@ -228,13 +228,24 @@ EN = "The scheduler was moved to the other package because two teams had kept se
         ("Why is that so?", f"{EN} They are:\n- owner.map.RouteResolver\n- diff.lines.BatchGuard", None), ("Why is that so?", f"{EN} They are:\n- owner.map.RouteResolver\n- ", "truncated"),
         ("Which types in north-engine depend on the cache and who owns them?", "Ce qui nous a surpris, c'est que la vérification utilise si peu le cache du module.", "language"),
         ("Which types depend on the cache? Answer in French, please.", "Ce qui nous a surpris, c'est que la vérification utilise si peu le cache du module.", None),
-        (None, EN, None),
+        (None, EN, None), ("Is it allowed?", "No.", None), ("Which kind is it?", "Available", None),
+        ("Which port?", "I must decline the default and use 8080 here.", None), ("Welcher Port?", "Ich kann das nicht empfehlen, weil Port 8080 belegt ist.", None), ("Quale porta?", "Non posso confermare che la porta sia 8080.", None),
+        ("May we rename it?", "I can't recommend that because the migration still runs.", None), ("Why is that so?", f"{EN} They are:\n1.", "truncated"), ("Why is that so?", f"{EN} This page explains …", "truncated"),
+        ("Why is that so?", " ".join(["why is that so"] * 12), "copy"),
     ],
 )
 def test_defects(models, question, answer, defect):
     assert pairs.find_defects([question], [answer], *models) == [defect]
 
 
+def test_the_likelihood_decides_truncation(models):
+    ends = models[0]
+    cut = [EN[:k] for k in range(30, len(EN) - 12, 7)]
+    assert pairs.are_truncated(cut, ends).mean() > 0.9 and not pairs.are_truncated([EN, f"{EN} {EN}"], ends).any()
+    nothing = pairs.Ends(*(np.zeros(0, np.int64) for _ in range(4)))
+    assert not pairs.are_truncated(cut, nothing).any()
+
+
 def test_pairs_table(spark, rows):
     asks = spark.createDataFrame([(1, None, "Q?", ""), (1, None, "Q?", ""), (2, 10, "Q?", None), (3, 11, "Q?", None), (4, 12, "Q?", " "), (5, 13, "Q?", "")], "ask_id bigint, turn_id bigint, question string, answer string")
     turn = spark.createDataFrame([(10, "failed", "2025-01-01T00:00:00Z"), (10, "completed", "2025-01-02T00:00:00Z"), (11, "running", "2025-01-01T00:00:00Z"), (12, "completed", "2025-01-01T00:00:00Z")], "id bigint, status string, updated_at string")
