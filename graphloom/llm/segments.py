@@ -28,6 +28,7 @@ SHORT_LETTERS, SHORT_MARGIN = 24, 0.25
 
 _ID_BITS = np.uint64(35)
 _ID_MASK = np.uint64((1 << 35) - 1)
+_FEW = 255  # counts up to here fit beside owner and id in one number
 
 
 class Profiles:
@@ -51,13 +52,18 @@ class Profiles:
             gram, owner = ngrams(texts[start:stop], SIZES)
             if not len(gram):
                 continue
-            # owner (21 bits), 255 less the count (8), id (35): two sorts of plain numbers give each text's grams by rank
+            # owner and id in one number: a sort of plain numbers counts each text's grams, a second one ranks them
             key = np.sort((owner.astype(np.uint64) << np.uint64(35)) | gram)
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            count = np.minimum(np.diff(np.r_[first, len(key)]), 255).astype(np.uint64)
+            count = np.diff(np.r_[first, len(key)])
             key = key[first]
-            key = np.sort(((key >> _ID_BITS) << np.uint64(43)) | ((np.uint64(255) - count) << _ID_BITS) | (key & _ID_MASK))
-            owner, gram = (key >> np.uint64(43)).astype(np.int64), key & _ID_MASK
+            owner, gram = (key >> _ID_BITS).astype(np.int64), key & _ID_MASK
+            if count.max() <= _FEW and owner[-1] < 1 << 21:
+                ranked = np.sort((owner.astype(np.uint64) << np.uint64(43)) | ((np.uint64(_FEW) - count.astype(np.uint64)) << _ID_BITS) | gram)
+                owner, gram = (ranked >> np.uint64(43)).astype(np.int64), ranked & _ID_MASK
+            else:
+                order = np.lexsort((gram, -count, owner))
+                owner, gram = owner[order], gram[order]
             begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             rank = np.arange(len(owner)) - np.repeat(begin, np.diff(np.r_[begin, len(owner)]))
             top = rank < self.size
@@ -103,8 +109,15 @@ def _segments(pieces: list[tuple[int, float]]) -> list[tuple[int, float]]:
 
 def segment_texts(texts: list[str | None], profiles: Profiles) -> list[list[tuple[str, float]]]:
     """The segments of each text as (language, confidence); empty where there is no natural language."""
-    pieces = [[(letters(s), is_sentence(s)) for s in sentences(without_names(unwrapped(without_code(t))))] if t else [] for t in texts]
-    unique = list({p: None for own in pieces for p, whole in own if p and whole})
+    known: dict[str, tuple[str, bool]] = {}
+    pieces = []
+    for text in texts:
+        own = sentences(without_names(unwrapped(without_code(text)))) if text else []
+        for s in own:
+            if s not in known:
+                known[s] = letters(s), is_sentence(s)
+        pieces.append([known[s] for s in own])
+    unique = list({p: None for p, whole in known.values() if p and whole})
     number = {p: k for k, p in enumerate(unique)}
     far = profiles.distances(unique) if unique else np.ones((0, len(LANGUAGES)))
     order = far.argsort(axis=1, kind="stable")

@@ -13,7 +13,9 @@ _FENCED = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
 _SPAN = re.compile(r"`[^`\n]*`")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|<!--.*?-->", re.S)
 _LINK = re.compile(r"\b(?:https?://|www\.)\S+")
-_IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]*(?:[._/:\\@-]+[A-Za-z0-9_]|[0-9]|[a-z][A-Z]))[A-Za-z0-9_]+(?:[._/:\\@-]+[A-Za-z0-9_]+)*|\d+")
+_IDENTIFIER = re.compile(  # the first look ahead passes over plain words at once
+    r"(?<![A-Za-z0-9_])(?=[A-Z]?[a-z]*+[A-Z0-9_./:\\@-])(?=[A-Za-z0-9_]*(?:[._/:\\@-]+[A-Za-z0-9_]|[0-9]|[a-z][A-Z]))[A-Za-z0-9_]+(?:[._/:\\@-]+[A-Za-z0-9_]+)*|\d+"
+)
 _CODE_LINE = re.compile(
     r"(?m)^[ \t]*(?:\$ |#!|//|/\*|\*/|@\w|(?:def|class|public|private|protected|static|final|import|return)\b|from \S+ import\b|(?:SELECT|FROM|WHERE|GROUP BY|ORDER BY|INSERT|UPDATE|DELETE)\b"
     r"|(?:if|for|while|switch) ?\(|[{}\[\]]|\"[^\"\n]*\"[ \t]*:).*$|^.*[;{}][ \t]*$"
@@ -25,14 +27,21 @@ _INVISIBLE = re.compile(r"[­͏ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯⠀ㅤ︀
 
 def visible(text: str) -> str:
     """``text`` without invisible characters."""
-    return _INVISIBLE.sub("", text)
+    return text if text.isascii() else _INVISIBLE.sub("", text)
+
+
+#: Patterns of what is no prose, each with marks of which one must stand in the text.
+_NO_PROSE = ((_FENCED, ("```", "~~~")), (_SPAN, ("`",)), (_TAG, ("<",)), (_LINK, ("://", "www.")), (_CODE_LINE, ("",)))
 
 
 def without_code(text: str) -> str:
     """``text`` with one kind of line end, composed, and without code blocks, code spans, tags and links."""
-    text = visible(unicodedata.normalize("NFC", text.replace("\r\n", "\n").replace("\r", "\n")))
-    for pattern in (_FENCED, _SPAN, _TAG, _LINK, _CODE_LINE):
-        text = pattern.sub(" ", text)
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if not text.isascii():
+        text = visible(unicodedata.normalize("NFC", text))
+    for pattern, marks in _NO_PROSE:
+        if any(mark in text for mark in marks):
+            text = pattern.sub(" ", text)
     return text
 
 
