@@ -5,14 +5,17 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import visible
+from graphloom.llm.text import chunks, visible
+from graphloom.session import checkpoint, shared_table
 
 #: Consecutive words that make a leak.
 WORDS = 15
@@ -105,26 +108,44 @@ class Patterns:
         return found[:, 0], found[:, 1]
 
 
+def _plain(documents: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` with the words of each text, one space apart."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [" ".join(words(t)) for t in batch["text"]]})
+
+    return documents.mapInPandas(run, "doc_id bigint, text string")
+
+
+def _search(documents: DataFrame, own: DataFrame, size: int, split: Callable[[str], list[str]]) -> tuple[DataFrame, Broadcast]:
+    shared = documents.sparkSession.sparkContext.broadcast(Patterns([(r["item_id"], r["text"]) for r in own.toLocalIterator()], size))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start, stop in chunks(list(batch["text"])):
+                text, item = shared.value.search([split(t) for t in batch["text"].iloc[start:stop]])
+                yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[start:stop][text], "item_id": item})
+
+    return documents.mapInPandas(run, "doc_id bigint, item_id bigint"), shared
+
+
 def leaks(documents: DataFrame, items: DataFrame, size: int = WORDS, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """``(doc_id, item_id)``: the document holds at least ``size`` consecutive words of the item.
 
-    The items' windows are broadcast; above ``items_per_pass`` items they are split by a hash into so many passes,
-    so what is sent at once stays bounded. Null and short texts hold nothing; repeated items each count.
+    The items' windows are broadcast. Above ``items_per_pass`` items they are split by a hash into so many passes, run one
+    after the other over texts that are read into words once; each pass is kept in the shared folder and its broadcast
+    destroyed before the next, so driver and executors hold one pass at a time. Null and short texts hold nothing;
+    repeated items each count.
     """
-    total = items.count()
-    passes = max(1, -(-total // items_per_pass))
-    result = None
+    texts, wanted = documents.where(F.col("text").isNotNull()).select("doc_id", "text"), items.select("item_id", "text")
+    passes = max(1, -(-items.count() // items_per_pass))
+    if passes == 1:
+        return _search(texts, wanted, size, words)[0]
+    plain = shared_table(_plain(texts))
+    found = []
     for k in range(passes):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).select("item_id", "text")
-        shared = documents.sparkSession.sparkContext.broadcast(Patterns([(r["item_id"], r["text"]) for r in own.collect()], size))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for start in range(0, len(batch), 500):
-                    part = batch.iloc[start : start + 500]
-                    text, item = shared.value.search([words(t) for t in part["text"]])
-                    yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[text], "item_id": item})
-
-        found = documents.where(F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(run, "doc_id bigint, item_id bigint")
-        result = found if result is None else result.unionByName(found)
-    return result
+        hits, shared = _search(plain, wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k), size, str.split)
+        found.append(checkpoint(hits))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, found)
