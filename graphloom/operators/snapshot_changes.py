@@ -2,35 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text_json import canonical, instant, parsed
+from graphloom.functions.text_json import instant, with_canonical
 from graphloom.operators.ordering import with_neighbours
 from graphloom.session import checkpoint
 
-_HASHED = "analysis_run_id bigint, position int, project string, received_at timestamp_ntz, value_hash binary"
-
-
-def _row_hash(text: str | None) -> bytes | None:
-    value = parsed(text)
-    if value is None:
-        return None
-    if isinstance(value, dict):
-        value = {k: v for k, v in value.items() if k != "stats"}
-    return xxhash.xxh3_128_digest(canonical(value).encode("utf-8", "surrogatepass"))
-
-
-def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("value_json").dictionary_encode()
-        hashes = pa.array([_row_hash(x) for x in texts.dictionary.to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("analysis_run_id", "position", "project", "received_at")), hashes.take(texts.indices)], ["analysis_run_id", "position", "project", "received_at", "value_hash"])
-
 
 def held_project_hashes(project_runs: DataFrame) -> DataFrame:
     """``(run_id, project, value_hash)`` of the rows that hold.
@@ -39,7 +17,8 @@ def held_project_hashes(project_runs: DataFrame) -> DataFrame:
     ``(analysis_run_id, position)`` the latest ``received_at`` holds; at a tie the greatest project, then hash.
     A project at several positions of a run counts once, by the highest position. Unreadable values hash as null.
     """
-    hashed = project_runs.select("analysis_run_id", "position", "project", "received_at", "value_json").mapInArrow(_hash_batches, _HASHED)
+    read = with_canonical(project_runs.select("analysis_run_id", "position", "project", "received_at", "value_json"), "value_json", "canonical", ["stats"])
+    hashed = read.select("analysis_run_id", "position", "project", "received_at", F.unhex(F.md5("canonical")).alias("value_hash"))
     held = hashed.groupBy("analysis_run_id", "position").agg(F.max(F.struct("received_at", "project", "value_hash")).alias("row"))
     return held.groupBy(F.col("analysis_run_id").alias("run_id"), F.col("row.project").alias("project")).agg(F.max(F.struct("position", "row.value_hash")).alias("last")).select("run_id", "project", F.col("last.value_hash").alias("value_hash"))
 

@@ -3,7 +3,7 @@ import json
 
 import pytest
 
-from graphloom.functions.text_json import canonical, parsed
+from graphloom.functions.text_json import read_beyond, with_canonical
 from graphloom.operators.ordering import globally_ranked, with_neighbours
 from graphloom.operators.snapshot_changes import snapshot_changes
 
@@ -63,8 +63,22 @@ def test_empty(spark, rows):
         ('{"a":NaN}', None, True),
     ],
 )
-def test_canonical(one, two, same):
-    assert (canonical(parsed(one)) == canonical(parsed(two))) is same
+def test_canonical(spark, one, two, same):
+    df = spark.createDataFrame([(one,), (two,)], "text string")
+    a, b = (r["c"] for r in with_canonical(df, "text", "c").collect())
+    assert (a == b) is same
+    if a and b:
+        assert (read_beyond(one) == read_beyond(two)) is same
+
+
+def test_texts_beyond_the_limits_of_the_jvm(spark):
+    deep, number = "[" * 5000 + "]" * 5000, "1" * 5000
+    texts = [deep, f'{{"b":{number}, "a":null, "stats":2}}', f'{{"b":{number}}}', "[" * 5000 + "]" * 4999, f'{{"b":{number}2}}', f'{{"b":1,"b":{number}}}']
+    got = [r["c"] for r in with_canonical(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "c", ["stats"]).collect()]
+    assert got[0] == deep and got[1] == got[2] and got[3] is None and got[4] not in (None, got[1]) and got[5] is None
+    for text in ('{"a" 1}', '{"a":}', "[1 2]", "[,1]", '{"a":1,}', "{1:2}", "]", "[1]]", "1 2", "", '"x', "[:]"):
+        assert read_beyond(text) is None
+    assert read_beyond('"{\\"a\\": [1.50, {}]}"') == '{"a":[1.5,{}]}'
 
 
 def test_neighbours_across_partitions(spark, rows):
