@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text_json import variant
+from graphloom.operators.graph import components
 from graphloom.operators.ordering import with_neighbours
 from graphloom.session import shared_table
 
@@ -45,10 +46,14 @@ def _fields(values: DataFrame) -> DataFrame:
     return counts.groupBy("file_name", "field").agg(F.min(F.struct(-F.col("n"), "kind")).alias("best")).select("file_name", "field", "best.kind")
 
 
-def _turn_fields(turns: DataFrame) -> DataFrame:
+def _turn_values(turns: DataFrame) -> DataFrame:
+    """(file_name, field, kind, form) of every snapshot reference; the form is the value without a scheme before
+    it (such as ``sha256:``) and with a mark for its digits and hex runs."""
     columns = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.col(n).alias("value")) for n in ("snapshot_id", "snapshot"))))
     rows = turns.select(F.col("export_file").alias("file_name"), columns.alias("x")).select("file_name", "x.field", "x.value").where(F.col("value").isNotNull() & F.col("file_name").isNotNull())
-    return _fields(rows.withColumn("kind", snapshot_type(F.col("value"))))
+    bare = F.regexp_replace(F.lower("value"), "^[a-z][a-z0-9]*:", "")
+    form = F.regexp_replace(F.regexp_replace(bare, "[0-9a-f-]{6,}", "#"), "[0-9]+", "#")
+    return rows.select("file_name", "field", snapshot_type(F.col("value")).alias("kind"), form.alias("form"))
 
 
 def _compared(files: DataFrame, fields: DataFrame) -> DataFrame:
@@ -59,25 +64,39 @@ def _compared(files: DataFrame, fields: DataFrame) -> DataFrame:
     return new.join(old, ["file_name", "previous", "field"], "full_outer")
 
 
-def _moved(compared: DataFrame) -> DataFrame:
-    """Pairs of a field that goes and one of the same type that comes in the same file."""
+def _ends(compared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The fields that go (file_name, previous, old, kind) and those that come (file_name, new, kind)."""
     gone = compared.where(F.col("new_kind").isNull()).select("file_name", "previous", F.col("field").alias("old"), F.col("old_kind").alias("kind"))
-    come = compared.where(F.col("old_kind").isNull()).select("file_name", "previous", F.col("field").alias("new"), F.col("new_kind").alias("kind"))
-    return gone.join(come, ["file_name", "previous", "kind"]).select("file_name", "previous", "old", "new")
+    return gone, compared.where(F.col("old_kind").isNull()).select("file_name", F.col("field").alias("new"), F.col("new_kind").alias("kind"))
 
 
-def _agreeing(moved: DataFrame, values: DataFrame) -> DataFrame:
-    """Pairs whose values agree project by project, one new name for an old one: file_name, old, new."""
+def _agreeing(compared: DataFrame, values: DataFrame) -> DataFrame:
+    """Fields of one type that go and come with values that agree project by project, one new name for an old one: file_name, old, new.
+
+    Fields meet only where a project has one value under both, by its hash; fields that share nothing never do.
+    """
+    gone, come = _ends(compared)
     keys = ["file_name", "old", "new"]
-    before = moved.join(values.select(F.col("file_name").alias("previous"), F.col("field").alias("old"), "project", "value_hash"), ["previous", "old"])
-    after = moved.join(values.select("file_name", F.col("field").alias("new"), "project", "value_hash"), ["file_name", "new"])
-    sides = before.select(*keys, "project", "value_hash", F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(after.select(*keys, "project", "value_hash", F.lit(0).alias("b"), F.lit(1).alias("a")))
-    shared = sides.groupBy(*keys, "project", "value_hash").agg(F.max("b").alias("b"), F.max("a").alias("a"))
-    projects = shared.groupBy(*keys, "project").agg((F.max("b") * F.max("a")).alias("both"), F.max(F.col("b") * F.col("a")).alias("equal"))
-    scores = projects.groupBy(*keys).agg(F.sum("both").alias("both"), F.sum("equal").alias("equal")).where((F.col("equal") > 0) & (F.col("equal") >= SAME_CONTENT * F.col("both")))
+    before = values.select(F.col("file_name").alias("previous"), F.col("field").alias("old"), "project", "value_hash").join(gone, ["previous", "old"]).select("file_name", "old", "kind", "project", "value_hash").distinct()
+    after = values.select("file_name", F.col("field").alias("new"), "project", "value_hash").join(come, ["file_name", "new"]).select("file_name", "new", "kind", "project", "value_hash").distinct()
+    same = before.join(after, ["file_name", "kind", "project", "value_hash"]).select(*keys, "project").distinct().groupBy(*keys).agg(F.count("*").alias("equal"))
+    same = shared_table(same)
+    olds, news = before.select("file_name", "old", "project").distinct(), after.select("file_name", "new", "project").distinct()
+    both = same.join(olds, ["file_name", "old"]).join(news, ["file_name", "new", "project"]).groupBy(*keys).agg(F.count("*").alias("both"))
+    scores = same.join(both, keys).where(F.col("equal") >= SAME_CONTENT * F.col("both"))
     return _one_to_one(scores, F.col("equal"))
 
 
+def _alike(compared: DataFrame, values: DataFrame) -> DataFrame:
+    """Fields of one type that go and come with values of one form, which is the commonest of each: file_name, old, new."""
+    gone, come = _ends(compared)
+    counts = values.groupBy("file_name", "field", "form").agg(F.count("*").alias("n"))
+    forms = counts.groupBy("file_name", "field").agg(F.max(F.struct("n", "form")).alias("best")).select("file_name", "field", "best.form", "best.n")
+    before = gone.join(forms.select(F.col("file_name").alias("previous"), F.col("field").alias("old"), "form", "n"), ["previous", "old"])
+    after = come.join(forms.select("file_name", F.col("field").alias("new"), "form"), ["file_name", "new"])
+    return _one_to_one(before.join(after, ["file_name", "kind", "form"]), F.col("n"))
+
+
 def _one_to_one(pairs: DataFrame, weight: Column) -> DataFrame:
     by_old = Window.partitionBy("file_name", "old").orderBy(weight.desc(), "new")
     by_new = Window.partitionBy("file_name", "new").orderBy(weight.desc(), "old")
@@ -97,37 +116,24 @@ def schema_changes(export_files: DataFrame, project_runs: DataFrame, conversatio
 
     Files follow each other by ``exported_at``, then name; a file without rows has no fields. A member of ``stats``
     is renamed to another when, of the projects in both files, at least half have an equal value under both names.
-    ``snapshot_id`` and ``snapshot`` are two places of one reference, so a change of place with one type is a renaming.
+    ``snapshot_id`` and ``snapshot`` are two places of one reference whose values are new in each file, so a change of
+    place with one type and one form of the values (such as hex digits) is a renaming.
     """
     files = export_files.where(F.col("file_name").isNotNull()).dropDuplicates(["file_name"]).withColumn("chain", F.concat_ws("|", "feed", "workspace_fingerprint"))
     chained = shared_table(with_neighbours(files.select("file_name", "feed", "chain", "exported_at"), "chain", ["exported_at", "file_name"], "file_name").select("file_name", "feed", "previous"))
     values = shared_table(path_values(project_runs))
     runs = shared_table(_compared(chained.where("feed = 'runs'"), _fields(values)))
-    turns = _compared(chained.where("feed = 'turns'"), _turn_fields(conversation_turns))
-    renamed = shared_table(_agreeing(shared_table(_moved(runs)), values))
-    moved = _one_to_one(_moved(turns), F.lit(1))
+    references = _turn_values(conversation_turns)
+    turns = _compared(chained.where("feed = 'turns'"), _fields(references))
+    renamed = shared_table(_agreeing(runs, values))
+    moved = _alike(turns, references)
     return _report(runs, renamed).unionByName(_report(turns, moved))
 
 
-def canonical_names(renamed: DataFrame, limit: int = 100_000) -> dict[str, str]:
-    """One name for all names of a field: the least of those linked by renamings, of any file.
-
-    Only distinct pairs of field names reach the driver; a feed with more than ``limit`` of them is an error.
-    """
-    pairs = renamed.select("field_name", "new_name").distinct().limit(limit + 1).collect()
-    if len(pairs) > limit:
-        raise ValueError(f"more than {limit} renamings between field names")
-    root: dict[str, str] = {}
-
-    def find(name: str) -> str:
-        while root.setdefault(name, name) != name:
-            name = root[name]
-        return name
-
-    for one, two in pairs:
-        a, b = sorted((find(one), find(two)))
-        root[b] = a
-    return {name: find(name) for name in root}
+def canonical_names(renamed: DataFrame) -> DataFrame:
+    """``(raw_name, field)``: one name for all names of a field, the least of those linked by renamings, of any file."""
+    links = renamed.select(F.col("field_name").alias("source"), F.col("new_name").alias("target")).distinct()
+    return components(links).select(F.col("node").alias("raw_name"), F.col("component").alias("field"))
 
 
 def _typed(kind: Column, raw_type: Column, value: Column) -> dict[str, Column]:
@@ -174,9 +180,8 @@ def consistent_table(export_files: DataFrame, project_runs: DataFrame, conversat
     """
     changes = schema_changes(export_files, project_runs, conversation_turns)
     names = canonical_names(changes.where("change_kind = 'renamed' and new_name not in ('snapshot', 'snapshot_id')"))
-    pairs = [F.lit(x) for pair in sorted(names.items()) for x in pair]
-    field = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("raw_name")), F.col("raw_name")) if pairs else F.col("raw_name")
-    named = _members(project_runs).withColumn("field", field).unionByName(_references(conversation_turns).withColumn("field", F.lit("snapshot_id")))
+    members = _members(project_runs).join(names, "raw_name", "left").withColumn("field", F.coalesce("field", "raw_name"))
+    named = members.unionByName(_references(conversation_turns).withColumn("field", F.lit("snapshot_id")))
     kinds = named.groupBy("feed", "field", "raw_type").agg(F.count("*").alias("n")).groupBy("feed", "field").agg(F.min(F.struct(-F.col("n"), "raw_type")).alias("k")).select("feed", "field", F.col("k.raw_type").alias("field_type"))
     typed = named.join(kinds, ["feed", "field"]).withColumns(_typed(F.col("field_type"), F.col("raw_type"), F.col("value")))
     cast = F.when(F.col("field_type") == "integer", F.col("integer").isNull()).otherwise(F.coalesce(F.col("number").cast("string"), F.col("flag").cast("string"), "text", "json").isNull())

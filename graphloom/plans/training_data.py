@@ -86,7 +86,8 @@ _P6 = ", ".join(
         "cp AS (SELECT coalesce(nw.f, od.f) AS f, coalesce(nw.b, od.b) AS b, coalesce(nw.feed, od.feed) AS feed, coalesce(nw.field, od.field) AS field, od.kind AS k0, nw.kind AS k1 FROM nw FULL JOIN od ON nw.f = od.f AND nw.field = od.field)",
         "mv AS (SELECT g.f, g.b, g.feed, g.field AS o, c.field AS n FROM cp g JOIN cp c ON g.f = c.f AND g.k0 = c.k1 WHERE g.k1 IS NULL AND c.k0 IS NULL)",
         "pa AS (SELECT mv.f, o, n, x.project, bool_or(x.x = y.x) AS same FROM mv JOIN vs x ON x.f = mv.b AND x.field = o JOIN vs y ON y.f = mv.f AND y.field = n AND y.project = x.project WHERE feed = 'runs' GROUP BY ALL)",
-        "sc AS (SELECT f, o, n, count(*) FILTER (same) AS e FROM pa GROUP BY ALL HAVING count(*) FILTER (same) >= 0.5 * count(*) UNION ALL SELECT f, o, n, 1 FROM mv WHERE feed = 'turns')",
+        "fo AS (SELECT f, field, regexp_replace(regexp_replace(regexp_replace(lower(x), '^[a-z][a-z0-9]*:', ''), '[0-9a-f-]{6,}', '#', 'g'), '[0-9]+', '#', 'g') AS form FROM ts WHERE x IS NOT NULL GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY f, field ORDER BY count(*) DESC, form DESC) = 1)",
+        "sc AS (SELECT f, o, n, count(*) FILTER (same) AS e FROM pa GROUP BY ALL HAVING count(*) FILTER (same) >= 0.5 * count(*) UNION ALL SELECT mv.f, o, n, 1 FROM mv JOIN fo a ON a.f = mv.b AND a.field = o JOIN fo z ON z.f = mv.f AND z.field = n AND z.form = a.form WHERE feed = 'turns')",
         "rn AS (SELECT f, o, n FROM sc QUALIFY row_number() OVER (PARTITION BY f, o ORDER BY e DESC, n) = 1 AND row_number() OVER (PARTITION BY f, n ORDER BY e DESC, o) = 1)",
     )
 )
