@@ -24,14 +24,17 @@ def degree_summaries(nodes: DataFrame, edges: DataFrame, subject_kinds: Sequence
     subjects = nodes.where(F.col("kind").isin(*subject_kinds)) if subject_kinds else nodes
     others = nodes.where(F.col("kind").isin(*neighbour_kinds)) if neighbour_kinds else nodes
     subjects, others = subjects.select("id").distinct(), others.select(F.col("id").alias("other")).distinct()
-    links = edges.select("source", "target", "relation")
-    ends = links.select(F.col("source").alias("id"), F.col("target").alias("other"), "relation", F.lit("out").alias("way")).unionByName(
-        links.select(F.col("target").alias("id"), F.col("source").alias("other"), "relation", F.lit("in").alias("way"))
-    )
-    held = ends.join(subjects, "id", "left_semi").join(others, "other", "left_semi")
-    pairs = held.groupBy("id", "other", "way").agg(F.collect_set("relation").alias("relations"))
-    both = pairs.select("id", "way", F.explode(F.concat("relations", F.array(F.lit("*")))).alias("relation"))
-    counted = both.groupBy("id", "relation").agg(F.count_if(F.col("way") == "out").alias("out_degree"), F.count_if(F.col("way") == "in").alias("in_degree"))
+    links = edges.select("source", "target", "relation").distinct()
+    out, into = (links.select(F.col(a).alias("id"), F.col(b).alias("other"), "relation") for a, b in (("source", "target"), ("target", "source")))
+
+    def counted_side(side: DataFrame, name: str) -> DataFrame:
+        held = side.join(others, "other", "left_semi")
+        by_relation = held.groupBy("id", "relation").agg(F.count("*").alias(name))
+        total = held.groupBy("id").agg(F.count_distinct("other").alias(name)).withColumn("relation", F.lit("*"))
+        return by_relation.unionByName(total)
+
+    sides = counted_side(out, "out_degree").withColumn("in_degree", F.lit(0).cast("bigint")).unionByName(counted_side(into, "in_degree").withColumn("out_degree", F.lit(0).cast("bigint")))
+    counted = sides.groupBy("id", "relation").agg(F.sum("out_degree").alias("out_degree"), F.sum("in_degree").alias("in_degree")).join(subjects, "id", "left_semi")
     if include_zero:
         missing = subjects.join(counted.select("id").distinct(), "id", "left_anti")
         counted = counted.unionByName(missing.select("id", F.lit("*").alias("relation"), F.lit(0).cast("bigint").alias("out_degree"), F.lit(0).cast("bigint").alias("in_degree")))
@@ -131,6 +134,12 @@ def paths_from(edges: DataFrame, roots: DataFrame, max_depth: int = 8, limit: in
     return result.orderBy("path").limit(limit) if limit else result
 
 
+def prefixes(paths: DataFrame) -> DataFrame:
+    """``(path)``: all simple paths of one step and more that ``paths(path, cyclic)`` begin with; the step that closes a cycle is left out."""
+    simple = F.size("path") - F.col("cyclic").cast("int")
+    return paths.where(simple >= 2).select(F.explode(F.transform(F.sequence(F.lit(2), simple), lambda n: F.slice("path", 1, n))).alias("path")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of weakly connected components, named by their least node, by label passing with shortcuts."""
     links = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a is not null and b is not null")
@@ -231,9 +240,29 @@ def orphan_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("source"), F.lit(1).alias("s")), "source", "left").join(ids.select(F.col("id").alias("target"), F.lit(1).alias("t")), "target", "left").where("s is null or t is null").select("source", "target", "relation")
 
 
+def nearest(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``(node, depth)``: what can be reached from any of ``starts(id)``, and the fewest steps to it; the starts have depth 0.
+
+    One search from all starts together, so a node is held once, however many starts reach it.
+    """
+    links = checkpoint(edges.select("source", "target").where(F.col("source").isNotNull() & F.col("target").isNotNull()).distinct())
+    frontier = checkpoint(starts.select(F.col("id").alias("node"), F.lit(0).alias("depth")).where(F.col("node").isNotNull()).distinct())
+    seen, depth = frontier, 0
+    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+        depth += 1
+        step = frontier.join(links, F.col("node") == F.col("source")).select(F.col("target").alias("node"), F.lit(depth).alias("depth")).distinct()
+        frontier = checkpoint(step.join(seen.select("node"), "node", "left_anti"))
+        seen = _grown(seen, frontier, depth)
+    return seen
+
+
+def reversed_edges(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+
+
 def invalidated(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """``(node)``: the changed nodes and all that depend on them, directly or not."""
-    return reachable(edges.select(F.col("target").alias("source"), F.col("source").alias("target")), changed.select(F.col("id").alias("root"))).select("node").distinct()
+    return nearest(reversed_edges(edges), changed).select("node")
 
 
 def row_digest(df: DataFrame, columns: Sequence[str] | None = None) -> Column:

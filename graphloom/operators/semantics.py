@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import reachable
+from graphloom.operators.graph import nearest, reachable, reversed_edges
 from graphloom.operators.lookups import resolve_staged
 
 
@@ -24,14 +24,23 @@ def without_source(symbols: DataFrame, sources: DataFrame) -> DataFrame:
 def resolve_types(uses: DataFrame, types: DataFrame, imports: DataFrame) -> DataFrame:
     """``(use_id, status, stage, target, options)`` of ``uses(use_id, file, package, name)``.
 
-    Stage 1 is the own package, an import or the language's package, stage 2 any type of that simple name.
+    Stage 1 is the own package, an import or the language's package, stage 2 any type of that simple name. Only uses that
+    stage 1 leaves open go on, and they meet one row per simple name, so a name of many types fans out nowhere.
     ``types(fqn, package, name)``, ``imports(file, fqn)``.
     """
-    named = uses.join(types, "name").select("use_id", "file", uses["package"].alias("here"), types["package"].alias("there"), "fqn")
-    imported = named.join(imports.select("file", "fqn").distinct(), ["file", "fqn"]).select("use_id", F.lit(1).alias("stage"), F.col("fqn").alias("target"))
-    near = named.where((F.col("here") == F.col("there")) | (F.col("there") == "java.lang")).select("use_id", F.lit(1).alias("stage"), F.col("fqn").alias("target"))
-    anywhere = named.select("use_id", F.lit(2).alias("stage"), F.col("fqn").alias("target"))
-    return resolve_staged(uses, imported.unionByName(near).unionByName(anywhere), "use_id")
+    own = uses.select("use_id", "file", F.col("package").alias("here"), "name")
+    known = types.select("fqn", F.col("package").alias("there"), "name").distinct()
+    spoken = imports.select("file", "fqn").distinct().join(known.select("fqn", "name"), "fqn")
+    imported = own.join(spoken, ["file", "name"]).select("use_id", F.col("fqn").alias("target"))
+    beside = own.join(known.withColumnRenamed("there", "here"), ["here", "name"]).select("use_id", F.col("fqn").alias("target"))
+    given = own.join(known.where("there = 'java.lang'"), "name").select("use_id", F.col("fqn").alias("target"))
+    near = imported.unionByName(beside).unionByName(given).select("use_id", F.lit(1).alias("stage"), "target")
+    rest = own.join(near.select("use_id").distinct(), "use_id", "left_anti")
+    simple = known.groupBy("name").agg(F.count_distinct("fqn").alias("options"), F.min("fqn").alias("target"))
+    far = rest.join(simple, "name").select("use_id", F.lit(2).alias("stage"), "target", "options")
+    first = near.groupBy("use_id").agg(F.lit(1).alias("stage"), F.min("target").alias("target"), F.count_distinct("target").alias("options")).unionByName(far)
+    status = F.when(F.col("options").isNull(), "unresolved").when(F.col("options") == 1, "resolved").otherwise("ambiguous")
+    return uses.select("use_id").distinct().join(first, "use_id", "left").select("use_id", status.alias("status"), "stage", "target", F.coalesce("options", F.lit(0)).alias("options"))
 
 
 def link_calls(calls: DataFrame, methods: DataFrame, library: DataFrame) -> DataFrame:
@@ -51,7 +60,7 @@ def overloads(calls: DataFrame, methods: DataFrame, widens: DataFrame) -> DataFr
     """``(call_id, status, stage, target, options)``: of the methods of a name whose parameters take the arguments, those that
     need the fewest widenings. ``calls(call_id, name, arguments)``, ``methods(method_id, name, parameters)``,
     ``widens(narrow, wide)`` closed under steps, without a type to itself."""
-    pairs = calls.join(methods, "name").where(F.size("arguments") == F.size("parameters"))
+    pairs = calls.withColumn("arity", F.size("arguments")).join(methods.withColumn("arity", F.size("parameters")), ["name", "arity"])
     empty = pairs.where(F.size("arguments") == 0).select("call_id", "method_id", F.lit(0).alias("stage"))
     each = pairs.select("call_id", "method_id", F.size("arguments").alias("n"), F.posexplode(F.arrays_zip("arguments", "parameters")).alias("k", "p")).select("call_id", "method_id", "n", "k", F.col("p.arguments").alias("narrow"), F.col("p.parameters").alias("wide"))
     fits = each.join(widens.select("narrow", "wide", F.lit(1).alias("w")).distinct(), ["narrow", "wide"], "left").where((F.col("narrow") == F.col("wide")) | F.col("w").isNotNull())
@@ -85,9 +94,7 @@ def endpoint_entities(edges: DataFrame, endpoints: DataFrame, entities: DataFram
 
 def legacy_impact(edges: DataFrame, roots: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(node, distance, file)``: what depends on any of the roots, the distance to the nearest, and the file it is in, if known."""
-    back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    near = reachable(back, roots, "never", max_depth).groupBy("node").agg(F.min("depth").alias("distance"))
-    near = near.join(roots.select(F.col("root").alias("node")).distinct(), "node", "left_anti")
+    near = nearest(reversed_edges(edges), roots.select(F.col("root").alias("id")), max_depth).where("depth > 0").withColumnRenamed("depth", "distance")
     return near.join(sources.select(F.col("id").alias("node"), F.col("source").alias("file")).distinct(), "node", "left")
 
 

@@ -52,26 +52,39 @@ EDGES_SQL = (
 )
 
 
+def _number(name: str):
+    """A number for a name, the same in Spark and SQL: 48 bits of its digest."""
+    return F.conv(F.substring(F.sha2(name, 256), 1, 12), 16, 10).cast("bigint")
+
+
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """one, two, evidence: projects and what ever blocked them, projects and the subjects that were asked about in them, and
+    modules and their projects; each once, of whole tables."""
+    runs = table(spark, folder, "project_runs", ["project", "blocked_by_json"])
+    blocked = runs.select(F.col("project").alias("one"), F.explode(F.from_json("blocked_by_json", "array<string>")).alias("two"), F.lit("blocked_by").alias("evidence"))
+    asked = table(spark, folder, "ask_log").select(F.col("project").alias("one"), F.lower("subject").alias("two"), F.lit("asked").alias("evidence"))
+    modules = table(spark, folder, "risk_hotspots").where(F.lower("kind") == "module").select(F.lower("subject_id").alias("one"), F.col("project").alias("two"), F.lit("module_of").alias("evidence"))
+    return blocked.unionByName(asked).unionByName(modules).where("one is not null and two is not null").distinct()
+
+
+def projects(spark: SparkSession, folder: str) -> DataFrame:
+    """id, name, area of all projects that runs name, and of all ends of ``trade``; areas are five."""
+    pairs = _pairs(spark, folder)
+    named = table(spark, folder, "project_runs", ["project"]).union(pairs.select("one")).union(pairs.select("two")).where("project is not null").distinct()
+    return named.select(_number("project").alias("id"), F.col("project").alias("name"), (_number("project") % 5).alias("area"))
+
+
 def trade(spark: SparkSession, folder: str) -> DataFrame:
-    """A graph with cycles: each supplier nation to its three customer nations of the greatest quantity."""
-    from pyspark.sql import Window
-
-    sold = (
-        table(spark, folder, "lineitem", ["l_orderkey", "l_suppkey", "l_quantity"])
-        .join(table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-        .join(table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-        .join(table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-        .groupBy("s_nationkey", "c_nationkey")
-        .agg(F.sum("l_quantity").alias("quantity"))
-    )
-    order = Window.partitionBy("s_nationkey").orderBy(F.col("quantity").desc(), "c_nationkey")
-    top = sold.withColumn("place", F.row_number().over(order)).where("place <= 3")
-    return top.select(F.col("s_nationkey").alias("source"), F.col("c_nationkey").alias("target"), F.lit("depends_on").alias("relation"), F.array(F.col("quantity").cast("string")).alias("evidence"))
+    """The graph of projects and subjects, with cycles: each depends on what ever blocked it, was asked about in it, or holds it.
+    It grows with the tables; no edge is left out."""
+    return _pairs(spark, folder).groupBy(_number("one").alias("source"), _number("two").alias("target")).agg(F.lit("depends_on").alias("relation"), F.array_sort(F.collect_set("evidence")).alias("evidence"))
 
 
+_NUMBER_SQL = "('0x' || substr(sha256({}), 1, 12))::BIGINT"
 TRADE_SQL = (
-    "trade AS (SELECT source, target FROM (SELECT s_nationkey AS source, c_nationkey AS target, row_number() OVER (PARTITION BY s_nationkey ORDER BY sum(l_quantity) DESC, c_nationkey) AS place"
-    " FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey, c_nationkey) WHERE place <= 3)"
+    "pairs AS (SELECT DISTINCT one, two FROM (SELECT project AS one, unnest(from_json(blocked_by_json, '[\"VARCHAR\"]')) AS two FROM project_runs UNION ALL SELECT project, lower(subject) FROM ask_log UNION ALL SELECT lower(subject_id), project FROM risk_hotspots WHERE lower(kind) = 'module') WHERE one IS NOT NULL AND two IS NOT NULL), "
+    f"trade AS MATERIALIZED (SELECT {_NUMBER_SQL.format('one')} AS source, {_NUMBER_SQL.format('two')} AS target FROM pairs), "
+    f"projects AS MATERIALIZED (SELECT {_NUMBER_SQL.format('name')} AS id, name, {_NUMBER_SQL.format('name')} % 5 AS area FROM (SELECT project AS name FROM project_runs UNION SELECT one FROM pairs UNION SELECT two FROM pairs) WHERE name IS NOT NULL)"
 )
 
 

@@ -9,20 +9,20 @@ from graphloom.operators import impact as I
 from graphloom.operators import motifs as M
 from graphloom.operators import search as S
 from graphloom.operators import security as X
-from graphloom.operators.graph import paths_from, reachable, strong_components
-from graphloom.plans.adapters import TRADE_SQL, trade
+from graphloom.operators.graph import paths_from, prefixes, reachable, strong_components
+from graphloom.plans.adapters import TRADE_SQL, projects, trade
 from graphloom.session import checkpoint
 from graphloom.sources.tables import table
 
 
-def _nations(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "nation").select(F.col("n_nationkey").alias("id"), F.lit("project").alias("kind"))
+def _projects(spark: SparkSession, folder: str) -> DataFrame:
+    return projects(spark, folder).withColumn("kind", F.lit("project"))
 
 
 def _impact(spark: SparkSession, folder: str) -> DataFrame:
-    nations, links = _nations(spark, folder), checkpoint(trade(spark, folder))
-    legal = I.legal_edges(nations, links, "signature")
-    return I.propagate(legal, nations.select(F.col("id").alias("root")), 4)
+    every, links = _projects(spark, folder), checkpoint(trade(spark, folder))
+    legal = I.legal_edges(every, links, "signature")
+    return I.propagate(legal, every.select(F.col("id").alias("root")), 4)
 
 
 def impact_findings(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,7 +55,7 @@ def reachability(spark: SparkSession, folder: str) -> DataFrame:
 
 def _facts(spark: SparkSession, folder: str) -> DataFrame:
     links = checkpoint(trade(spark, folder).select("source", "target"))
-    kinds = {"inherits": "target % 2 = 0", "composes": "true", "calls": "source <> 5", "returns": "target % 2 = 0", "constructs": "true"}
+    kinds = {"inherits": "target % 2 = 0", "composes": "true", "calls": "source % 11 <> 5", "returns": "target % 2 = 0", "constructs": "true"}
     found = None
     for name, condition in kinds.items():
         one = links.where(condition).withColumn("relation", F.lit(name))
@@ -94,7 +94,7 @@ def motif_template_methods(spark: SparkSession, folder: str) -> DataFrame:
     method = lambda c, m: F.concat(F.lit(m), F.col(c))
     over = links.where("source % 2 = 0").select(method("source", "hook").alias("source"), method("target", "hook").alias("target"), F.lit("overrides").alias("relation"))
     calls = links.where("target % 3 = 0").select(method("target", "run").alias("source"), method("target", "hook").alias("target"), F.lit("calls").alias("relation"))
-    members = table(spark, folder, "nation").select(F.explode(F.array(F.struct(method("n_nationkey", "hook").alias("method"), F.col("n_nationkey").alias("owner")), F.struct(method("n_nationkey", "run").alias("method"), F.col("n_nationkey").alias("owner")))).alias("x")).select("x.method", "x.owner")
+    members = projects(spark, folder).select(F.explode(F.array(F.struct(method("id", "hook").alias("method"), F.col("id").alias("owner")), F.struct(method("id", "run").alias("method"), F.col("id").alias("owner")))).alias("x")).select("x.method", "x.owner")
     facts = inherits.select(F.col("source").cast("string"), F.col("target").cast("string"), "relation").unionByName(over).unionByName(calls)
     return M.template_methods(facts, members.select("method", F.col("owner").cast("string").alias("owner")))
 
@@ -125,9 +125,10 @@ def consolidated_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 def taint_paths(spark: SparkSession, folder: str) -> DataFrame:
     links = checkpoint(trade(spark, folder))
-    paths = paths_from(links, _nations(spark, folder).select(F.col("id").alias("root")), 4)
-    every = paths.where("not cyclic").select(F.explode(F.transform(F.sequence(F.lit(2), F.size("path")), lambda n: F.slice("path", 1, n))).alias("path")).distinct()
-    found = X.taint_findings(every, [0, 5, 10, 15, 20], [1, 6, 11, 16, 21], [2, 3, 4])
+    own = _projects(spark, folder)
+    paths = paths_from(links, own.select(F.col("id").alias("root")), 4)
+    every = prefixes(paths)
+    found = X.taint_between(every, own.where("area = 0").select("id"), own.where("area = 1").select("id"), own.where("id % 7 = 2").select("id"))
     return found.select(F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"), "verdict")
 
 
@@ -137,14 +138,14 @@ def debt_ranking(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def change_review(spark: SparkSession, folder: str) -> DataFrame:
-    nations, links = _nations(spark, folder), checkpoint(trade(spark, folder))
-    nation = table(spark, folder, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("src/"), "n_name").alias("path"), F.col("n_regionkey").cast("string").alias("project"))
-    changes = nation.where("id % 2 = 0").select("path", "project").unionByName(table(spark, folder, "region").select(F.concat(F.lit("docs/"), "r_name").alias("path"), F.col("r_regionkey").cast("string").alias("project")))
+    every, links = _projects(spark, folder), checkpoint(trade(spark, folder))
+    subjects = every.select("id", F.concat(F.lit("src/"), "name").alias("path"), F.col("area").cast("string").alias("project"))
+    changes = subjects.where("id % 2 = 0").select("path", "project").unionByName(table(spark, folder, "region").select(F.concat(F.lit("docs/"), "r_name").alias("path"), F.col("r_regionkey").cast("string").alias("project")))
     back = links.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    dependents = reachable(back, nations.select(F.col("id").alias("root")), "never").groupBy(F.col("root").alias("id")).agg(F.count("*").alias("dependents"))
-    risk = table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.count("*").alias("risk")).where("risk > 55")
+    dependents = reachable(back, every.select(F.col("id").alias("root")), "never").groupBy(F.col("root").alias("id")).agg(F.count("*").alias("dependents"))
+    risk = table(spark, folder, "project_runs").groupBy("project").agg(F.count("*").alias("risk")).where("risk > 4").join(every.select(F.col("name").alias("project"), "id"), "project").select("id", "risk")
     cyclic = strong_components(links).where("recursive").select(F.col("node").alias("id"))
-    return X.change_review(changes, nation, dependents, risk, cyclic)
+    return X.change_review(changes, subjects, dependents, risk, cyclic)
 
 
 def citation_check(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,8 +158,8 @@ def citation_check(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (impact_findings, impact_confidence, impact_breaking, reachability, motif_strategies, motif_factories, motif_adapters, motif_decorators, motif_commands, motif_builders, motif_template_methods, architecture_tokens, secret_findings, weak_crypto, consolidated_findings, taint_paths, debt_ranking, change_review, citation_check)}
 
-_HOPS = f"WITH RECURSIVE {TRADE_SQL}, walk AS (SELECT n_nationkey AS root, n_nationkey AS node, 0 AS hops FROM nation UNION SELECT w.root, t.source, w.hops + 1 FROM walk w JOIN trade t ON t.target = w.node WHERE w.hops < 4), hop AS (SELECT root, node, min(hops) AS hops FROM walk GROUP BY root, node HAVING root <> node)"
-_FACTS = f"{TRADE_SQL}, inh AS (SELECT * FROM trade WHERE target % 2 = 0), cal AS (SELECT * FROM trade WHERE source <> 5), impl AS (SELECT target AS base, count(*) AS implementations FROM inh GROUP BY 1 HAVING count(*) >= 2)"
+_HOPS = f"WITH RECURSIVE {TRADE_SQL}, walk AS (SELECT id AS root, id AS node, 0 AS hops FROM projects UNION SELECT w.root, t.source, w.hops + 1 FROM walk w JOIN trade t ON t.target = w.node WHERE w.hops < 4), hop AS (SELECT root, node, min(hops) AS hops FROM walk GROUP BY root, node HAVING root <> node)"
+_FACTS = f"{TRADE_SQL}, inh AS (SELECT * FROM trade WHERE target % 2 = 0), cal AS (SELECT * FROM trade WHERE source % 11 <> 5), impl AS (SELECT target AS base, count(*) AS implementations FROM inh GROUP BY 1 HAVING count(*) >= 2)"
 SQL = {
     "impact_findings": _HOPS + " SELECT root, node, hops, round(CASE node % 3 WHEN 2 THEN (0.78::DOUBLE * 0.6 + 0.25 / (1 + 0.2::DOUBLE * (hops - 1))) / 0.85 ELSE 0.78::DOUBLE * 0.6 + 0.25 / (1 + 0.2::DOUBLE * (hops - 1)) + CASE node % 3 WHEN 0 THEN 0.15 ELSE 0 END END, 6) AS score, CASE hops WHEN 1 THEN 'direct' ELSE 'transitive' END AS reach FROM hop",
     "impact_confidence": _HOPS + ", c AS (SELECT root, node, round(0.82::DOUBLE * 0.88::DOUBLE * 0.75::DOUBLE / (1 + 0.1::DOUBLE * (hops - 1)), 4) AS confidence FROM hop) SELECT *, CASE WHEN confidence < 0.4 THEN 'insufficient' WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS tier FROM c",
@@ -167,7 +168,7 @@ SQL = {
     "motif_strategies": f"WITH {_FACTS} SELECT t.source AS abstraction, t.target AS client, implementations FROM trade t JOIN impl ON base = t.source WHERE (t.target, t.source) NOT IN (SELECT (source, target) FROM inh)",
     "motif_factories": f"WITH {_FACTS} SELECT r.source AS factory, r.target AS abstraction, count(*) AS products FROM inh r JOIN inh c ON c.target = r.target JOIN trade k ON k.source = r.source AND k.target = c.source GROUP BY 1, 2 HAVING count(*) >= 2",
     "motif_adapters": f"WITH {_FACTS} SELECT c.source AS adapter, i.target AS role, c.target AS adaptee FROM cal c JOIN inh i ON i.source = c.source WHERE i.target <> c.target",
-    "motif_decorators": f"WITH {_FACTS} SELECT source AS decorator, target AS role FROM inh WHERE source <> 5",
+    "motif_decorators": f"WITH {_FACTS} SELECT source AS decorator, target AS role FROM inh WHERE source % 11 <> 5",
     "motif_commands": f"WITH {_FACTS} SELECT v.target AS abstraction, v.source AS invoker, k.source AS command, r.target AS receiver FROM cal v JOIN impl ON base = v.target JOIN inh k ON k.target = v.target JOIN cal r ON r.source = k.source WHERE v.source <> k.source AND r.target <> v.target",
     "motif_builders": "SELECT owner FROM (SELECT DISTINCT l_suppkey AS owner, l_orderkey AS name, CASE WHEN l_quantity = 50 THEN l_suppkey ELSE l_partkey END AS r FROM lineitem) GROUP BY owner HAVING count(*) FILTER (r = owner) >= 2 AND count(*) FILTER (r <> owner) >= 1",
     "motif_template_methods": f"WITH {TRADE_SQL} SELECT DISTINCT 'run' || target AS template, 'hook' || target AS hook, 'hook' || source AS override FROM trade WHERE source % 2 = 0 AND target % 3 = 0",
@@ -176,8 +177,8 @@ SQL = {
     "weak_crypto": "SELECT DISTINCT upper(p_name) AS name, regexp_matches('A' || upper(p_name) || 'ES', 'MD5|SHA-1|SHA1|DES|RC4|AES/ECB') AS weak FROM part",
     "consolidated_findings": "WITH f AS (SELECT l_suppkey AS project, l_returnflag AS rule, l_linenumber AS line, CASE WHEN l_quantity > 40 THEN 4 WHEN l_quantity > 20 THEN 3 WHEN l_quantity > 10 THEN 1 ELSE 0 END AS s, l_linestatus AS p, trunc(l_discount * 100)::INT AS traces, l_tax > 0.07 AS resolved FROM lineitem), g AS (SELECT project, rule, line, s, count(*) AS n, list(DISTINCT p) AS ps, max(traces) AS traces, bool_or(resolved) AS resolved FROM f GROUP BY 1, 2, 3, 4), m AS (SELECT project, rule, line, max(s) AS s, round(max(n) / sum(n), 4) AS agreement, len(list_distinct(flatten(list(ps))))::INT AS producers, max(traces) AS traces, bool_or(resolved) AS resolved FROM g GROUP BY 1, 2, 3), "
     "w AS (SELECT *, 0.5::DOUBLE + CASE WHEN traces > 0 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN resolved THEN 0.15::DOUBLE ELSE 0 END AS weight, [0.05, 0.15, 0.3, 0.4, 0.5][s + 1]::DOUBLE + CASE WHEN traces >= 2 THEN 0.15::DOUBLE WHEN traces > 0 THEN 0.0975::DOUBLE ELSE 0 END + CASE WHEN resolved THEN 0.15::DOUBLE ELSE 0 END AS points FROM m), r AS (SELECT *, round(points / weight, 4) AS priority FROM w) SELECT project, rule, line, ['info', 'low', 'medium', 'high', 'critical'][s + 1] AS severity, agreement, producers, priority, CASE WHEN priority >= 0.85 THEN 'critical' WHEN priority >= 0.65 THEN 'high' WHEN priority >= 0.45 THEN 'medium' WHEN priority >= 0.2 THEN 'low' ELSE 'informational' END AS tier FROM r",
-    "taint_paths": f"WITH RECURSIVE {TRADE_SQL}, walk AS (SELECT [n_nationkey] AS path FROM nation UNION ALL SELECT list_append(path, target) FROM walk JOIN trade ON source = path[-1] WHERE len(path) < 5 AND NOT list_contains(path, target)), reached AS (SELECT path FROM walk WHERE len(path) > 1) SELECT array_to_string(path, '>') AS path, CASE WHEN list_has_any(path[2:-2], [2, 3, 4]) THEN 'sanitized' ELSE 'tainted' END AS verdict FROM reached WHERE path[1] % 5 = 0 AND path[-1] % 5 = 1",
+    "taint_paths": f"WITH RECURSIVE {TRADE_SQL}, walk AS (SELECT [id] AS path FROM projects UNION ALL SELECT list_append(path, target) FROM walk JOIN trade ON source = path[-1] WHERE len(path) < 5 AND NOT list_contains(path, target)), reached AS (SELECT path FROM walk WHERE len(path) > 1) SELECT array_to_string(path, '>') AS path, CASE WHEN len(list_filter(path[2:-2], lambda x: x % 7 = 2)) > 0 THEN 'sanitized' ELSE 'tainted' END AS verdict FROM reached WHERE path[1] % 5 = 0 AND path[-1] % 5 = 1",
     "debt_ranking": "WITH s AS (SELECT s_suppkey AS seam, CASE WHEN s_acctbal > 0 THEN floor(s_acctbal / 1000)::BIGINT END AS impact, s_nationkey AS direct, CASE WHEN s_nationkey > 5 THEN s_acctbal END AS risk FROM supplier) SELECT *, CASE WHEN impact IS NOT NULL THEN row_number() OVER (ORDER BY impact DESC NULLS LAST, direct DESC NULLS LAST, risk DESC NULLS LAST, seam)::INT END AS rank FROM s",
-    "change_review": f"WITH RECURSIVE {TRADE_SQL}, nat AS (SELECT n_nationkey AS id, 'src/' || n_name AS path, n_regionkey FROM nation), ch AS (SELECT path, id, true AS exact FROM nat WHERE id % 2 = 0 UNION ALL SELECT 'docs/' || r_name, id, false FROM region JOIN nat ON n_regionkey = r_regionkey), reach AS (SELECT target AS root, source AS node FROM trade UNION SELECT r.root, t.source FROM reach r JOIN trade t ON t.target = r.node), dep AS (SELECT root, count(*) FILTER (root <> node) AS dependents, bool_or(root = node) AS c FROM reach GROUP BY root), risk AS (SELECT c_nationkey AS id, count(*) AS risk FROM customer GROUP BY 1 HAVING count(*) > 55) SELECT path, ch.id, exact, coalesce(dependents, 0) AS dependents, risk, coalesce(c, false) AS in_cycle FROM ch LEFT JOIN dep ON root = ch.id LEFT JOIN risk ON risk.id = ch.id",
+    "change_review": f"WITH RECURSIVE {TRADE_SQL}, nat AS (SELECT id, 'src/' || name AS path, area FROM projects), ch AS (SELECT path, id, true AS exact FROM nat WHERE id % 2 = 0 UNION ALL SELECT 'docs/' || r_name, id, false FROM region JOIN nat ON area = r_regionkey), reach AS (SELECT target AS root, source AS node FROM trade UNION SELECT r.root, t.source FROM reach r JOIN trade t ON t.target = r.node), dep AS (SELECT root, count(*) FILTER (root <> node) AS dependents, bool_or(root = node) AS c FROM reach GROUP BY root), risk AS (SELECT id, count(*) AS risk FROM project_runs JOIN projects ON name = project GROUP BY 1 HAVING count(*) > 4) SELECT path, ch.id, exact, coalesce(dependents, 0) AS dependents, risk, coalesce(c, false) AS in_cycle FROM ch LEFT JOIN dep ON root = ch.id LEFT JOIN risk ON risk.id = ch.id",
     "citation_check": "WITH ci AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS e FROM lineitem), k AS (SELECT a, count(*) FILTER (e IN (SELECT p_partkey FROM part WHERE p_size > 10)) AS accepted, count(*) AS n FROM ci GROUP BY a) SELECT o_orderkey AS answer, coalesce(accepted, 0) AS accepted, coalesce(n - accepted, 0) AS unknown, CASE WHEN (o_orderkey, o_custkey) IN (SELECT (a, e) FROM ci) THEN 0 ELSE 1 END::BIGINT AS missing FROM orders LEFT JOIN k ON a = o_orderkey",
 }

@@ -97,7 +97,7 @@ def graph_invalidated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_digest(spark: SparkSession, folder: str) -> DataFrame:
-    return G.table_digest(nodes(spark, folder)).select("rows")
+    return G.table_digest(nodes(spark, folder))
 
 
 QUERIES = {f.__name__: f for f in (graph_degrees, graph_supplier_degrees, graph_bounded_adjacency, graph_incident, graph_neighbourhood, graph_dependencies, graph_dependents, graph_related, graph_shortest_paths, graph_paths, graph_components, graph_strong_components, graph_cycles, graph_waves, graph_widest_wave, graph_orphans, graph_invalidated, graph_digest)}
@@ -115,7 +115,7 @@ SQL = {
     "graph_dependencies": f"WITH RECURSIVE {TRADE_SQL}, {_REACH.format(edges='trade')} SELECT root, node FROM reach WHERE root <> node UNION SELECT NULL, NULL WHERE false",
     "graph_dependents": f"WITH RECURSIVE {TRADE_SQL}, {_BACK}, {_REACH.format(edges='back')} SELECT root, node FROM reach WHERE root <> node",
     "graph_related": f"WITH RECURSIVE {TRADE_SQL}, {_REACH.format(edges='trade')} SELECT root, node FROM reach",
-    "graph_shortest_paths": f"WITH RECURSIVE {TRADE_SQL}, ids AS (SELECT source AS id FROM trade UNION SELECT target FROM trade), walk AS (SELECT id AS root, id AS node, 0 AS depth, [id] AS path FROM ids UNION ALL SELECT w.root, t.target, w.depth + 1, list_append(w.path, t.target) FROM walk w JOIN trade t ON t.source = w.node WHERE NOT list_contains(w.path, t.target) AND w.depth < 7), best AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node) "
+    "graph_shortest_paths": f"WITH RECURSIVE {TRADE_SQL}, ids AS (SELECT source AS id FROM trade UNION SELECT target FROM trade), walk AS (SELECT id AS root, id AS node, 0 AS depth, [id] AS path FROM ids UNION ALL SELECT w.root, t.target, w.depth + 1, list_append(w.path, t.target) FROM walk w JOIN trade t ON t.source = w.node WHERE NOT list_contains(w.path, t.target) AND w.depth < 20), best AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node) "
     "SELECT root, node, depth, array_to_string(min(path), '>') AS path FROM walk JOIN best USING (root, node, depth) GROUP BY root, node, depth",
     "graph_paths": f"WITH RECURSIVE {TRADE_SQL}, ids AS (SELECT source AS id FROM trade UNION SELECT target FROM trade), walk AS (SELECT [id] AS path, false AS cyclic, 0 AS depth FROM ids UNION ALL SELECT list_append(w.path, t.target), list_contains(w.path, t.target), w.depth + 1 FROM walk w JOIN trade t ON t.source = w.path[-1] WHERE NOT w.cyclic AND w.depth < 3) SELECT array_to_string(path, '>') AS path, cyclic FROM walk WHERE depth > 0 AND (cyclic OR depth = 3 OR path[-1] NOT IN (SELECT source FROM trade))",
     "graph_components": f"WITH RECURSIVE {TRADE_SQL}, twoway AS (SELECT source, target FROM trade UNION SELECT target, source FROM trade), {_REACH.format(edges='twoway')} SELECT root AS node, least(min(node), root) AS component FROM reach GROUP BY root",
@@ -125,5 +125,5 @@ SQL = {
     "graph_widest_wave": f"WITH RECURSIVE {TRADE_SQL}, {_WAVES} SELECT max(n) AS width, count(*) AS waves FROM (SELECT wave, count(*) AS n FROM waves GROUP BY wave)",
     "graph_orphans": f"WITH {NODES_SQL}, {EDGES_SQL}, kept AS (SELECT id FROM nodes WHERE kind <> 'part' OR name LIKE '%a%') SELECT source, target, relation FROM edges WHERE source NOT IN (SELECT id FROM kept) OR target NOT IN (SELECT id FROM kept)",
     "graph_invalidated": "SELECT 'region:' || r_regionkey AS node FROM region UNION SELECT 'nation:' || n_nationkey FROM nation UNION SELECT 'customer:' || c_custkey FROM customer UNION SELECT 'supplier:' || s_suppkey FROM supplier",
-    "graph_digest": f"WITH {NODES_SQL} SELECT count(*) AS rows FROM nodes",
+    "graph_digest": f"WITH {NODES_SQL}, d AS (SELECT ('0x' || substr(sha256('{{\"id\":\"' || id || '\",\"kind\":\"' || kind || '\",\"name\":\"' || name || '\"}}'), 1, 15))::BIGINT AS own FROM nodes) SELECT count(*) AS rows, coalesce(sum(own::HUGEINT), 0)::VARCHAR AS digest FROM d",
 }

@@ -9,7 +9,7 @@ from graphloom.functions import versions as V
 from graphloom.operators import semantics as P
 from graphloom.operators.graph import reachable, strong_components
 from graphloom.operators.rules import Rule, RuleRegistry
-from graphloom.plans.adapters import TRADE_SQL, trade
+from graphloom.plans.adapters import TRADE_SQL, projects, trade
 from graphloom.session import checkpoint
 from graphloom.sources.tables import table
 
@@ -51,30 +51,30 @@ def overload_resolution(spark: SparkSession, folder: str) -> DataFrame:
 
 def transaction_flow(spark: SparkSession, folder: str) -> DataFrame:
     links = checkpoint(trade(spark, folder))
-    kind = F.when(F.col("n_nationkey") % 4 == 0, "requires_new").when(F.col("n_nationkey") % 4 == 1, "never")
-    bounds = _nations(spark, folder).select(F.col("n_nationkey").alias("symbol"), kind.alias("propagation")).where("propagation is not null")
-    return P.transaction_flow(links, bounds, _nations(spark, folder).select(F.col("n_nationkey").alias("root")))
+    kind = F.when(F.col("id") % 4 == 0, "requires_new").when(F.col("id") % 4 == 1, "never")
+    bounds = projects(spark, folder).select(F.col("id").alias("symbol"), kind.alias("propagation")).where("propagation is not null")
+    return P.transaction_flow(links, bounds, projects(spark, folder).select(F.col("id").alias("root")))
 
 
 def read_only_writes(spark: SparkSession, folder: str) -> DataFrame:
-    links, nation = checkpoint(trade(spark, folder)), _nations(spark, folder)
-    return P.read_only_writes(links, nation.where("n_regionkey = 2").select(F.col("n_nationkey").alias("symbol")), nation.where("n_nationkey in (3, 4)").select(F.col("n_nationkey").alias("symbol")))
+    links, every = checkpoint(trade(spark, folder)), projects(spark, folder)
+    return P.read_only_writes(links, every.where("area = 2").select(F.col("id").alias("symbol")), every.where("id % 7 in (3, 4)").select(F.col("id").alias("symbol")))
 
 
 def cascade_targets(spark: SparkSession, folder: str) -> DataFrame:
     links = checkpoint(trade(spark, folder)).where("target % 2 = 0")
-    return reachable(links, _nations(spark, folder).select(F.col("n_nationkey").alias("root")), "by_cycle").select("root", "node")
+    return reachable(links, projects(spark, folder).select(F.col("id").alias("root")), "by_cycle").select("root", "node")
 
 
 def endpoint_entities(spark: SparkSession, folder: str) -> DataFrame:
-    links, nation = checkpoint(trade(spark, folder)), _nations(spark, folder)
-    return P.endpoint_entities(links, nation.where("n_regionkey = 0").select(F.col("n_nationkey").alias("id")), nation.where("n_regionkey = 1").select(F.col("n_nationkey").alias("id")))
+    links, every = checkpoint(trade(spark, folder)), projects(spark, folder)
+    return P.endpoint_entities(links, every.where("area = 0").select("id"), every.where("area = 1").select("id"))
 
 
 def legacy_impact(spark: SparkSession, folder: str) -> DataFrame:
-    links, nation = checkpoint(trade(spark, folder)), _nations(spark, folder)
-    sources = nation.where("n_regionkey <> 4").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("source"))
-    return P.legacy_impact(links, nation.where("n_regionkey = 3").select(F.col("n_nationkey").alias("root")), sources)
+    links, every = checkpoint(trade(spark, folder)), projects(spark, folder)
+    sources = every.where("area <> 4").select("id", F.col("name").alias("source"))
+    return P.legacy_impact(links, every.where("area = 3").select(F.col("id").alias("root")), sources)
 
 
 def feasible_states(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,7 +145,7 @@ def rule_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (symbol_problems, resolved_types, linked_calls, overload_resolution, transaction_flow, read_only_writes, cascade_targets, endpoint_entities, legacy_impact, feasible_states, missing_cases, permitted_leaves, definitely_assigned, call_statistics, annotation_facts, version_constraints, route_names, literal_kinds, rule_findings)}
 
-_WALK = f"WITH RECURSIVE {TRADE_SQL}, walk AS (SELECT n_nationkey AS root, n_nationkey AS node, 0 AS depth FROM nation UNION SELECT w.root, t.target, w.depth + 1 FROM walk w JOIN trade t ON t.source = w.node WHERE w.depth < 12), near AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node)"
+_WALK = f"WITH RECURSIVE {TRADE_SQL}, walk AS (SELECT id AS root, id AS node, 0 AS depth FROM projects UNION SELECT w.root, t.target, w.depth + 1 FROM walk w JOIN trade t ON t.source = w.node WHERE w.depth < 12), near AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node)"
 _TYPES = "t AS (SELECT 't' || s_suppkey AS fqn, s_nationkey AS package, s_suppkey % 30 AS name FROM supplier), w AS (SELECT c_custkey AS use_id, c_nationkey AS package, c_custkey % 40 AS name FROM customer), i AS (SELECT DISTINCT o_custkey AS file, 't' || l_suppkey AS fqn FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 45), c AS (SELECT use_id, 1 AS stage, fqn AS target FROM w JOIN t USING (name) WHERE w.package = t.package OR (use_id, fqn) IN (SELECT (file, fqn) FROM i) UNION ALL SELECT use_id, 2, fqn FROM w JOIN t USING (name))"
 _STAGED = "first AS (SELECT {key}, min(stage) AS stage FROM c GROUP BY {key}), held AS (SELECT {key}, c.stage, count(DISTINCT target) AS options, min(target) AS target FROM c JOIN first USING ({key}, stage) GROUP BY {key}, c.stage), res AS (SELECT {key}, CASE WHEN options IS NULL THEN 'unresolved' WHEN options = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, stage, target, coalesce(options, 0) AS options FROM (SELECT DISTINCT {key} FROM w) LEFT JOIN held USING ({key}))"
 SQL = {
@@ -154,10 +154,10 @@ SQL = {
     "linked_calls": "WITH m AS (SELECT p_partkey AS id, p_brand AS owner, p_name AS name, p_size % 3 AS arity FROM part), k AS (SELECT o_orderkey AS call, 'Brand#' || (o_custkey % 40) AS receiver, coalesce(p_name, 'println') AS name, o_custkey % 4 AS arity FROM orders LEFT JOIN part ON p_partkey = o_orderkey % 2500), e AS (SELECT call, id FROM k JOIN m ON owner = receiver AND m.name = k.name AND m.arity = k.arity), l AS (SELECT call, id FROM k JOIN m ON m.name = k.name AND m.arity = k.arity WHERE call NOT IN (SELECT call FROM e)), x AS (SELECT call, 'exact' AS link FROM e UNION ALL SELECT call, 'by_name' FROM l UNION ALL SELECT call, 'unresolved' FROM k WHERE name <> 'println' AND call NOT IN (SELECT call FROM e) AND call NOT IN (SELECT call FROM l)) SELECT link, count(*) AS links, count(DISTINCT call) AS calls FROM x GROUP BY link",
     "overload_resolution": f"WITH m AS (SELECT p_partkey AS target, p_partkey % 400 AS name, p_size % 3 AS a, p_partkey % 3 AS b FROM part), w AS (SELECT o_orderkey AS call_id, o_orderkey % 500 AS name, o_custkey % 3 AS a, o_orderkey % 3 AS b FROM orders), c AS (SELECT call_id, ((w.a <> m.a)::INT + (w.b <> m.b)::INT) AS stage, target FROM w JOIN m USING (name) WHERE w.a <= m.a AND w.b <= m.b), {_STAGED.format(key='call_id')} SELECT * FROM res",
     "transaction_flow": _WALK + " SELECT root, node AS symbol, depth, CASE WHEN depth = 0 THEN 'root' WHEN node % 4 = 0 THEN 'new' WHEN node % 4 = 1 THEN 'suspended' ELSE 'joined' END AS effect FROM near",
-    "read_only_writes": _WALK + " SELECT DISTINCT root AS symbol FROM near JOIN nation ON n_nationkey = root WHERE n_regionkey = 2 AND node IN (3, 4)",
+    "read_only_writes": _WALK + " SELECT DISTINCT root AS symbol FROM near JOIN projects ON id = root WHERE area = 2 AND node % 7 IN (3, 4)",
     "cascade_targets": f"WITH RECURSIVE {TRADE_SQL}, c AS (SELECT * FROM trade WHERE target % 2 = 0), reach AS (SELECT source AS root, target AS node FROM c UNION SELECT r.root, c.target FROM reach r JOIN c ON c.source = r.node) SELECT root, node FROM reach",
-    "endpoint_entities": f"WITH RECURSIVE {TRADE_SQL}, ent AS (SELECT n_nationkey AS id FROM nation WHERE n_regionkey = 1), walk AS (SELECT n_nationkey AS root, n_nationkey AS node, 0 AS depth FROM nation WHERE n_regionkey = 0 UNION SELECT w.root, t.target, w.depth + 1 FROM walk w JOIN trade t ON t.source = w.node WHERE w.depth < 8 AND w.node NOT IN (SELECT id FROM ent)) SELECT root AS endpoint, node AS entity, min(depth) AS depth FROM walk WHERE node IN (SELECT id FROM ent) GROUP BY root, node",
-    "legacy_impact": f"WITH RECURSIVE {TRADE_SQL}, walk AS (SELECT n_nationkey AS node, 0 AS depth FROM nation WHERE n_regionkey = 3 UNION SELECT t.source, w.depth + 1 FROM walk w JOIN trade t ON t.target = w.node WHERE w.depth < 12) SELECT node, min(depth) AS distance, CASE WHEN any_value(n_regionkey) <> 4 THEN any_value(n_name) END AS file FROM walk JOIN nation ON n_nationkey = node WHERE n_regionkey <> 3 GROUP BY node",
+    "endpoint_entities": f"WITH RECURSIVE {TRADE_SQL}, ent AS (SELECT id FROM projects WHERE area = 1), walk AS (SELECT id AS root, id AS node, 0 AS depth FROM projects WHERE area = 0 UNION SELECT w.root, t.target, w.depth + 1 FROM walk w JOIN trade t ON t.source = w.node WHERE w.depth < 8 AND w.node NOT IN (SELECT id FROM ent)) SELECT root AS endpoint, node AS entity, min(depth) AS depth FROM walk WHERE node IN (SELECT id FROM ent) GROUP BY root, node",
+    "legacy_impact": f"WITH RECURSIVE {TRADE_SQL}, walk AS (SELECT id AS node, 0 AS depth FROM projects WHERE area = 3 UNION SELECT t.source, w.depth + 1 FROM walk w JOIN trade t ON t.target = w.node WHERE w.depth < 12) SELECT node, min(depth) AS distance, CASE WHEN any_value(area) <> 4 THEN any_value(name) END AS file FROM walk JOIN projects ON id = node WHERE area <> 3 GROUP BY node",
     "feasible_states": "WITH c AS (SELECT l_orderkey AS state, l_suppkey % 2 AS v, l_partkey % 6 AS op, l_quantity AS x FROM lineitem), b AS (SELECT state, v, max(x) FILTER (op IN (2, 3)) AS lo, max(x) FILTER (op = 2) AS lo_open, min(x) FILTER (op IN (0, 1)) AS hi, min(x) FILTER (op = 0) AS hi_open, min(x) FILTER (op = 4) AS e1, max(x) FILTER (op = 4) AS e2, list(DISTINCT x) FILTER (op = 5) AS n FROM c GROUP BY 1, 2), "
     "d AS (SELECT state, coalesce(lo > hi, false) OR coalesce(lo = hi AND (coalesce(lo_open = lo, false) OR coalesce(hi_open = hi, false) OR coalesce(list_contains(n, lo), false)), false) OR coalesce(e1 <> e2, false) OR coalesce(e1 < lo OR (e1 = lo AND lo_open = lo), false) OR coalesce(e1 > hi OR (e1 = hi AND hi_open = hi), false) OR coalesce(list_contains(n, e1), false) AS broken FROM b) SELECT state, NOT bool_or(broken) AS feasible FROM d GROUP BY state",
     "missing_cases": "SELECT c_custkey AS switch_id, n_nationkey AS leaf FROM customer JOIN nation ON n_regionkey = c_nationkey % 5 WHERE c_acctbal >= 0 AND (c_custkey, n_nationkey) NOT IN (SELECT (o_custkey, (o_orderkey % 25)::INT) FROM orders)",

@@ -108,7 +108,7 @@ def ingest_classified(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def project_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return V.project_fingerprints(files(spark, folder)).select("project", "files")
+    return V.project_fingerprints(files(spark, folder))
 
 
 def history_page(spark: SparkSession, folder: str) -> DataFrame:
@@ -215,7 +215,7 @@ SQL = {
     "nullability": "SELECT user_id AS method, 'a' AS variable, CASE arg_max(event_type, event_id) WHEN 'error' THEN 'null' WHEN 'click' THEN 'nonnull' ELSE 'unknown' END AS state FROM events GROUP BY user_id",
     "ingest_code_blocks": "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?s)```[A-Za-z0-9]*\\n(.*?)\\n```', 1)) AS code FROM documents) SELECT CASE WHEN regexp_matches(code, '^\\s*(?:public|private|protected|final|abstract|package)') THEN 'java' WHEN regexp_matches(code, '^\\s*def ') THEN 'python' WHEN regexp_matches(code, '^\\s*SELECT\\s') THEN 'sql' WHEN regexp_matches(code, '^\\s*\\$ ') THEN 'shell' WHEN regexp_matches(code, '^\\s*[\\[{]') THEN 'json' ELSE 'unknown' END AS language, count(*) AS blocks, count(DISTINCT doc_id) AS documents FROM t GROUP BY 1",
     "ingest_classified": "SELECT CASE WHEN doc_id % 2 = 0 THEN 'java' ELSE 'markdown' END AS language, CASE WHEN doc_id % 3 = 1 THEN 'generated' WHEN doc_id % 2 = 1 THEN 'documentation' WHEN doc_id % 3 = 0 THEN 'test' ELSE 'source' END AS kind, count(*) AS files FROM documents WHERE doc_path IS NOT NULL GROUP BY 1, 2",
-    "project_fingerprints": f"WITH {FILES_SQL} SELECT project, count(*) AS files FROM files GROUP BY project",
+    "project_fingerprints": f"WITH {FILES_SQL} SELECT project, count(*) AS files, sha256(count(*) || '|' || sum(('0x' || substr(sha256(concat_ws(chr(31), path, sha256)), 1, 15))::BIGINT::HUGEINT)) AS fingerprint FROM files GROUP BY project",
     "history_page": "SELECT DISTINCT id, workspace_fingerprint, succeeded FROM analysis_runs ORDER BY id DESC LIMIT 20 OFFSET 10",
     "history_eligible": "SELECT DISTINCT id, succeeded FROM analysis_runs WHERE id NOT IN (SELECT analysis_run_id FROM project_runs WHERE status = 'failed')",
     "history_pruned": "SELECT DISTINCT id, succeeded FROM analysis_runs WHERE id IN (SELECT DISTINCT id FROM analysis_runs ORDER BY id DESC LIMIT 100)",
