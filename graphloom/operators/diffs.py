@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.ordering import ranked_within
+
 
 def keyed_diff(base: DataFrame, head: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """The keys with ``state``: added, removed, modified or unchanged. Null values equal null values; renames are never inferred.
@@ -41,9 +43,8 @@ def renamed_files(base: DataFrame, head: DataFrame) -> DataFrame:
     """``(path, renamed_from)``: created files whose content is that of a deleted one, paired in the order of their paths."""
     gone = base.select("path", "sha256").join(head.select("path"), "path", "left_anti")
     come = head.select("path", "sha256").join(base.select("path"), "path", "left_anti")
-    order = Window.partitionBy("sha256").orderBy("path")
-    old = gone.distinct().withColumn("n", F.row_number().over(order)).withColumnRenamed("path", "renamed_from")
-    new = come.distinct().withColumn("n", F.row_number().over(order))
+    old, new = (ranked_within(side.where("sha256 is not null").distinct(), "sha256", ["path"], "n") for side in (gone, come))
+    old = old.withColumnRenamed("path", "renamed_from")
     return new.join(old, ["sha256", "n"]).select("path", "renamed_from")
 
 

@@ -89,18 +89,34 @@ def finding_gate(findings: DataFrame, minimum: str | None = None, maximum: int |
     return counted.withColumn("passed", (F.col("at_threshold") == 0) & (F.lit(True) if maximum is None else F.col("findings") <= maximum))
 
 
-def architecture_gate(findings: DataFrame, warn: int = 20, fail: int = 60) -> DataFrame:
-    """``(subject, points, status)`` of ``findings(subject, category, severity)``.
+def architecture_gate(findings: DataFrame, subjects: DataFrame | None = None, fail: int = 70) -> DataFrame:
+    """``(subject, points, status)`` of ``findings(subject, category, severity, points)`` and ``subjects(subject)``.
 
-    Policy findings count 2, 8, 20 or 35 by severity info, warning, error, critical; regressions 2, 10, 25 or 40. Errors
-    and worse fail, so do ``fail`` points; other findings warn. Points end at 100.
+    Policy findings count 2, 8, 20 or 35 by severity info, warning, error, critical; regressions 2, 10, 25 or 40; a change
+    impact that is high or critical counts a third of its ``points``, 10 to 30. Errors and worse of policies and regressions
+    fail, so do all such change impacts, unresolved regressions, and ``fail`` points; any other finding warns; subjects
+    without findings pass. Points end at 100.
     """
-    regression = F.col("category") == "regression"
-
-    def points(policy: int, other: int) -> Column:
-        return F.when(regression, other).otherwise(policy)
-
-    name = F.col("severity")
-    own = F.when(name == "info", points(2, 2)).when(name == "warning", points(8, 10)).when(name == "error", points(20, 25)).when(name == "critical", points(35, 40)).otherwise(0)
-    grouped = findings.groupBy("subject").agg(F.least(F.sum(own), F.lit(100)).alias("points"), F.max(name.isin("error", "critical")).alias("blocking"))
-    return grouped.select("subject", "points", F.when(F.col("blocking") | (F.col("points") >= fail), "fail").otherwise("warn").alias("status"))
+    category, name = F.col("category"), F.col("severity")
+    regression, change = category.startswith("regression"), category == "change-impact"
+
+    def by_severity(*values: int) -> Column:
+        found = F.lit(0)
+        for one, value in zip(("info", "warning", "error", "critical"), values):
+            found = F.when(name == one, value).otherwise(found)
+        return found
+
+    strong = change & name.isin("high", "critical")
+    third = F.least(F.lit(30), F.greatest(F.lit(10), F.floor(F.coalesce("points", F.lit(0)) / 3)))
+    own = F.when(strong, third).when(change, 0).when(regression, by_severity(2, 10, 25, 40)).otherwise(by_severity(2, 8, 20, 35))
+    counted = ~change | strong
+    grouped = findings.groupBy("subject").agg(
+        F.least(F.sum(own), F.lit(100)).cast("bigint").alias("points"),
+        F.max(strong | (~change & name.isin("error", "critical")) | (category == "regression:unresolved")).alias("blocking"),
+        F.count_if(counted).alias("held"),
+    )
+    if subjects is not None:
+        grouped = subjects.select("subject").distinct().join(grouped, "subject", "left")
+    points, blocking = F.coalesce("points", F.lit(0).cast("bigint")), F.coalesce("blocking", F.lit(False))
+    status = F.when(blocking | (points >= fail), "fail").when(F.coalesce("held", F.lit(0)) > 0, "warn").otherwise("pass")
+    return grouped.select("subject", points.alias("points"), status.alias("status"))

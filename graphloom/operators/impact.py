@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,16 @@ FOLLOWED = {
     "configuration": ("depends_on",),
 }
 ALL_FOLLOWED = ("depends_on", "imports", "inherits", "overrides", "calls")
+#: How evidence begins that a relation's own producers give; an entry that ends with ``=`` is meant whole.
+PRODUCERS = {
+    "calls": ("call_graph.v1:calls=",),
+    "imports": ("imports=", "global_symbol.metadata:imports:"),
+    "inherits": ("extends=", "implements=", "global_symbol.metadata:inherits:", "global_symbol.metadata:bases:"),
+    "overrides": ("global_symbol.metadata:overrides:",),
+    "depends_on": ("workspace.projects:", "declared_dependency:", "repository_summary.frameworks=", "calls=", "uses=", "imports=", "extends=", "implements="),
+    "member_of": ("global_symbol.owner_id=",),
+    "owns": ("workspace.root=", "workspace.projects=", "repository_summary.projects=", "repository_summary.module_hierarchy=", "semantic_graph.project_id=", "global_symbol.owner_id="),
+}
 _CALLABLE = ("method", "type", "symbol")
 _IMPORTING = ("project", "module", "package", "type", "method", "symbol")
 _IMPORTED = ("project", "module", "package", "type", "dependency", "symbol")
@@ -40,10 +52,26 @@ def _valued(relation: Column, values: dict[str, float]) -> Column:
     return found
 
 
+def authoritative(relation: Column, evidence: Column) -> Column:
+    """Whether some piece of evidence is of the relation's own producers; pieces with blanks, addresses or over 512 characters are none."""
+    found = F.lit(False)
+    for name, starts in PRODUCERS.items():
+        found = F.when(relation == name, F.exists(evidence, _produced_by(starts))).otherwise(found)
+    return F.coalesce(found, F.lit(False))
+
+
+def _produced_by(starts: tuple[str, ...]):
+    def fits(piece: Column) -> Column:
+        begins = reduce(lambda a, b: a | b, ((piece == x[:-1]) if x.endswith("=") else piece.startswith(x) for x in starts))
+        return begins & ~piece.rlike(r"\s|://") & (F.length(piece) <= 512)
+
+    return fits
+
+
 def legal_edges(nodes: DataFrame, edges: DataFrame, change_kind: str) -> DataFrame:
-    """``(source, target, relation)`` along which a change of this kind may spread: with evidence, between kinds that fit the relation."""
+    """``(source, target, relation)`` along which a change of this kind may spread: with evidence of the relation's own producers, between kinds that fit the relation."""
     kinds = nodes.groupBy("id").agg(F.max("kind").alias("kind"))
-    held = edges.where(F.col("relation").isin(*FOLLOWED.get(change_kind, ALL_FOLLOWED)) & (F.size("evidence") > 0)).select("source", "target", "relation").distinct()
+    held = edges.where(F.col("relation").isin(*FOLLOWED.get(change_kind, ALL_FOLLOWED)) & authoritative(F.col("relation"), F.col("evidence"))).select("source", "target", "relation").distinct()
     held = held.join(kinds.select(F.col("id").alias("source"), F.col("kind").alias("a")), "source").join(kinds.select(F.col("id").alias("target"), F.col("kind").alias("b")), "target")
     relation, a, b = F.col("relation"), F.col("a"), F.col("b")
     fits = (

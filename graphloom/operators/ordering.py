@@ -32,6 +32,13 @@ def globally_ranked(df: DataFrame, keys: Sequence[str], name: str = "rank") -> D
     return raw.withColumn(name, offsets[part.cast("int")] + F.col(name).bitwiseAND((1 << _ROW_BITS) - 1))
 
 
+def ranked_within(df: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with ``name``: 0, 1, 2 ... in the order of ``order`` within ``group``, which may be of any size."""
+    ranked = globally_ranked(df, [group, *order], "_rank")
+    first = ranked.groupBy(group).agg(F.min("_rank").alias("_first"))
+    return ranked.join(first, group).withColumn(name, F.col("_rank") - F.col("_first")).drop("_rank", "_first")
+
+
 def with_neighbours(df: DataFrame, group: str, order: Sequence[str], key: str) -> DataFrame:
     """``df`` with ``previous`` and ``following``: ``key`` of the rows before and after within ``group`` by ``order``.
 

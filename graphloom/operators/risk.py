@@ -56,17 +56,17 @@ def normalised(metrics: DataFrame, minimum: int = COHORT_MINIMUM) -> DataFrame:
 
 
 def scores(normal: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
-    """``(subject_id, cohort, score, factors)``: the weighted mean over the metrics that a subject has; missing is not zero."""
+    """``(subject_id, cohort, score, factors, factor_names)``: the weighted mean over the metrics that a subject has; missing is not zero."""
     weight = F.lit(None).cast("double")
     for name, value in weights.items():
         weight = F.when(F.col("metric") == name, float(value)).otherwise(weight)
     used = normal.withColumn("weight", weight).where((F.col("weight") > 0) & F.col("normalized").isNotNull())
-    return used.groupBy("subject_id", "cohort").agg(F.round(F.sum(F.col("weight") * F.col("normalized")) / F.sum("weight"), 6).alias("score"), F.count("*").alias("factors"))
+    return used.groupBy("subject_id", "cohort").agg(F.round(F.sum(F.col("weight") * F.col("normalized")) / F.sum("weight"), 6).alias("score"), F.count("*").alias("factors"), F.array_join(F.array_sort(F.collect_set("metric")), ",").alias("factor_names"))
 
 
 def hotspots(metrics: DataFrame, k: int = 25) -> DataFrame:
     """The ``k`` subjects of the greatest score, then by id: the flagship report."""
-    return scores(normalised(metrics)).orderBy(F.col("score").desc(), "subject_id").limit(k)
+    return scores(normalised(metrics)).drop("factor_names").orderBy(F.col("score").desc(), "subject_id").limit(k)
 
 
 def heatmap(normal: DataFrame) -> DataFrame:
@@ -75,9 +75,9 @@ def heatmap(normal: DataFrame) -> DataFrame:
 
 
 def trend(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """``(subject_id, cohort, score, previous_score, direction)``: compared only where cohort and number of factors agree."""
-    old = previous.select("subject_id", "cohort", "factors", F.col("score").alias("previous_score"))
-    joined = current.join(old, ["subject_id", "cohort", "factors"], "left")
+    """``(subject_id, cohort, score, previous_score, direction)``: compared only where cohort and the factors themselves agree."""
+    old = previous.select("subject_id", "cohort", "factor_names", F.col("score").alias("previous_score"))
+    joined = current.join(old, ["subject_id", "cohort", "factor_names"], "left")
     change = F.when(F.col("previous_score").isNull(), "not_comparable").when(F.col("score") > F.col("previous_score"), "up").when(F.col("score") < F.col("previous_score"), "down").otherwise("same")
     return joined.select("subject_id", "cohort", "score", "previous_score", change.alias("direction"))
 

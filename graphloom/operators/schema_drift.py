@@ -73,9 +73,12 @@ def _ends(compared: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _agreeing(compared: DataFrame, values: DataFrame) -> DataFrame:
     """Fields of one type that go and come with values that agree project by project, one new name for an old one: file_name, old, new.
 
-    Fields meet only where a project has one value under both, by its hash; fields that share nothing never do.
+    Only values of fields that go where one of their type comes, and the reverse, are compared. Fields meet only where a
+    project has one value under both, by its hash; fields that share nothing never do.
     """
     gone, come = _ends(compared)
+    meets = ["file_name", "kind"]
+    gone, come = shared_table(gone.join(come.select(*meets).distinct(), meets, "left_semi")), shared_table(come.join(gone.select(*meets).distinct(), meets, "left_semi"))
     keys = ["file_name", "old", "new"]
     before = values.select(F.col("file_name").alias("previous"), F.col("field").alias("old"), "project", "value_hash").join(gone, ["previous", "old"]).select("file_name", "old", "kind", "project", "value_hash").distinct()
     after = values.select("file_name", F.col("field").alias("new"), "project", "value_hash").join(come, ["file_name", "new"]).select("file_name", "new", "kind", "project", "value_hash").distinct()

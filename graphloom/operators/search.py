@@ -99,9 +99,18 @@ def postings(entries: DataFrame) -> DataFrame:
     return entries.select("id", F.explode(terms(F.col("text"))).alias("term")).distinct()
 
 
-def any_term(index: DataFrame, wanted: Sequence[str], limit: int = 2000) -> DataFrame:
-    """``(id, matched)`` of entries with some of the terms, the best ``limit``, then by id."""
-    return index.where(F.col("term").isin(*wanted)).groupBy("id").agg(F.count_distinct("term").alias("matched")).orderBy(F.col("matched").desc(), "id").limit(limit)
+def bounded(found: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame:
+    """The first ``limit`` rows with ``omitted``, the number of those left out; all rows, with 0, without a limit."""
+    if limit is None:
+        return found.withColumn("omitted", F.lit(0).cast("bigint"))
+    total = found.agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("omitted"))
+    return found.orderBy(*order).limit(limit).join(F.broadcast(total))  # one row
+
+
+def any_term(index: DataFrame, wanted: Sequence[str], limit: int | None = None) -> DataFrame:
+    """``(id, matched, omitted)`` of entries with some of the terms; with a ``limit`` the best, then by id."""
+    found = index.where(F.col("term").isin(*wanted)).groupBy("id").agg(F.count_distinct("term").alias("matched"))
+    return bounded(found, [F.col("matched").desc(), F.col("id")], limit)
 
 
 def all_terms(index: DataFrame, wanted: Sequence[str]) -> DataFrame:
@@ -109,8 +118,8 @@ def all_terms(index: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return index.where(F.col("term").isin(*wanted)).groupBy("id").agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(set(wanted))).select("id")
 
 
-def search_by_plan(plan, nodes: DataFrame, edges: DataFrame, concepts: DataFrame, limit: int = 2000) -> DataFrame:
-    """``(id, why)`` of the subjects that a search plan asks for, the first ``limit`` by id.
+def search_by_plan(plan, nodes: DataFrame, edges: DataFrame, concepts: DataFrame, limit: int | None = None) -> DataFrame:
+    """``(id, why, omitted)`` of the subjects that a search plan asks for; with a ``limit`` the first by id, and how many are left out.
 
     ``nodes(id, kind, name)``, ``edges(source, target, relation)``, ``concepts(id, concept)``. A relation is walked from all
     subjects of the plan's name; concepts must all hold; kinds, ``using`` and a scope filter what is found. All filters come
@@ -138,7 +147,7 @@ def search_by_plan(plan, nodes: DataFrame, edges: DataFrame, concepts: DataFrame
         if scope in plan.filters:
             inside = nodes.where((F.col("kind") == scope) & (F.lower("name") == plan.filters[scope])).select(F.col("id").alias("target"))
             found = found.join(edges.where("relation = 'member_of'").join(inside, "target", "left_semi").select(F.col("source").alias("id")).distinct(), "id", "left_semi")
-    return found.select("id", F.lit(why).alias("why")).orderBy("id").limit(limit)
+    return bounded(found.select("id", F.lit(why).alias("why")), [F.col("id")], limit)
 
 
 def hit_score(parts: dict[str, Column], exact: Column, evidenced: Column) -> Column:

@@ -61,9 +61,9 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     """one, two, evidence: projects and what ever blocked them, projects and the subjects that were asked about in them, and
     modules and their projects; each once, of whole tables."""
     runs = table(spark, folder, "project_runs", ["project", "blocked_by_json"])
-    blocked = runs.select(F.col("project").alias("one"), F.explode(F.from_json("blocked_by_json", "array<string>")).alias("two"), F.lit("blocked_by").alias("evidence"))
-    asked = table(spark, folder, "ask_log").select(F.col("project").alias("one"), F.lower("subject").alias("two"), F.lit("asked").alias("evidence"))
-    modules = table(spark, folder, "risk_hotspots").where(F.lower("kind") == "module").select(F.lower("subject_id").alias("one"), F.col("project").alias("two"), F.lit("module_of").alias("evidence"))
+    blocked = runs.select(F.col("project").alias("one"), F.explode(F.from_json("blocked_by_json", "array<string>")).alias("two"), F.lit("workspace.projects:blocked_by").alias("evidence"))
+    asked = table(spark, folder, "ask_log").select(F.col("project").alias("one"), F.lower("subject").alias("two"), F.lit("uses").alias("evidence"))
+    modules = table(spark, folder, "risk_hotspots").where(F.lower("kind") == "module").select(F.lower("subject_id").alias("one"), F.col("project").alias("two"), F.lit("workspace.projects:module_of").alias("evidence"))
     return blocked.unionByName(asked).unionByName(modules).where("one is not null and two is not null").distinct()
 
 

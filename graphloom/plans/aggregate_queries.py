@@ -68,7 +68,7 @@ def risk_hotspot_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def risk_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return R.scores(R.normalised(metrics(spark, folder)))
+    return R.scores(R.normalised(metrics(spark, folder))).drop("factor_names")
 
 
 def risk_heatmap(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,8 +76,10 @@ def risk_heatmap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def risk_trend(spark: SparkSession, folder: str) -> DataFrame:
-    every = metrics(spark, folder)
-    return R.trend(R.scores(R.normalised(every)), R.scores(R.normalised(every.where("metric <> 'size'"))))
+    """The same subjects with some sizes missing now and some fan-outs missing before: equally many factors may be others."""
+    normal = R.normalised(metrics(spark, folder))
+    now, then = normal.where("not (metric = 'size' and value % 2 = 0)"), normal.where("not (metric = 'fan_out' and value % 3 = 0)")
+    return R.trend(R.scores(now), R.scores(then))
 
 
 def git_change_frequency(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,10 +130,13 @@ def finding_priority(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def architecture_gate(spark: SparkSession, folder: str) -> DataFrame:
-    name = F.col("o_orderpriority")
+    """Orders as findings of customers: regressions, policies, and change impacts whose points are the price in thousands."""
+    name, status = F.col("o_orderpriority"), F.col("o_orderstatus")
     level = F.when(name.startswith("1"), "critical").when(name.startswith("2"), "error").when(name.startswith("3"), "warning").otherwise("info")
-    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("subject"), F.when(F.col("o_orderstatus") == "F", "regression").otherwise("policy").alias("category"), level.alias("severity"))
-    return E.architecture_gate(rows)
+    category = F.when(status == "F", "regression:edges").when(status == "P", "change-impact").otherwise("policy")
+    severity = F.when((status == "P") & (level == "error"), "high").otherwise(level)
+    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("subject"), category.alias("category"), severity.alias("severity"), F.floor(F.col("o_totalprice") / 1000).alias("points"))
+    return E.architecture_gate(rows, table(spark, folder, "customer").select(F.col("c_custkey").alias("subject")))
 
 
 def change_impact_points(spark: SparkSession, folder: str) -> DataFrame:
@@ -198,7 +203,7 @@ SQL = {
     "risk_hotspot_report": f"WITH {_NORMAL} SELECT * FROM scored ORDER BY score DESC, subject_id LIMIT 25",
     "risk_scores": f"WITH {_NORMAL} SELECT * FROM scored",
     "risk_heatmap": f"WITH {_NORMAL} SELECT metric, cohort, least(floor(normalized * 5), 4)::INT AS bin, count(*) AS subjects FROM normal GROUP BY ALL",
-    "risk_trend": f"WITH {_NORMAL}, old AS (SELECT subject_id, cohort, round(sum(weight * normalized) / sum(weight), 6) AS previous_score, count(*) AS factors FROM normal JOIN weights USING (metric) WHERE metric <> 'size' GROUP BY subject_id, cohort) SELECT subject_id, cohort, score, previous_score, CASE WHEN previous_score IS NULL THEN 'not_comparable' WHEN score > previous_score THEN 'up' WHEN score < previous_score THEN 'down' ELSE 'same' END AS direction FROM scored LEFT JOIN old USING (subject_id, cohort, factors)",
+    "risk_trend": f"WITH {_NORMAL}, cur AS (SELECT subject_id, cohort, round(sum(weight * normalized) / sum(weight), 6) AS score, string_agg(metric, ',' ORDER BY metric) AS f FROM normal JOIN weights USING (metric) WHERE NOT (metric = 'size' AND value % 2 = 0) GROUP BY subject_id, cohort), old AS (SELECT subject_id, cohort, round(sum(weight * normalized) / sum(weight), 6) AS previous_score, string_agg(metric, ',' ORDER BY metric) AS f FROM normal JOIN weights USING (metric) WHERE NOT (metric = 'fan_out' AND value % 3 = 0) GROUP BY subject_id, cohort) SELECT subject_id, cohort, score, previous_score, CASE WHEN previous_score IS NULL THEN 'not_comparable' WHEN score > previous_score THEN 'up' WHEN score < previous_score THEN 'down' ELSE 'same' END AS direction FROM cur LEFT JOIN old USING (subject_id, cohort, f)",
     "git_change_frequency": "SELECT event_type AS project, count(DISTINCT event_id) AS commits FROM events WHERE event_type IS NOT NULL GROUP BY event_type",
     "git_ownership": "WITH c AS (SELECT event_type AS project, event_id, arg_max(user_id, ts) AS u, max((user_id IS NULL)::INT) AS unknown FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2), g AS (SELECT project, u, count(*) AS n, max(unknown) AS unknown FROM c GROUP BY 1, 2) SELECT project, sum(n)::BIGINT AS commits, max(n) AS top_commits, CASE WHEN max(unknown) = 0 THEN round(max(n) / sum(n), 6) END AS concentration FROM g GROUP BY project",
     "review_round_robin": "SELECT s_nationkey, s_suppkey, turn FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)::INT AS turn FROM supplier) ORDER BY turn, s_nationkey LIMIT 40",
@@ -208,7 +213,7 @@ SQL = {
     "finding_gate": f"WITH {_FINDINGS}, s AS (SELECT {_SEVERITY} AS severity FROM found) SELECT count(*) AS findings, count(*) FILTER (severity IN ('high', 'critical')) AS at_threshold, count(*) FILTER (severity IN ('high', 'critical')) = 0 AS passed FROM s",
     "finding_priority": f"WITH {_FINDINGS}, t AS (SELECT l_orderkey AS id, count(*) FILTER (l_returnflag = 'R') AS traces FROM lineitem GROUP BY 1), s AS (SELECT id, {_SEVERITY} AS severity, coalesce(traces, 0) AS traces, category = 'F' AS scoped FROM found LEFT JOIN t USING (id)), w AS (SELECT id, 0.5::DOUBLE + CASE WHEN traces > 0 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN scoped THEN 0.15::DOUBLE ELSE 0 END AS weight, "
     "CASE severity WHEN 'info' THEN 0.05::DOUBLE WHEN 'low' THEN 0.15::DOUBLE WHEN 'medium' THEN 0.3::DOUBLE WHEN 'high' THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END + CASE WHEN traces >= 2 THEN 0.15::DOUBLE WHEN traces > 0 THEN 0.0975::DOUBLE ELSE 0 END + CASE WHEN scoped THEN 0.15::DOUBLE ELSE 0 END AS points FROM s) SELECT id, score, CASE WHEN score >= 0.85 THEN 'critical' WHEN score >= 0.65 THEN 'high' WHEN score >= 0.45 THEN 'medium' WHEN score >= 0.2 THEN 'low' ELSE 'informational' END AS tier, coverage FROM (SELECT id, round(points / weight, 4) AS score, round(weight, 4) AS coverage FROM w)",
-    "architecture_gate": "WITH f AS (SELECT o_custkey AS subject, o_orderstatus = 'F' AS regression, CASE left(o_orderpriority, 1) WHEN '1' THEN 3 WHEN '2' THEN 2 WHEN '3' THEN 1 ELSE 0 END AS s FROM orders), g AS (SELECT subject, least(sum(CASE WHEN regression THEN [2, 10, 25, 40][s + 1] ELSE [2, 8, 20, 35][s + 1] END), 100)::BIGINT AS points, max(s) AS worst FROM f GROUP BY subject) SELECT subject, points, CASE WHEN worst >= 2 OR points >= 60 THEN 'fail' ELSE 'warn' END AS status FROM g",
+    "architecture_gate": "WITH f AS (SELECT o_custkey AS subject, o_orderstatus AS k, CASE left(o_orderpriority, 1) WHEN '1' THEN 3 WHEN '2' THEN 2 WHEN '3' THEN 1 ELSE 0 END AS s, floor(o_totalprice / 1000)::BIGINT AS p FROM orders), g AS (SELECT subject, least(sum(CASE WHEN k = 'P' THEN CASE WHEN s >= 2 THEN least(30, greatest(10, p // 3)) ELSE 0 END WHEN k = 'F' THEN [2, 10, 25, 40][s + 1] ELSE [2, 8, 20, 35][s + 1] END), 100)::BIGINT AS points, max(s) AS worst, count(*) FILTER (k <> 'P' OR s >= 2) AS held FROM f GROUP BY subject) SELECT c_custkey AS subject, coalesce(points, 0) AS points, CASE WHEN worst >= 2 OR points >= 70 THEN 'fail' WHEN held > 0 THEN 'warn' ELSE 'pass' END AS status FROM customer LEFT JOIN g ON subject = c_custkey",
     "change_impact_points": "WITH s AS (SELECT l_suppkey AS subject, count(DISTINCT CASE WHEN l_quantity > 48 THEN l_partkey END) AS d, count(DISTINCT CASE WHEN l_discount = 0 THEN l_partkey END) AS t, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 49) AS e, count(*) FILTER (l_linenumber = 7 AND l_quantity > 45) AS j, count(DISTINCT l_linestatus) AS p, count(*) FILTER (l_quantity = 13) AS c FROM lineitem GROUP BY 1), "
     "k AS (SELECT subject, (least(25, d * 5) + least(25, t * 3) + least(20, e * 10) + least(15, j * 5) + least(10, greatest(0, p - 1) * 5) + CASE WHEN c > 0 THEN 10 ELSE 0 END)::BIGINT AS points FROM s) SELECT subject, points, CASE WHEN points >= 75 THEN 'critical' WHEN points >= 50 THEN 'high' WHEN points >= 25 THEN 'medium' ELSE 'low' END AS level FROM k",
     "inventory_kinds": _named("kind"),

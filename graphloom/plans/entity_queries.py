@@ -93,7 +93,7 @@ def whole_widest_wave(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _impact(spark: SparkSession, folder: str) -> DataFrame:
-    links = _links(spark, folder).withColumn("relation", F.lit("depends_on"))  # every link is a dependency here, as in trade()
+    links = _links(spark, folder).withColumn("relation", F.lit("depends_on")).withColumn("evidence", F.array(F.lit("uses")))  # every link is a dependency here, as in trade()
     return I.propagate(I.legal_edges(nodes(spark, folder), links, "signature"), _roots(spark, folder), 4)
 
 

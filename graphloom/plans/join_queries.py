@@ -155,7 +155,7 @@ def node_search(spark: SparkSession, folder: str) -> DataFrame:
 
 def relational_search(spark: SparkSession, folder: str) -> DataFrame:
     empty = spark.createDataFrame([], "id string, concept string")
-    return S.search_by_plan(interpret("depends on red widget"), nodes(spark, folder), edges(spark, folder), empty, 1_000_000)
+    return S.search_by_plan(interpret("depends on red widget"), nodes(spark, folder), edges(spark, folder), empty)
 
 
 def scoped_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,9 +165,15 @@ def scoped_search(spark: SparkSession, folder: str) -> DataFrame:
     return S.search_by_plan(interpret("services using red widget in project NATION_7"), every, edges(spark, folder), concepts)
 
 
+def bounded_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2,000 subjects of a relation, and how many are left out."""
+    empty = spark.createDataFrame([], "id string, concept string")
+    return S.search_by_plan(interpret("depends on red widget"), nodes(spark, folder), edges(spark, folder), empty, 2000)
+
+
 def postings_any(spark: SparkSession, folder: str) -> DataFrame:
     index = S.postings(table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text")))
-    return S.any_term(index, ["red", "widget", "small"], 100_000)
+    return S.any_term(index, ["red", "widget", "small"])
 
 
 def postings_all(spark: SparkSession, folder: str) -> DataFrame:
@@ -194,7 +200,7 @@ def subject_resolution(spark: SparkSession, folder: str) -> DataFrame:
     return L.resolve_staged(wanted, stages, "text")
 
 
-QUERIES = {f.__name__: f for f in (evolution_nodes, evolution_relations, file_changes, file_renames, baseline_findings, changed_line_findings, architecture_changes, path_projects, bean_resolution, nearest_definitions, argument_flow, first_rules, globbed_files, forbidden_links, latest_turns, layered_settings, overlapping_edits, document_search, symbol_search, symbol_search_top, node_search, relational_search, scoped_search, postings_any, postings_all, hit_scores, bounded_context, subject_resolution)}
+QUERIES = {f.__name__: f for f in (evolution_nodes, evolution_relations, file_changes, file_renames, baseline_findings, changed_line_findings, architecture_changes, path_projects, bean_resolution, nearest_definitions, argument_flow, first_rules, globbed_files, forbidden_links, latest_turns, layered_settings, overlapping_edits, document_search, symbol_search, symbol_search_top, node_search, relational_search, scoped_search, bounded_search, postings_any, postings_all, hit_scores, bounded_context, subject_resolution)}
 
 _STAGED = "first AS (SELECT {key}, min(stage) AS stage FROM c GROUP BY {key}), held AS (SELECT {key}, c.stage, count(DISTINCT target) AS options, min(target) AS target FROM c JOIN first USING ({key}, stage) GROUP BY {key}, c.stage) SELECT {key}, CASE WHEN options IS NULL THEN 'unresolved' WHEN options = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, stage, target, coalesce(options, 0) AS options FROM (SELECT DISTINCT {key} FROM w) LEFT JOIN held USING ({key})"
 _STATE = "CASE WHEN o.{k} IS NULL THEN 'added' WHEN n.{k} IS NULL THEN 'removed' WHEN {same} THEN 'unchanged' ELSE 'modified' END AS state"
@@ -226,9 +232,10 @@ SQL = {
     "symbol_search": f"WITH {NODES_SQL} SELECT id, CASE WHEN lower(name) = 'red widget' THEN 100 WHEN starts_with(lower(name), 'red widget') THEN 70 ELSE 50 END AS score, CASE WHEN lower(name) = 'red widget' THEN 'exact-name' WHEN starts_with(lower(name), 'red widget') THEN 'name-prefix' ELSE 'name-contains' END AS reason FROM nodes WHERE kind IN ('part', 'supplier') AND contains(lower(name), 'red widget')",
     "symbol_search_top": f"WITH {NODES_SQL} SELECT id, CASE WHEN starts_with(lower(name), 'nation') THEN 70 WHEN contains(lower(name), 'nation') THEN 50 ELSE 30 END AS score, CASE WHEN starts_with(lower(name), 'nation') THEN 'name-prefix' WHEN contains(lower(name), 'nation') THEN 'name-contains' ELSE 'qualified-name-contains' END AS reason FROM nodes WHERE contains(kind || '.' || lower(name), 'nation') ORDER BY score DESC, kind || '.' || name, kind, id LIMIT 10",
     "node_search": f"WITH {NODES_SQL}, s AS (SELECT id, round(CASE WHEN lower(id) = 'nation 7' OR lower(name) = 'nation 7' THEN 100 WHEN contains(lower(id), 'nation 7') OR contains(lower(name), 'nation 7') THEN 45 ELSE 0 END + CASE WHEN 'nation' IN (lower(id), lower(name)) THEN 35 WHEN contains(lower(id), 'nation') OR contains(lower(name), 'nation') THEN 12 ELSE 0 END + CASE WHEN contains(kind, 'nation') THEN 8 ELSE 0 END + CASE WHEN '7' IN (lower(id), lower(name)) THEN 35 WHEN contains(lower(id), '7') OR contains(lower(name), '7') THEN 12 ELSE 0 END + CASE WHEN contains(kind, '7') THEN 8 ELSE 0 END, 1)::DOUBLE AS score FROM nodes) SELECT * FROM s WHERE score > 0 ORDER BY score DESC, lower(id), id LIMIT 30",
-    "relational_search": "SELECT DISTINCT 'customer:' || o_custkey AS id, 'depends_on' AS why FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_name = 'red widget'",
-    "scoped_search": "SELECT DISTINCT 'customer:' || o_custkey AS id, 'concept' AS why FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey WHERE p_name = 'red widget' AND c_nationkey = 7",
-    "postings_any": f"WITH {_POST} SELECT id, count(DISTINCT term) AS matched FROM post WHERE term IN ('red', 'widget', 'small') GROUP BY id",
+    "relational_search": "SELECT DISTINCT 'customer:' || o_custkey AS id, 'depends_on' AS why, 0 AS omitted FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_name = 'red widget'",
+    "bounded_search": "WITH f AS (SELECT DISTINCT 'customer:' || o_custkey AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_name = 'red widget') SELECT id, 'depends_on' AS why, greatest((SELECT count(*) FROM f) - 2000, 0) AS omitted FROM f ORDER BY id LIMIT 2000",
+    "scoped_search": "SELECT DISTINCT 'customer:' || o_custkey AS id, 'concept' AS why, 0 AS omitted FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey WHERE p_name = 'red widget' AND c_nationkey = 7",
+    "postings_any": f"WITH {_POST} SELECT id, count(DISTINCT term) AS matched, 0 AS omitted FROM post WHERE term IN ('red', 'widget', 'small') GROUP BY id",
     "postings_all": f"WITH {_POST} SELECT id FROM post WHERE term IN ('red', 'widget') GROUP BY id HAVING count(DISTINCT term) = 2",
     "hit_scores": "WITH v AS (SELECT p_partkey, p_name = 'red widget' AS exact, p_size > 25 AS ev, CASE WHEN starts_with(p_name, 'red') THEN 1.0::DOUBLE END AS a, round(p_size / 50, 2) AS b, CASE WHEN p_type = 'SMALL' THEN 0.5::DOUBLE END AS c, CASE WHEN p_brand = 'Brand#7' THEN 1.0::DOUBLE ELSE 0 END AS d, CASE WHEN p_size > 25 THEN 1.0::DOUBLE END AS e FROM part), w AS (SELECT *, coalesce(a * 0.35::DOUBLE, 0) + b * 0.25::DOUBLE + coalesce(c * 0.15::DOUBLE, 0) + d * 0.15::DOUBLE + coalesce(e * 0.1::DOUBLE, 0) AS t, CASE WHEN a IS NULL THEN 0 ELSE 0.35::DOUBLE END + 0.25::DOUBLE + CASE WHEN c IS NULL THEN 0 ELSE 0.15::DOUBLE END + 0.15::DOUBLE + CASE WHEN e IS NULL THEN 0 ELSE 0.1::DOUBLE END AS w FROM v) SELECT p_partkey, round(CASE WHEN ev OR exact THEN t / w ELSE t / w * 0.39::DOUBLE END, 6) AS score FROM w",
     "bounded_context": "SELECT * FROM (SELECT project, doc_id, tokens, sum(tokens) OVER (PARTITION BY project ORDER BY tokens, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM (SELECT project, doc_id, ceil(coalesce(length(text), 0) / 4)::BIGINT AS tokens FROM documents WHERE project IS NOT NULL)) WHERE used <= 1500",

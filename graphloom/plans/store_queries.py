@@ -20,17 +20,25 @@ from graphloom.streaming import watch as H
 
 
 def _blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Each order as a method without branches, its lines in order as blocks."""
+    """Each order as a method, its lines in order as blocks."""
     lineitem = table(spark, folder, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     return lineitem.select(F.col("l_orderkey").alias("method"), place.cast("bigint").alias("block"), "l_partkey", "l_suppkey").select(
-        "method", "block", F.col("block").alias("position"), F.array(F.concat(F.lit("v"), F.col("l_partkey") % 3)).alias("defines"), F.array(F.concat(F.lit("v"), F.col("l_suppkey") % 3)).alias("uses")
+        "method", "block", F.col("block").alias("position"), F.array(F.concat(F.lit("v"), F.col("l_partkey") % 3)).alias("defines"), F.array(F.concat(F.lit("v"), F.col("l_suppkey") % 3)).alias("uses"), "l_partkey", "l_suppkey"
     )
 
 
+def _control_flow(blocks: DataFrame) -> DataFrame:
+    """Each block goes on to the next; some also branch over it, and some go back two blocks."""
+    at, ways = F.col("block"), (F.lit(True), F.col("l_suppkey") % 3 == 0, F.col("l_partkey") % 4 == 0)
+    targets = F.array(*(F.when(way, at + step) for way, step in zip(ways, (1, 2, -2))))
+    edges = blocks.select("method", at.alias("source"), F.explode(targets).alias("target")).where("target is not null")
+    return edges.join(blocks.select("method", at.alias("target")), ["method", "target"], "left_semi").select("method", "source", "target")
+
+
 def _flow(spark: SparkSession, folder: str, analysis: str) -> DataFrame:
     blocks = _blocks(spark, folder)
-    return W.analyse(blocks, W.linear_edges(blocks), analysis)
+    return W.analyse(blocks, _control_flow(blocks), analysis)
 
 
 def flow_reaching(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,10 +72,13 @@ def sequential_taint(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def constant_values(spark: SparkSession, folder: str) -> DataFrame:
-    lineitem = table(spark, folder, "lineitem")
-    rows = lineitem.select(F.col("l_orderkey").alias("program"), F.col("l_linenumber").alias("position"), F.lit("x").alias("target"), F.lit("*").alias("op"), (F.col("l_partkey") * 100003).cast("string").alias("left"), F.col("l_suppkey").cast("string").alias("right"), "l_partkey", "l_suppkey")
-    last = rows.groupBy("program").agg(F.max_by(F.struct("position", "target", "op", "left", "right"), F.struct("position", "l_partkey", "l_suppkey")).alias("s"))
-    return W.constant_values(last.select("program", "s.*"))
+    """Each order as a program: a line multiplies its part by a variable of the lines before, or starts one anew."""
+    blocks = _blocks(spark, folder)
+    variable = F.concat(F.lit("v"), F.col("l_suppkey") % 3)
+    fresh = F.col("l_suppkey") % 2 == 0
+    return W.constant_values(blocks.select(
+        F.col("method").alias("program"), "position", F.col("defines")[0].alias("target"), F.when(fresh, "=").otherwise("*").alias("op"), (F.col("l_partkey") * 100003).cast("string").alias("left"), F.when(~fresh, variable).alias("right")
+    ))
 
 
 def wrapped_products(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,10 +95,10 @@ def intervals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def nullability(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events")
-    source = F.when(F.col("event_type") == "error", "null").when(F.col("event_type") == "click", "nonnull").otherwise("unknown")
-    last = events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
-    return W.nullability(last.select(F.col("user_id").alias("method"), F.lit(1).alias("position"), F.lit("a").alias("variable"), source.alias("source")))
+    """Each user as a method whose events in order set one of three variables, or copy the next of them."""
+    own, other = (F.concat(F.lit("a"), (F.col("event_id") + k) % 3) for k in (0, 1))
+    source = F.when(F.col("event_type") == "error", "null").when(F.col("event_type") == "click", "nonnull").when(F.col("event_type") == "view", other).otherwise("unknown")
+    return W.nullability(table(spark, folder, "events").select(F.col("user_id").alias("method"), F.col("event_id").alias("position"), own.alias("variable"), source.alias("source")))
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,9 +113,15 @@ def ingest_declarations(spark: SparkSession, folder: str) -> DataFrame:
     return C.declarations(C.code_blocks(_documents(spark, folder)))
 
 
+#: What is put behind a document's path, by its number.
+_SUFFIXES = ("", ".java", ".XML", ".jar", ".class", ".png", ".rst", ".none", "/pom.xml", ".tsx")
+
+
 def ingest_classified(spark: SparkSession, folder: str) -> DataFrame:
-    paths = files(spark, folder).where("path is not null").select("id", F.concat(F.when(F.col("id") % 3 == 0, "src/test/").when(F.col("id") % 3 == 1, "build/").otherwise(""), "path", F.when(F.col("id") % 2 == 0, ".java").otherwise("")).alias("path"))
-    return V.classified(paths).groupBy("language", "kind").agg(F.count("*").alias("files"))
+    front = F.when(F.col("id") % 3 == 0, "src/test/").when(F.col("id") % 3 == 1, "Build/").otherwise("")
+    suffix = F.element_at(F.array(*(F.lit(x) for x in _SUFFIXES)), (F.col("id") % len(_SUFFIXES) + 1).cast("int"))
+    paths = files(spark, folder).where("path is not null").select("id", F.concat(front, "path", suffix).alias("path"))
+    return V.classified(paths).withColumn("test", V.is_test_path(F.col("path"))).groupBy("language", "kind", "test").agg(F.count("*").alias("files"))
 
 
 def project_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,24 +214,29 @@ def lease_states(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (flow_reaching, flow_liveness, flow_def_use, flow_dead_assignments, flow_dominators, flow_order, sequential_taint, constant_values, wrapped_products, intervals, nullability, ingest_code_blocks, ingest_declarations, ingest_classified, project_fingerprints, history_page, history_eligible, history_pruned, appended_messages, audit_breaks, report_lines, report_sarif, watch_poll, watch_debounced, stream_rates, batch_rates, plugin_health, lease_states)}
 
-_B = "b AS (SELECT l_orderkey AS method, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS block, 'v' || (l_partkey % 3) AS d, 'v' || (l_suppkey % 3) AS u FROM lineitem)"
-_REACHING = _B + ", r AS (SELECT b.method, b.block, a.d AS variable, max(a.block) AS other FROM b JOIN b a ON a.method = b.method AND a.block < b.block GROUP BY 1, 2, 3)"
-_LIVE = _B + ", nu AS (SELECT b.method, b.block, v.variable, (SELECT min(c.block) FROM b c WHERE c.method = b.method AND c.block >= b.block AND c.u = v.variable) AS use, (SELECT min(c.block) FROM b c WHERE c.method = b.method AND c.block >= b.block AND c.d = v.variable) AS def FROM b, (VALUES ('v0'), ('v1'), ('v2')) v(variable)), live AS (SELECT method, block, variable FROM nu WHERE use IS NOT NULL AND (def IS NULL OR use <= def))"
+_B = (
+    "b AS MATERIALIZED (SELECT l_orderkey AS method, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS block, 'v' || (l_partkey % 3) AS d, 'v' || (l_suppkey % 3) AS u, l_partkey AS part, l_suppkey AS supp FROM lineitem), "
+    "e AS MATERIALIZED (SELECT b.method, b.block AS s, t.block AS t, b.d, b.u FROM b JOIN b t ON t.method = b.method AND (t.block = b.block + 1 OR (b.supp % 3 = 0 AND t.block = b.block + 2) OR (b.part % 4 = 0 AND t.block = b.block - 2)))"
+)
+_REACHING = _B + ", r AS (SELECT method, t AS block, d AS variable, s AS other FROM e UNION SELECT e.method, e.t, r.variable, r.other FROM r JOIN e ON e.method = r.method AND e.s = r.block AND e.d <> r.variable)"
+_LIVE = _B + ", live AS (SELECT method, block, u AS variable FROM b UNION SELECT e.method, e.s, l.variable FROM live l JOIN e ON e.method = l.method AND e.t = l.block AND e.d <> l.variable)"
+_DOMINATED = _B + ", reach AS (SELECT DISTINCT method, 1::BIGINT AS block FROM b UNION SELECT e.method, e.t FROM reach r JOIN e ON e.method = r.method AND e.s = r.block), past AS (SELECT method, block AS a, 1::BIGINT AS block FROM b WHERE block > 1 UNION SELECT e.method, p.a, e.t FROM past p JOIN e ON e.method = p.method AND e.s = p.block AND e.t <> p.a)"
+_STEPS = "s AS MATERIALIZED (SELECT program, position, target, op, a, right_, row_number() OVER (PARTITION BY program ORDER BY position) AS k FROM (SELECT l_orderkey AS program, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS position, l_partkey % 3 AS target, CASE WHEN l_suppkey % 2 = 0 THEN '=' ELSE '*' END AS op, l_partkey * 100003 AS a, l_suppkey % 3 AS right_ FROM lineitem))"
+_WRAP = "((({} + 2147483648) % 4294967296) + 4294967296) % 4294967296 - 2147483648"
 _EVERY = "every AS (SELECT path, max(sha256) AS sha256, max(kind) AS kind FROM files WHERE path IS NOT NULL GROUP BY path)"
 SQL = {
-    "flow_reaching": f"WITH {_REACHING} SELECT * FROM r",
-    "flow_liveness": f"WITH {_LIVE} SELECT * FROM live",
-    "flow_def_use": f"WITH {_REACHING} SELECT r.* FROM r JOIN b ON b.method = r.method AND b.block = r.block AND b.u = r.variable",
-    "flow_dead_assignments": f"WITH {_LIVE} SELECT b.method, b.block, b.d AS variable FROM b LEFT JOIN live l ON l.method = b.method AND l.block = b.block + 1 AND l.variable = b.d WHERE l.method IS NULL",
-    "flow_dominators": f"WITH {_B} SELECT b.method, b.block, a.block AS dominator FROM b JOIN b a ON a.method = b.method AND a.block <= b.block",
-    "flow_order": f"WITH {_B} SELECT method, block, block - 1 AS place FROM b",
+    "flow_reaching": f"WITH RECURSIVE {_REACHING} SELECT * FROM r",
+    "flow_liveness": f"WITH RECURSIVE {_LIVE} SELECT * FROM live",
+    "flow_def_use": f"WITH RECURSIVE {_REACHING} SELECT r.* FROM r JOIN b ON b.method = r.method AND b.block = r.block AND b.u = r.variable",
+    "flow_dead_assignments": f"WITH RECURSIVE {_LIVE} SELECT b.method, b.block, b.d AS variable FROM b WHERE NOT EXISTS (SELECT 1 FROM e JOIN live l ON l.method = e.method AND l.block = e.t WHERE e.method = b.method AND e.s = b.block AND l.variable = b.d)",
+    "flow_dominators": f"WITH RECURSIVE {_DOMINATED} SELECT r.method, r.block, x.block AS dominator FROM reach r JOIN reach x ON x.method = r.method LEFT JOIN past p ON p.method = r.method AND p.a = x.block AND p.block = r.block WHERE x.block = r.block OR x.block = 1 OR p.a IS NULL",
     "sequential_taint": "SELECT user_id AS program, event_id AS position, 'x' || event_id AS target FROM events WHERE event_type IN ('signup', 'purchase')",
-    "constant_values": "WITH s AS (SELECT l_orderkey AS program, l_partkey * 100003 AS a, l_suppkey AS b FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) = 1) SELECT program, 'x' AS target, ((((a * b + 2147483648) % 4294967296) + 4294967296) % 4294967296 - 2147483648)::BIGINT AS value FROM s",
+    "constant_values": f"WITH RECURSIVE {_STEPS}, f AS (SELECT DISTINCT program, 0::BIGINT AS k, [NULL, NULL, NULL]::BIGINT[] AS held, [false, false, false] AS set_ FROM s UNION ALL SELECT s.program, s.k, list_transform(f.held, lambda x, i: CASE WHEN i = s.target + 1 THEN CASE WHEN s.op = '=' THEN s.a ELSE {_WRAP.format('(s.a::HUGEINT * f.held[s.right_ + 1])')} END::BIGINT ELSE x END), list_transform(f.set_, lambda x, i: x OR i = s.target + 1) FROM f JOIN s ON s.program = f.program AND s.k = f.k + 1), z AS (SELECT program, held, set_ FROM f QUALIFY row_number() OVER (PARTITION BY program ORDER BY k DESC) = 1) SELECT program, 'v' || i AS target, held[i + 1] AS value FROM z, range(3) t(i) WHERE set_[i + 1]",
     "wrapped_products": "SELECT l_orderkey, ((((sum(l_partkey)::BIGINT * 1000003 + 2147483648) % 4294967296) + 4294967296) % 4294967296 - 2147483648)::BIGINT AS value FROM lineitem GROUP BY 1",
     "intervals": "SELECT p_partkey, greatest(p_size::DOUBLE, 200) AS low, least(p_size::DOUBLE * 30, p_retailprice - 400) AS high, greatest(p_size::DOUBLE, 200) > least(p_size::DOUBLE * 30, p_retailprice - 400) AS empty, CASE WHEN p_size % 2 = 0 THEN p_retailprice / 10 > p_size ELSE p_retailprice / 10 >= p_size END AND p_retailprice / 10 <= p_size::DOUBLE * 30 AS held FROM part",
-    "nullability": "SELECT user_id AS method, 'a' AS variable, CASE arg_max(event_type, event_id) WHEN 'error' THEN 'null' WHEN 'click' THEN 'nonnull' ELSE 'unknown' END AS state FROM events GROUP BY user_id",
+    "nullability": "WITH RECURSIVE s AS MATERIALIZED (SELECT user_id AS method, event_type AS t, event_id % 3 AS v, (event_id + 1) % 3 AS w, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), f AS (SELECT DISTINCT method, 0::BIGINT AS k, [NULL, NULL, NULL]::VARCHAR[] AS held FROM s UNION ALL SELECT s.method, s.k, list_transform(f.held, lambda x, i: CASE WHEN i = s.v + 1 THEN CASE s.t WHEN 'error' THEN 'null' WHEN 'click' THEN 'nonnull' WHEN 'view' THEN coalesce(f.held[s.w + 1], 'unknown') ELSE 'unknown' END ELSE x END) FROM f JOIN s ON s.method = f.method AND s.k = f.k + 1), z AS (SELECT method, held FROM f QUALIFY row_number() OVER (PARTITION BY method ORDER BY k DESC) = 1) SELECT method, 'a' || i AS variable, held[i + 1] AS state FROM z, range(3) t(i) WHERE held[i + 1] IS NOT NULL",
     "ingest_code_blocks": "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?s)```[A-Za-z0-9]*\\n(.*?)\\n```', 1)) AS code FROM documents) SELECT CASE WHEN regexp_matches(code, '^\\s*(?:public|private|protected|final|abstract|package)') THEN 'java' WHEN regexp_matches(code, '^\\s*def ') THEN 'python' WHEN regexp_matches(code, '^\\s*SELECT\\s') THEN 'sql' WHEN regexp_matches(code, '^\\s*\\$ ') THEN 'shell' WHEN regexp_matches(code, '^\\s*[\\[{]') THEN 'json' ELSE 'unknown' END AS language, count(*) AS blocks, count(DISTINCT doc_id) AS documents FROM t GROUP BY 1",
-    "ingest_classified": "SELECT CASE WHEN doc_id % 2 = 0 THEN 'java' ELSE 'markdown' END AS language, CASE WHEN doc_id % 3 = 1 THEN 'generated' WHEN doc_id % 2 = 1 THEN 'documentation' WHEN doc_id % 3 = 0 THEN 'test' ELSE 'source' END AS kind, count(*) AS files FROM documents WHERE doc_path IS NOT NULL GROUP BY 1, 2",
+    "ingest_classified": "SELECT CASE WHEN k = 1 THEN 'Java' WHEN k = 9 THEN 'TypeScript' END AS language, CASE WHEN g THEN 'generated' ELSE ['documentation', 'source', 'config', 'archive', 'binary', 'asset', 'documentation', 'unknown', 'build', 'source'][k + 1] END AS kind, t AS test, count(*) AS files FROM (SELECT doc_id % 10 AS k, doc_id % 3 = 1 AS g, doc_id % 3 = 0 AS t FROM documents WHERE doc_path IS NOT NULL) GROUP BY ALL",
     "project_fingerprints": f"WITH {FILES_SQL} SELECT project, count(*) AS files, sha256(count(*) || '|' || sum(('0x' || substr(sha256(concat_ws(chr(31), path, sha256)), 1, 15))::BIGINT::HUGEINT)) AS fingerprint FROM files GROUP BY project",
     "history_page": "SELECT DISTINCT id, workspace_fingerprint, succeeded FROM analysis_runs ORDER BY id DESC LIMIT 20 OFFSET 10",
     "history_eligible": "SELECT DISTINCT id, succeeded FROM analysis_runs WHERE id NOT IN (SELECT analysis_run_id FROM project_runs WHERE status = 'failed')",

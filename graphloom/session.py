@@ -23,6 +23,7 @@ def get_spark(app: str = "graphloom", cores: int | str = "*", **conf: str) -> Sp
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "12g")
     )
     for key, value in conf.items():
@@ -50,7 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; Spark removes the files when nothing uses them."""
+    """``df`` computed once and kept in the shared folder. Spark removes the files when nothing uses them if the session was
+    started with ``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``get_spark`` does; else they stay until the folder goes."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 

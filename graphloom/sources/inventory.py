@@ -9,11 +9,13 @@ from graphloom.session import ship
 
 #: Languages by extension.
 LANGUAGES = {
-    "java": "java", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "groovy": "groovy", "gradle": "groovy", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript",
-    "jsx": "javascript", "go": "go", "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "sql": "sql", "sh": "shell", "xml": "xml", "json": "json",
-    "yml": "yaml", "yaml": "yaml", "toml": "toml", "properties": "properties", "md": "markdown", "html": "html", "css": "css",
+    "c": "C", "cc": "C++", "cpp": "C++", "cs": "C#", "css": "CSS", "go": "Go", "groovy": "Groovy", "h": "C/C++ Header", "hpp": "C++ Header", "html": "HTML", "java": "Java", "js": "JavaScript",
+    "jsx": "JavaScript", "kt": "Kotlin", "kts": "Kotlin", "php": "PHP", "pl": "Perl", "py": "Python", "rb": "Ruby", "rs": "Rust", "scala": "Scala", "sh": "Shell", "sql": "SQL", "ts": "TypeScript",
+    "tsx": "TypeScript", "vue": "Vue",
 }
 #: Kinds by extension, names of build files, and folders of generated and test code.
+CONFIG = ("conf", "config", "ini", "json", "properties", "toml", "xml", "yaml", "yml")
+ARCHIVE = ("7z", "ear", "gz", "jar", "rar", "tar", "war", "zip")
 BINARY = ("class", "dll", "dylib", "exe", "o", "obj", "pdb", "pyc", "so")
 DOCUMENTATION = ("adoc", "md", "rst", "txt")
 ASSETS = ("bmp", "gif", "ico", "jpeg", "jpg", "mp3", "mp4", "pdf", "png", "svg", "webp", "woff", "woff2")
@@ -70,14 +72,16 @@ def is_test_path(path: Column) -> Column:
 
 
 def kind(path: Column) -> Column:
-    """binary, asset, generated, build, documentation, test, source or other; the first that fits."""
+    """generated (by any folder), build (by name), source (any known language), then by extension config, archive, binary,
+    documentation or asset; else unknown. The first that fits; whether a file is a test is told by ``is_test_path``."""
     suffix, name = extension(path), F.lower(file_name(path))
     folders = F.transform(F.split(path, "/"), lambda x: F.lower(x))
-    generated = F.arrays_overlap(F.slice(folders, 1, F.greatest(F.size(folders) - 1, F.lit(0))), F.array(*(F.lit(x) for x in GENERATED_FOLDERS)))
-    return (
-        F.when(suffix.isin(*BINARY), "binary").when(suffix.isin(*ASSETS), "asset").when(generated, "generated").when(name.isin(*BUILD_FILES), "build")
-        .when(suffix.isin(*DOCUMENTATION), "documentation").when(is_test_path(path), "test").when(language(path).isNotNull(), "source").otherwise("other")
-    )
+    above = F.slice(folders, 1, F.greatest(F.size(folders) - 1, F.lit(0)))
+    found = F.lit("unknown")
+    for value, suffixes in (("asset", ASSETS), ("documentation", DOCUMENTATION), ("binary", BINARY), ("archive", ARCHIVE), ("config", CONFIG)):
+        found = F.when(suffix.isin(*suffixes), value).otherwise(found)
+    found = F.when(name.isin(*BUILD_FILES), "build").when(language(path).isNotNull(), "source").otherwise(found)
+    return F.when(F.arrays_overlap(above, F.array(*(F.lit(x) for x in GENERATED_FOLDERS))), "generated").otherwise(found)
 
 
 def classified(files: DataFrame) -> DataFrame:

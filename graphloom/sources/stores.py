@@ -18,14 +18,19 @@ def _filesystem(spark: SparkSession, path: str):
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Written beside and renamed, so that a reader sees the old or the new text."""
-    files, target = _filesystem(spark, path)
+    """Written beside and renamed over the old one in one call, so that a reader sees the old or the new text wherever the
+    file system's rename replaces atomically, as a distributed one's does."""
+    files, _ = _filesystem(spark, path)
     _, beside = _filesystem(spark, f"{path}.new")
     stream = files.create(beside, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    files.delete(target, False)
-    files.rename(beside, target)
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(context.makeQualified(beside), context.makeQualified(jvm.org.apache.hadoop.fs.Path(path)), options)
 
 
 def _read_text(spark: SparkSession, path: str) -> str:

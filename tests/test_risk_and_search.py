@@ -24,14 +24,14 @@ def test_midrank_and_bands(spark):
 
 def test_scores_renormalise_over_what_is_there(spark, rows):
     normal = spark.createDataFrame([("a", "fan_in", "t", 1.0), ("a", "fan_out", "t", 0.0), ("b", "fan_in", "t", 0.5), ("c", "size", "t", None), ("d", "strange", "t", 1.0)], "subject_id string, metric string, cohort string, normalized double")
-    assert rows(R.scores(normal)) == [("a", "t", 0.571429, 2), ("b", "t", 0.5, 1)]
+    assert rows(R.scores(normal)) == [("a", "t", 0.571429, 2, "fan_in,fan_out"), ("b", "t", 0.5, 1, "fan_in")]
     assert rows(R.heatmap(normal.where("normalized is not null")))[-1] == ("strange", "t", 4, 1)
     assert rows(R.hotspots(spark.createDataFrame([], METRICS))) == []
 
 
 def test_trend_and_ownership(spark, rows):
-    now = spark.createDataFrame([("a", "t", 0.5, 2), ("b", "t", 0.5, 1)], "subject_id string, cohort string, score double, factors bigint")
-    old = spark.createDataFrame([("a", "t", 0.25, 2), ("b", "t", 0.5, 2)], "subject_id string, cohort string, score double, factors bigint")
+    now = spark.createDataFrame([("a", "t", 0.5, 2, "x,y"), ("b", "t", 0.5, 2, "x,y")], "subject_id string, cohort string, score double, factors bigint, factor_names string")
+    old = spark.createDataFrame([("a", "t", 0.25, 2, "x,y"), ("b", "t", 0.5, 2, "x,z")], "subject_id string, cohort string, score double, factors bigint, factor_names string")
     assert [r[-1] for r in rows(R.trend(now, old))] == ["up", "not_comparable"]
     t = lambda k: dt.datetime(2025, 1, k)
     changes = spark.createDataFrame([(1, t(1), "x", "p"), (1, t(2), "y", "p"), (2, t(1), "y", "p"), (3, t(1), None, "q"), (4, t(1), "z", None)], "commit int, at timestamp_ntz, contributor_id string, project string")

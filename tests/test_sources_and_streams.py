@@ -100,7 +100,7 @@ def test_inventory(spark, tmp_path, rows):
     assert [r["content"] for r in inventory.load_documents(spark, str(tmp_path)).collect()] == ["# Hi"]
     paths = ["src/main/java/A.java", "src/test/java/A.java", "a/b/fixtures/x.py", "src/main/test/X.kt", "build/out.js", "pom.xml", "docs/a.md", "lib/x.so", "logo.PNG", "Makefile", "no_suffix"]
     got = {r["path"]: r["kind"] for r in inventory.classified(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
-    assert list(got[p] for p in paths) == ["source", "test", "test", "source", "generated", "build", "documentation", "binary", "asset", "build", "other"]
+    assert list(got[p] for p in paths) == ["source", "source", "source", "source", "generated", "build", "documentation", "binary", "asset", "build", "unknown"]
     files = spark.createDataFrame([("p", "x/pom.xml", "1"), ("p", "y/pom.xml", "2"), ("q", "Cargo.toml", "3")], "project string, path string, sha256 string")
     assert rows(inventory.technologies(files)) == [("p", "maven", 2), ("q", "cargo", 1)]
     one, two = inventory.project_fingerprints(files).collect(), inventory.project_fingerprints(files.orderBy(F.rand())).collect()
@@ -165,7 +165,7 @@ def test_wrapping_arithmetic(op, a, b, want):
 
 def test_impact_and_reachability(spark, rows):
     nodes = spark.createDataFrame([(x, "type") for x in "abcd"] + [("m", "concept")], "id string, kind string")
-    edges = spark.createDataFrame([("b", "a", "calls", ["e"]), ("c", "a", "depends_on", ["e"]), ("d", "b", "depends_on", ["e"]), ("d", "c", "calls", ["e"]), ("a", "d", "calls", []), ("m", "a", "depends_on", ["e"])], "source string, target string, relation string, evidence array<string>")
+    edges = spark.createDataFrame([("b", "a", "calls", ["call_graph.v1:calls"]), ("c", "a", "depends_on", ["e", "uses"]), ("d", "b", "depends_on", ["workspace.projects:x"]), ("d", "c", "calls", ["call_graph.v1:calls"]), ("a", "d", "calls", []), ("a", "c", "calls", ["calls"]), ("m", "a", "depends_on", ["uses"])], "source string, target string, relation string, evidence array<string>")
     legal = I.legal_edges(nodes, edges, "signature")
     assert legal.count() == 4
     found = I.propagate(legal, spark.createDataFrame([("a",)], "root string"))
