@@ -97,3 +97,27 @@ def citations(answers: DataFrame, cited: DataFrame, known: DataFrame, required:
     lacking = required.distinct().join(cited.distinct(), ["answer", "evidence"], "left_anti").groupBy("answer").agg(F.count("*").alias("missing"))
     zero = F.lit(0).cast("bigint")
     return answers.select("answer").distinct().join(counted, "answer", "left").join(lacking, "answer", "left").select("answer", *(F.coalesce(c, zero).alias(c) for c in ("accepted", "unknown", "missing")))
+
+
+def in_scope(findings: DataFrame, projects: Sequence[str] = (), symbols: Sequence[str] = (), categories: Sequence[str] = (), severities: Sequence[str] = (), languages: Sequence[str] = ()) -> DataFrame:
+    """The findings of the given projects, symbols, categories, severities and languages; an empty list asks for nothing. Null values are in no list."""
+    for column, wanted in (("project", projects), ("symbol", symbols), ("category", categories), ("severity", severities), ("language", languages)):
+        if wanted:
+            findings = findings.where(F.col(column).isin(*wanted))
+    return findings
+
+
+def retained(findings: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
+    """The first ``limit`` findings with ``total``, the exact number of all, and ``omitted``."""
+    total = findings.agg(F.count("*").alias("total"), F.greatest(F.count("*") - limit, F.lit(0)).alias("omitted"))
+    return findings.orderBy(*order).limit(limit).join(F.broadcast(total))  # one row
+
+
+def has_absolute_path(text: Column) -> Column:
+    """Whether a text names a path from the root, a drive or a home folder."""
+    return F.coalesce(text.rlike(r"(^|[\s\"'(=])(/[A-Za-z0-9._-]+){2,}|\b[A-Za-z]:[\\/]|(^|\s)~/"), F.lit(False))
+
+
+def is_source_shaped(text: Column) -> Column:
+    """Whether a text looks like program source: a fence, a declaration with its body, or a line that ends a statement."""
+    return F.coalesce(text.rlike(r"(?m)```|^\s*(public|private|protected|class|def|function|import|package)\s+\S+.*[{:;]\s*$|^\s*\S+.*;\s*$"), F.lit(False))

@@ -103,7 +103,7 @@ def test_symbol_and_term_search(spark, rows):
     assert rows(S.symbol_search(symbols, " CACHE ")) == [("1", 100, "exact-name"), ("2", 70, "name-prefix"), ("3", 50, "name-contains"), ("4", 30, "qualified-name-contains")]
     assert rows(S.symbol_search(symbols, "", ["method"])) == [("3", 0, "filters")]
     index = S.postings(spark.createDataFrame([(1, "Red red widget"), (2, "red"), (3, None)], "id int, text string"))
-    assert rows(S.all_terms(index, ["red", "widget"])) == [(1,)] and rows(S.any_term(index, ["red", "widget"])) == [(1, 2), (2, 1)]
+    assert rows(S.all_terms(index, ["red", "widget"])) == [(1,)] and rows(S.any_term(index, ["red", "widget"], 1)) == [(1, 2, 1)]
     assert S.query_terms("A a b " + " ".join(f"t{k}" for k in range(99)))[:2] == ["a", "b"] and len(S.query_terms(" ".join(f"t{k}" for k in range(99)))) == 64
     ranked = spark.createDataFrame([("g", 1, 5), ("g", 2, 6), ("g", 3, 1)], "g string, n int, cost int")
     assert [r["n"] for r in S.within_budget(ranked, "g", [F.col("n")], "cost", 10).collect()] == [1]
