@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.evidence import SEVERITIES
+from graphloom.operators.lookups import glob_pattern
 
 
 @dataclass(frozen=True)
@@ -79,3 +81,33 @@ def resolve_packs(packs: list[Pack], satisfies: Callable[[str, str], bool]) -> l
     for name in sorted(known):
         place(name)
     return order
+
+
+def catalog(registry: RuleRegistry) -> list[tuple[str, str, str]]:
+    """(rule_id, severity, message) of all rules by id."""
+    return [(r.rule_id, r.severity, r.message) for _, r in sorted(registry.rules.items())]
+
+
+def rule_test(actual: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """``(rule_id, found, missing, unexpected, passed)`` of findings ``(key, rule_id)`` against those that a rule's cases expect."""
+    one = actual.select(key, "rule_id").distinct().withColumn("a", F.lit(1))
+    two = expected.select(key, "rule_id").distinct().withColumn("e", F.lit(1))
+    joined = one.join(two, [key, "rule_id"], "full_outer")
+    counted = joined.groupBy("rule_id").agg(F.count_if(F.col("a").isNotNull() & F.col("e").isNotNull()).alias("found"), F.count_if(F.col("a").isNull()).alias("missing"), F.count_if(F.col("e").isNull()).alias("unexpected"))
+    return counted.withColumn("passed", (F.col("missing") == 0) & (F.col("unexpected") == 0))
+
+
+def gated(findings: DataFrame, suppressions: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), disabled: Sequence[str] = ()) -> DataFrame:
+    """``(finding_id, rule_id, path, state, suppression)``: ``kept``, ``disabled`` by rule, ``outside`` the paths, or ``suppressed`` by the first that fits.
+
+    ``suppressions(place, rule_id, path)``: a null rule or path fits any; ``place`` is their order. Paths are globs. A finding
+    meets only the suppressions of its own rule and path, or of any.
+    """
+    path = F.col("path")
+    inside = reduce(lambda a, b: a | b, (path.rlike(glob_pattern(g)) for g in include), F.lit(not include)) & ~reduce(lambda a, b: a | b, (path.rlike(glob_pattern(g)) for g in exclude), F.lit(False))
+    own = suppressions.select("place", F.coalesce("rule_id", F.lit("*")).alias("r"), F.coalesce("path", F.lit("*")).alias("p"))
+    keys = findings.select("finding_id", F.explode(F.array(*(F.struct(r.alias("r"), p.alias("p")) for r in (F.col("rule_id"), F.lit("*")) for p in (path, F.lit("*"))))).alias("k")).select("finding_id", "k.*")
+    first = keys.join(own, ["r", "p"]).groupBy("finding_id").agg(F.min("place").alias("suppression"))
+    state = F.when(F.col("rule_id").isin(*disabled), "disabled").when(~F.coalesce(inside, F.lit(False)), "outside").when(F.col("suppression").isNotNull(), "suppressed").otherwise("kept")
+    joined = findings.select("finding_id", "rule_id", "path").join(first, "finding_id", "left")
+    return joined.select("finding_id", "rule_id", "path", state.alias("state"), F.when(state == "suppressed", F.col("suppression")).alias("suppression"))

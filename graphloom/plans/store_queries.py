@@ -180,18 +180,19 @@ def watch_debounced(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("path", "kind", "events")
 
 
-def _streamed(spark: SparkSession, folder: str, plan) -> DataFrame:
+def _streamed(spark: SparkSession, folder: str, plan, mode: str = "append") -> DataFrame:
     """The rows that ``plan`` of the events as a stream gives, run to its end with state and output in the shared folder."""
     schema = table(spark, folder, "events").schema
     own = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     stream = plan(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder.rstrip('/')}/events.parque[t]"))  # a pattern, so that it may be a file or a folder
-    H.run_to_end(stream, lambda df, n: df.write.mode("append").parquet(f"{own}/rows"), f"{own}/state")
+    H.run_to_end(stream, lambda df, n: df.write.mode("append").parquet(f"{own}/rows"), f"{own}/state", mode)
     return spark.read.schema(stream.schema).parquet(f"{own}/rows")
 
 
 def stream_rates(spark: SparkSession, folder: str) -> DataFrame:
-    """The windows that the watermark has passed at the end of the stream."""
-    return _streamed(spark, folder, lambda s: H.event_rates(_file_events(s), "1 day", "0 seconds"))
+    """All windows with their last counts: updates of windows still open count, and no row of a table is late, whatever its file."""
+    updates = _streamed(spark, folder, lambda s: H.event_rates(_file_events(s), "1 day", "36500 days"), "update")
+    return updates.groupBy("start", "kind").agg(F.max("events").alias("events")).select(F.col("start").cast("string").alias("start"), "kind", "events")
 
 
 def batch_rates(spark: SparkSession, folder: str) -> DataFrame:
@@ -247,6 +248,7 @@ SQL = {
     "report_sarif": "SELECT '{\"ruleId\":\"R1\",\"level\":\"' || CASE WHEN s_acctbal > 5000 THEN 'error' ELSE 'note' END || '\",\"message\":{\"text\":\"' || s_name || '\"},\"locations\":[{\"physicalLocation\":{\"artifactLocation\":{\"uri\":\"src/a.java\"},\"region\":{\"startLine\":' || s_nationkey || '}}}],\"partialFingerprints\":{\"primary\":\"' || s_suppkey || '\"}}' AS result FROM supplier",
     "watch_poll": f"WITH {FILES_SQL}, {_EVERY}, gone AS (SELECT path, sha256, row_number() OVER (PARTITION BY sha256 ORDER BY path) AS n FROM every WHERE kind IN ('adr', 'runbook')), come AS (SELECT 'moved/' || path AS path, sha256, row_number() OVER (PARTITION BY sha256 ORDER BY path) AS n FROM every WHERE kind = 'adr'), m AS (SELECT come.path, gone.path AS previous FROM come JOIN gone USING (sha256, n)) SELECT path, 'renamed' AS kind, previous AS previous_path FROM m UNION ALL SELECT path, 'modified', NULL FROM every WHERE kind = 'readme' UNION ALL SELECT path, 'deleted', NULL FROM gone WHERE path NOT IN (SELECT previous FROM m)",
     "watch_debounced": "WITH e AS (SELECT ts, 'f' || user_id AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS kind FROM events), n AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, kind) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM e), g AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY ts, kind ROWS UNBOUNDED PRECEDING) AS period FROM n), f AS (SELECT path, list(kind ORDER BY ts, kind) AS kinds FROM g GROUP BY path, period), k AS (SELECT path, list_reduce(list_prepend('none', kinds), lambda h, x: CASE WHEN h = 'created' AND x = 'modified' THEN 'created' WHEN h = 'created' AND x = 'deleted' THEN 'none' ELSE x END) AS kind, len(kinds)::INT AS events FROM f) SELECT * FROM k WHERE kind <> 'none'",
+    "stream_rates": "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS start, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS kind, count(*) AS events FROM events GROUP BY 1, 2",
     "batch_rates": "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS start, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS kind, count(*) AS events FROM events GROUP BY 1, 2",
     "plugin_health": "WITH o AS (SELECT 'plugin' || user_id AS plugin, event_id, ts, event_type <> 'error' AS ok FROM events), l AS (SELECT plugin, max((ts, event_id)) FILTER (NOT ok) AS bad, max((ts, event_id)) FILTER (ok) AS good, count(*) AS probes FROM o GROUP BY 1), c AS (SELECT plugin, any_value(probes) AS probes, bool_or(bad IS NULL) AS never, count(*) FILTER (NOT ok AND (good IS NULL OR (ts, event_id) > good)) AS consecutive_failures, count(*) FILTER (ok AND (bad IS NULL OR (ts, event_id) > bad)) AS consecutive_successes FROM o JOIN l USING (plugin) GROUP BY plugin) SELECT plugin, CASE WHEN consecutive_failures >= 3 THEN 'unhealthy' WHEN consecutive_failures > 0 THEN 'degraded' WHEN never OR consecutive_successes >= 2 THEN 'healthy' ELSE 'degraded' END AS status, consecutive_failures, consecutive_successes, probes FROM c",
     "lease_states": "WITH l AS (SELECT 'job' || user_id AS job, event_id, CASE event_type WHEN 'signup' THEN 'complete' WHEN 'error' THEN 'fail' WHEN 'click' THEN 'lease' ELSE 'heartbeat' END AS kind, 'w' || (event_id % 5) AS worker FROM events), g AS (SELECT job, bool_or(kind = 'complete') AS done, count(*) FILTER (kind = 'lease') AS attempt, arg_max(kind, event_id) FILTER (kind IN ('lease', 'fail')) AS turn, arg_max(worker, event_id) FILTER (kind = 'lease') AS worker, max(event_id) FILTER (kind IN ('lease', 'heartbeat')) AS alive FROM l WHERE event_id < 800 OR kind <> 'complete' GROUP BY job) SELECT job, CASE WHEN done THEN 'succeeded' WHEN turn = 'fail' AND attempt >= 4 THEN 'failed' WHEN turn = 'fail' OR turn IS NULL THEN 'pending' WHEN alive + 500 <= 10000 THEN 'expired' ELSE 'leased' END AS state, worker, attempt FROM g",

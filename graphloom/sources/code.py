@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import json
 import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.grouped import fold_groups
 from graphloom.session import ship
 
 
@@ -161,3 +163,65 @@ def flattened_yaml(text: str) -> dict[str, str]:
         elif body:
             found[prefix] = body.strip("\"'")
     return found
+
+
+def config_values(files: DataFrame) -> DataFrame:
+    """``(path, key, value)`` of the properties and YAML files among ``files(path, content)``, by suffix; null contents have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(path, k, v) for path, text in zip(batch["path"], batch["content"]) for k, v in (properties if path.endswith(".properties") else flattened_yaml)(text).items()]
+            yield pd.DataFrame(rows, columns=["path", "key", "value"])
+
+    ship(files.sparkSession)
+    return files.where(F.col("path").rlike(r"\.(properties|ya?ml)$") & F.col("content").isNotNull()).select("path", "content").mapInPandas(run, "path string, key string, value string")
+
+
+def unflattened(values: DataFrame) -> DataFrame:
+    """``(path, json)``: the dotted keys of ``config_values`` put together again as nested objects; a key that is also a prefix of others keeps its value under ``""``."""
+
+    def fold(path: object, rows: list[tuple]) -> list[tuple]:
+        root: dict = {}
+        for _, key, value in rows:
+            node = root
+            *above, last = key.split(".")
+            for part in above:
+                if not isinstance(node.get(part), dict):
+                    node[part] = {"": node[part]} if part in node else {}
+                node = node[part]
+            if isinstance(node.get(last), dict):
+                node[last][""] = value
+            else:
+                node[last] = value
+        return [(path, json.dumps(root, sort_keys=True, separators=(",", ":"), ensure_ascii=False))]
+
+    return fold_groups(values.select("path", "key", "value"), "path", ["key"], fold, "path string, json string")
+
+
+def without_comments(code: Column) -> Column:
+    """Code of the C family without line and block comments; texts in quotes stay as they are."""
+    return F.regexp_replace(code, r"""(?s)("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|//[^\n]*|/\*.*?(?:\*/|$)""", "$1")
+
+
+def literal_arguments(code: Column, call: str) -> Column:
+    """The texts in quotes that ``call`` is given, in order; arguments that are no plain texts are left out. Comments do not count."""
+    lists = F.regexp_extract_all(without_comments(code), F.lit(rf"(?m)^\s*{call}\b\s*\(?((?:\s*,?\s*(?:\"[^\"\n]*\"|'[^'\n]*'|[\w.]+))+)"), 1)
+    texts = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r"\"([^\"\n]*)\"|'([^'\n]*)'"), 0)))
+    return F.transform(texts, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+
+
+#: Folders of compiled sources below a module, most specific first, and folders below them that are none.
+SOURCE_FOLDERS = ("src/main/java", "src/main/kotlin", "src/main/groovy", "src/main/scala", "src")
+NO_SOURCES = ("test", "tests", "resources", "fixture", "fixtures", "generated")
+
+
+def source_roots(files: DataFrame) -> DataFrame:
+    """``(root, files)``: the compiled source root of each source file ``(path)`` and how many it has; files below tests, resources,
+    fixtures and generated folders have none."""
+    slashed = F.concat(F.lit("/"), "path")
+    root = F.lit(None).cast("string")
+    for folder in reversed(SOURCE_FOLDERS):
+        at = F.instr(slashed, f"/{folder}/")
+        root = F.when(at > 0, F.substring(slashed, F.lit(2), at + len(folder) - 1)).otherwise(root)
+    code = F.col("path").rlike(r"\.(java|kt|kts|groovy|scala)$") & ~F.lower(slashed).rlike(r"/(" + "|".join(NO_SOURCES) + r")(/|-)")
+    return files.where(code).withColumn("root", root).where("root is not null").groupBy("root").agg(F.count("*").alias("files"))

@@ -58,9 +58,9 @@ def event_rates(events: DataFrame, width: str = "1 hour", late: str = "10 minute
     return counted.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "kind", "events")
 
 
-def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], folder: str) -> None:
+def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> None:
     """Runs a streaming query over what is there now, each batch through ``sink``, with its state in ``folder``."""
-    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", folder).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", folder).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -141,7 +141,7 @@ def lease_states(log: DataFrame, now_s: float, lease_s: float, attempts: int = 3
 
 
 def auto_fix_order(edits: DataFrame) -> DataFrame:
-    """Edits ``(path, start, stop)`` that do not overlap an earlier kept one, last place first within a path, as they are applied."""
+    """Edits ``(path, start, stop)`` that overlap none that begins before them, last place first within a path, as they are applied."""
     order = Window.partitionBy("path").orderBy("start", "stop")
     clear = edits.withColumn("ended", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))).where(F.col("ended").isNull() | (F.col("start") >= F.col("ended")))
     return clear.withColumn("turn", F.row_number().over(Window.partitionBy("path").orderBy(F.col("start").desc(), F.col("stop").desc()))).drop("ended")
