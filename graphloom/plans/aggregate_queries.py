@@ -98,8 +98,8 @@ def evidence_confidence(spark: SparkSession, folder: str) -> DataFrame:
     suppliers = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("subject_id"))
     roles = suppliers.select("subject_id", F.explode(F.array(F.struct(F.lit("sale").alias("role"), F.lit(True).alias("required")), F.struct(F.lit("return").alias("role"), F.lit(False).alias("required")))).alias("r")).select("subject_id", "r.*")
     lineitem = table(spark, folder, "lineitem")
-    role = F.when(F.col("l_returnflag") == "R", "return").otherwise("sale")
-    records = lineitem.where("l_linestatus = 'F'").select(F.col("l_suppkey").alias("subject_id"), role.alias("role"), (1 - F.col("l_discount")).alias("reliability"), (1 - F.col("l_tax")).alias("specificity"))
+    role = F.when(F.col("l_returnflag") == "R", "return").when(F.col("l_linestatus") == "F", "sale").otherwise("other")
+    records = lineitem.select(F.col("l_suppkey").alias("subject_id"), role.alias("role"), (1 - F.col("l_discount")).alias("reliability"), (1 - F.col("l_tax")).alias("specificity"))
     return E.confidence(roles, records, coverage=0.9)
 
 
@@ -207,7 +207,7 @@ SQL = {
     "git_change_frequency": "SELECT event_type AS project, count(DISTINCT event_id) AS commits FROM events WHERE event_type IS NOT NULL GROUP BY event_type",
     "git_ownership": "WITH c AS (SELECT event_type AS project, event_id, arg_max(user_id, ts) AS u, max((user_id IS NULL)::INT) AS unknown FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2), g AS (SELECT project, u, count(*) AS n, max(unknown) AS unknown FROM c GROUP BY 1, 2) SELECT project, sum(n)::BIGINT AS commits, max(n) AS top_commits, CASE WHEN max(unknown) = 0 THEN round(max(n) / sum(n), 6) END AS concentration FROM g GROUP BY project",
     "review_round_robin": "SELECT s_nationkey, s_suppkey, turn FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)::INT AS turn FROM supplier) ORDER BY turn, s_nationkey LIMIT 40",
-    "evidence_confidence": "WITH q AS (SELECT l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'return' ELSE 'sale' END AS role, avg((1 - l_discount) * (1 - l_tax)) AS quality FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2), r AS (SELECT s_suppkey, role, required FROM supplier, (VALUES ('sale', true), ('return', false)) v(role, required)), g AS (SELECT s_suppkey, coalesce(sum(quality * CASE WHEN required THEN 2 ELSE 1 END) / sum(CASE WHEN quality IS NOT NULL THEN CASE WHEN required THEN 2 ELSE 1 END END), 0) AS support, count(*) FILTER (required AND quality IS NULL) AS missing FROM r LEFT JOIN q ON l_suppkey = s_suppkey AND q.role = r.role GROUP BY s_suppkey) "
+    "evidence_confidence": "WITH q AS (SELECT l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'return' WHEN l_linestatus = 'F' THEN 'sale' ELSE 'other' END AS role, avg((1 - l_discount) * (1 - l_tax)) AS quality FROM lineitem GROUP BY 1, 2), r AS (SELECT s_suppkey, role, required FROM supplier, (VALUES ('sale', true), ('return', false)) v(role, required)), g AS (SELECT s_suppkey, coalesce(sum(quality * CASE WHEN required THEN 2 ELSE 1 END) / sum(CASE WHEN quality IS NOT NULL THEN CASE WHEN required THEN 2 ELSE 1 END END), 0) AS support, count(*) FILTER (required AND quality IS NULL) AS missing FROM r LEFT JOIN q ON l_suppkey = s_suppkey AND q.role = r.role GROUP BY s_suppkey) "
     "SELECT s_suppkey AS subject_id, score, CASE WHEN missing > 0 OR score < 0.4 THEN 'insufficient' WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS tier, missing FROM (SELECT *, round(greatest(0, least(1, support * 0.9)), 4) AS score FROM g)",
     "finding_severities": f"WITH {_FINDINGS} SELECT severity, count(*) AS findings FROM (SELECT DISTINCT fingerprint, {_SEVERITY} AS severity FROM found) GROUP BY severity",
     "finding_gate": f"WITH {_FINDINGS}, s AS (SELECT {_SEVERITY} AS severity FROM found) SELECT count(*) AS findings, count(*) FILTER (severity IN ('high', 'critical')) AS at_threshold, count(*) FILTER (severity IN ('high', 'critical')) = 0 AS passed FROM s",

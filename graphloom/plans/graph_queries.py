@@ -28,7 +28,7 @@ def graph_bounded_adjacency(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_incident(spark: SparkSession, folder: str) -> DataFrame:
-    return G.incident_edges(trade(spark, folder)).groupBy("id", "direction").agg(F.count("*").alias("edges"))
+    return G.incident_edges(trade(spark, folder))
 
 
 def graph_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,7 +110,7 @@ SQL = {
     "every AS (SELECT id, relation, other, way FROM held UNION SELECT id, '*', other, way FROM held) SELECT id, relation, count(*) FILTER (way = 'out') AS out_degree, count(*) FILTER (way = 'in') AS in_degree FROM every GROUP BY id, relation UNION ALL SELECT id, '*', 0, 0 FROM nodes WHERE id NOT IN (SELECT id FROM held)",
     "graph_supplier_degrees": "SELECT 'supplier:' || s_suppkey AS id, count(DISTINCT l_partkey) AS out_degree, 0::BIGINT AS in_degree FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey",
     "graph_bounded_adjacency": f"WITH {EDGES_SQL} SELECT * FROM (SELECT source, target, relation, row_number() OVER (PARTITION BY source ORDER BY source, target, relation)::INT AS place, count(*) OVER (PARTITION BY source) AS total FROM edges) WHERE place <= 3",
-    "graph_incident": f"WITH {TRADE_SQL} SELECT id, direction, count(*) AS edges FROM (SELECT source AS id, 'out' AS direction FROM trade UNION ALL SELECT target, 'in' FROM trade) GROUP BY id, direction",
+    "graph_incident": f"WITH {TRADE_SQL} SELECT source AS id, 'out' AS direction, target AS other, 'depends_on' AS relation FROM trade UNION ALL SELECT target, 'in', source, 'depends_on' FROM trade",
     "graph_neighbourhood": "WITH hop AS (SELECT r_regionkey AS r, 'region:' || r_regionkey AS node, 0 AS depth FROM region UNION ALL SELECT n_regionkey, 'nation:' || n_nationkey, 1 FROM nation UNION ALL SELECT n_regionkey, 'customer:' || c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_regionkey, 'supplier:' || s_suppkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT 'region:' || r AS root, node, depth FROM hop",
     "graph_dependencies": f"WITH RECURSIVE {TRADE_SQL}, {_REACH.format(edges='trade')} SELECT root, node FROM reach WHERE root <> node UNION SELECT NULL, NULL WHERE false",
     "graph_dependents": f"WITH RECURSIVE {TRADE_SQL}, {_BACK}, {_REACH.format(edges='back')} SELECT root, node FROM reach WHERE root <> node",

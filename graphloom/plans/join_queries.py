@@ -50,7 +50,7 @@ def baseline_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 def changed_line_findings(spark: SparkSession, folder: str) -> DataFrame:
     found = _findings(spark, folder)
-    return D.on_changed_lines(found, found.where("rule = 'R'")).groupBy("rule").agg(F.count("*").alias("findings"))
+    return D.on_changed_lines(found, found.where("rule = 'R'")).select("project", "rule", "path", "line", "fingerprint")
 
 
 def architecture_changes(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,7 +98,7 @@ RULES = (("widgets", "suffix", "widget"), ("red", "prefix", "red "), ("any", "co
 
 
 def first_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return L.first_matching_rule(table(spark, folder, "part"), RULES, "p_name").groupBy("rule").agg(F.count("*").alias("parts"))
+    return L.first_matching_rule(table(spark, folder, "part"), RULES, "p_name").select("p_partkey", "rule")
 
 
 def globbed_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,7 +109,7 @@ def forbidden_links(spark: SparkSession, folder: str) -> DataFrame:
     customer, orders, lineitem = table(spark, folder, "customer"), table(spark, folder, "orders"), table(spark, folder, "lineitem")
     bought = orders.join(lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey").select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"))
     layers = customer.select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_mktsegment").alias("layer")).unionByName(table(spark, folder, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_type").alias("layer")))
-    return L.forbidden_links(bought, layers, [("BUILDING", "SMALL"), ("MACHINERY", "ECONOMY")]).groupBy("source_layer", "target_layer").agg(F.count("*").alias("links"))
+    return L.forbidden_links(bought, layers, [("BUILDING", "SMALL"), ("MACHINERY", "ECONOMY")])
 
 
 def latest_turns(spark: SparkSession, folder: str) -> DataFrame:
@@ -214,15 +214,15 @@ SQL = {
     "file_changes": f"WITH {FILES_SQL}, {_FILES}, o AS (SELECT * FROM every WHERE kind <> 'adr'), n AS (SELECT path, CASE WHEN size > 1000 THEN 'edited' ELSE sha256 END AS sha256 FROM every WHERE kind <> 'runbook') SELECT coalesce(o.path, n.path) AS path, {_STATE.format(k='path', same='o.sha256 = n.sha256')} FROM o FULL JOIN n ON o.path = n.path",
     "file_renames": f"WITH {FILES_SQL}, {_FILES}, o AS (SELECT path, sha256, row_number() OVER (PARTITION BY sha256 ORDER BY path) AS k FROM every WHERE kind = 'adr') SELECT 'moved/' || path AS path, path AS renamed_from FROM o",
     "baseline_findings": f"WITH {_FIND} SELECT * FROM found WHERE rule <> 'N'",
-    "changed_line_findings": f"WITH {_FIND} SELECT rule, count(*) AS findings FROM found WHERE (path, line) IN (SELECT (path, line) FROM found WHERE rule = 'R') GROUP BY rule",
+    "changed_line_findings": f"WITH {_FIND} SELECT project, rule, path, line, fingerprint FROM found WHERE (path, line) IN (SELECT (path, line) FROM found WHERE rule = 'R')",
     "architecture_changes": "WITH s AS (SELECT DISTINCT c_nationkey::VARCHAR AS item, c_mktsegment AS value FROM customer), n AS (SELECT n_nationkey::VARCHAR AS item, n_name AS value FROM nation) SELECT item, value, 'added' AS side, 'edges' AS part FROM s WHERE value = 'BUILDING' UNION ALL SELECT item, value, 'removed', 'edges' FROM s WHERE value = 'MACHINERY' UNION ALL SELECT item, value, 'added', 'nodes' FROM n WHERE value = 'NATION_3' UNION ALL SELECT item, value, 'removed', 'nodes' FROM n WHERE value = 'NATION_4'",
     "path_projects": "SELECT DISTINCT doc_path AS path, CASE WHEN doc_path LIKE 'docs/readme/%' THEN 'readme' WHEN doc_path LIKE 'docs/adr/%' THEN NULL WHEN doc_path LIKE 'docs/%' THEN 'all' ELSE 'root' END AS project, CASE WHEN doc_path LIKE 'docs/adr/%' THEN 2 ELSE 1 END::BIGINT AS options FROM documents WHERE doc_path IS NOT NULL",
     "bean_resolution": f"WITH b AS (SELECT s_nationkey AS type, s_suppkey AS target, s_acctbal > 9000 AS main, right(s_name, 2) AS name FROM supplier), w AS (SELECT c_custkey AS injection, c_nationkey AS type, right(c_name, 2) AS name FROM customer), c AS (SELECT injection, 1 AS stage, min(target) AS target FROM w JOIN b USING (type) GROUP BY injection HAVING count(*) = 1 UNION ALL SELECT injection, 2, target FROM w JOIN b USING (type) WHERE main UNION ALL SELECT injection, 3, target FROM w JOIN b USING (type, name)), {_STAGED.format(key='injection')}",
     "nearest_definitions": "SELECT 's' || s_suppkey AS type, 'load' AS method, CASE WHEN n_regionkey IN (1, 3) THEN 'n' || n_nationkey ELSE 'r' || n_regionkey END AS owner, CASE WHEN n_regionkey IN (1, 3) THEN 1 ELSE 2 END AS distance FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 's' || s_suppkey, 'save', 's' || s_suppkey, 0 FROM supplier WHERE s_acctbal < 0",
     "argument_flow": "SELECT l_orderkey AS call_id, l_partkey AS actual, CASE k WHEN 1 THEN 'first' ELSE 'second' END AS formal FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey) AS k FROM lineitem) WHERE k <= 2 AND l_suppkey IN (SELECT s_suppkey FROM supplier)",
-    "first_rules": "SELECT CASE WHEN ends_with(p_name, 'widget') THEN 'widgets' WHEN starts_with(p_name, 'red ') THEN 'red' WHEN contains(p_name, ' ') THEN 'any' END AS rule, count(*) AS parts FROM part GROUP BY 1",
+    "first_rules": "SELECT p_partkey, CASE WHEN ends_with(p_name, 'widget') THEN 'widgets' WHEN starts_with(p_name, 'red ') THEN 'red' WHEN contains(p_name, ' ') THEN 'any' END AS rule FROM part",
     "globbed_files": "SELECT doc_id AS id, doc_path AS path FROM documents WHERE regexp_full_match(doc_path, 'docs/[^/]*/[^/]*\\.md') AND NOT regexp_full_match(doc_path, '(.*/)?amber-[^/]*') AND NOT doc_path LIKE 'docs/adr/%'",
-    "forbidden_links": "SELECT c_mktsegment AS source_layer, p_type AS target_layer, count(*) AS links FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey WHERE NOT (c_mktsegment = 'BUILDING' AND p_type = 'SMALL') AND NOT (c_mktsegment = 'MACHINERY' AND p_type = 'ECONOMY') GROUP BY 1, 2",
+    "forbidden_links": "SELECT 'c' || c_custkey AS source, 'p' || p_partkey AS target, c_mktsegment AS source_layer, p_type AS target_layer FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey WHERE NOT (c_mktsegment = 'BUILDING' AND p_type = 'SMALL') AND NOT (c_mktsegment = 'MACHINERY' AND p_type = 'ECONOMY')",
     "latest_turns": "SELECT status, provider, count(*) AS turns FROM (SELECT id, max((updated_at, status, provider)) AS m, unnest(m) AS u FROM (SELECT id, {'a': updated_at, 'status': status, 'provider': provider} AS s FROM conversation_turns) GROUP BY id) GROUP BY 1, 2",
     "layered_settings": "SELECT user_id AS key, arg_max(props, event_id) AS value, arg_max(event_type, event_id) AS layer FROM events GROUP BY user_id",
     "overlapping_edits": "SELECT path, start, stop FROM (SELECT *, max(stop) OVER (PARTITION BY path ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT DISTINCT l_orderkey AS path, l_partkey AS start, l_partkey + l_quantity::BIGINT * 4 AS stop FROM lineitem)) WHERE start < b",

@@ -37,7 +37,7 @@ def linked_calls(spark: SparkSession, folder: str) -> DataFrame:
     names = part.select("p_partkey", "p_name")
     calls = orders.select(F.col("o_orderkey").alias("call_id"), F.concat(F.lit("Brand#"), F.col("o_custkey") % 40).alias("receiver"), (F.col("o_orderkey") % 2500).alias("p_partkey"), (F.col("o_custkey") % 4).cast("int").alias("arity")).join(names, "p_partkey", "left").select("call_id", "receiver", F.coalesce("p_name", F.lit("println")).alias("name"), "arity")
     library = spark.createDataFrame([("println",)], "name string")
-    return P.link_calls(calls, methods, library).groupBy("link").agg(F.count("*").alias("links"), F.count_distinct("call_id").alias("calls"))
+    return P.link_calls(calls, methods, library)
 
 
 def overload_resolution(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,7 +151,7 @@ _STAGED = "first AS (SELECT {key}, min(stage) AS stage FROM c GROUP BY {key}), h
 SQL = {
     "symbol_problems": "WITH s AS (SELECT p_partkey % 1500 AS id, CASE WHEN p_size > 40 THEN p_partkey + 1000 END AS owner FROM part) SELECT id, 'duplicate' AS problem FROM s GROUP BY id HAVING count(*) > 1 UNION ALL SELECT DISTINCT id, 'orphan' FROM s WHERE owner IS NOT NULL AND owner NOT IN (SELECT id FROM s)",
     "resolved_types": f"WITH {_TYPES}, {_STAGED.format(key='use_id')} SELECT * FROM res",
-    "linked_calls": "WITH m AS (SELECT p_partkey AS id, p_brand AS owner, p_name AS name, p_size % 3 AS arity FROM part), k AS (SELECT o_orderkey AS call, 'Brand#' || (o_custkey % 40) AS receiver, coalesce(p_name, 'println') AS name, o_custkey % 4 AS arity FROM orders LEFT JOIN part ON p_partkey = o_orderkey % 2500), e AS (SELECT call, id FROM k JOIN m ON owner = receiver AND m.name = k.name AND m.arity = k.arity), l AS (SELECT call, id FROM k JOIN m ON m.name = k.name AND m.arity = k.arity WHERE call NOT IN (SELECT call FROM e)), x AS (SELECT call, 'exact' AS link FROM e UNION ALL SELECT call, 'by_name' FROM l UNION ALL SELECT call, 'unresolved' FROM k WHERE name <> 'println' AND call NOT IN (SELECT call FROM e) AND call NOT IN (SELECT call FROM l)) SELECT link, count(*) AS links, count(DISTINCT call) AS calls FROM x GROUP BY link",
+    "linked_calls": "WITH m AS (SELECT p_partkey AS id, p_brand AS owner, p_name AS name, p_size % 3 AS arity FROM part), k AS (SELECT o_orderkey AS call, 'Brand#' || (o_custkey % 40) AS receiver, coalesce(p_name, 'println') AS name, o_custkey % 4 AS arity FROM orders LEFT JOIN part ON p_partkey = o_orderkey % 2500), e AS (SELECT call, id FROM k JOIN m ON owner = receiver AND m.name = k.name AND m.arity = k.arity), l AS (SELECT call, id FROM k JOIN m ON m.name = k.name AND m.arity = k.arity WHERE call NOT IN (SELECT call FROM e)), x AS (SELECT call, id, 'exact' AS link FROM e UNION ALL SELECT call, id, 'by_name' FROM l UNION ALL SELECT call, NULL, 'unresolved' FROM k WHERE name <> 'println' AND call NOT IN (SELECT call FROM e) AND call NOT IN (SELECT call FROM l)) SELECT call AS call_id, id AS target, link FROM x",
     "overload_resolution": f"WITH m AS (SELECT p_partkey AS target, p_partkey % 400 AS name, p_size % 3 AS a, p_partkey % 3 AS b FROM part), w AS (SELECT o_orderkey AS call_id, o_orderkey % 500 AS name, o_custkey % 3 AS a, o_orderkey % 3 AS b FROM orders), c AS (SELECT call_id, ((w.a <> m.a)::INT + (w.b <> m.b)::INT) AS stage, target FROM w JOIN m USING (name) WHERE w.a <= m.a AND w.b <= m.b), {_STAGED.format(key='call_id')} SELECT * FROM res",
     "transaction_flow": _WALK + " SELECT root, node AS symbol, depth, CASE WHEN depth = 0 THEN 'root' WHEN node % 4 = 0 THEN 'new' WHEN node % 4 = 1 THEN 'suspended' ELSE 'joined' END AS effect FROM near",
     "read_only_writes": _WALK + " SELECT DISTINCT root AS symbol FROM near JOIN projects ON id = root WHERE area = 2 AND node % 7 IN (3, 4)",

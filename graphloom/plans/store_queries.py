@@ -106,7 +106,7 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest_code_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return C.code_blocks(_documents(spark, folder)).groupBy("language").agg(F.count("*").alias("blocks"), F.count_distinct("id").alias("documents"))
+    return C.code_blocks(_documents(spark, folder)).select("id", "block", "language", F.sha2("code", 256).alias("code"))
 
 
 def ingest_declarations(spark: SparkSession, folder: str) -> DataFrame:
@@ -176,8 +176,9 @@ def _file_events(events: DataFrame) -> DataFrame:
 
 
 def watch_debounced(spark: SparkSession, folder: str) -> DataFrame:
+    """The events lie hours apart, so the quiet period is hours too."""
     found = H.debounced(_file_events(table(spark, folder, "events")), "6 hours")
-    return found.select("path", "kind", "events")
+    return found.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
 
 
 def _streamed(spark: SparkSession, folder: str, plan, mode: str = "append") -> DataFrame:
@@ -208,9 +209,9 @@ def plugin_health(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lease_states(spark: SparkSession, folder: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "signup", "complete").when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "click", "lease").otherwise("heartbeat")
+    kind = F.when((F.col("event_type") == "signup") & (F.col("event_id") % 23 == 0), "complete").when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "click", "lease").otherwise("heartbeat")
     log = table(spark, folder, "events").select(F.concat(F.lit("job"), F.col("user_id")).alias("job"), F.col("event_id").cast("double").alias("at_s"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("w"), F.col("event_id") % 5).alias("worker"))
-    return H.lease_states(log.where("seq < 800 or kind <> 'complete'"), 10_000.0, 500.0, 4)
+    return H.lease_states(log, 10_000.0, 500.0, 4)
 
 
 QUERIES = {f.__name__: f for f in (flow_reaching, flow_liveness, flow_def_use, flow_dead_assignments, flow_dominators, flow_order, sequential_taint, constant_values, wrapped_products, intervals, nullability, ingest_code_blocks, ingest_declarations, ingest_classified, project_fingerprints, history_page, history_eligible, history_pruned, appended_messages, audit_breaks, report_lines, report_sarif, watch_poll, watch_debounced, stream_rates, batch_rates, plugin_health, lease_states)}
@@ -225,6 +226,7 @@ _DOMINATED = _B + ", reach AS (SELECT DISTINCT method, 1::BIGINT AS block FROM b
 _STEPS = "s AS MATERIALIZED (SELECT program, position, target, op, a, right_, row_number() OVER (PARTITION BY program ORDER BY position) AS k FROM (SELECT l_orderkey AS program, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS position, l_partkey % 3 AS target, CASE WHEN l_suppkey % 2 = 0 THEN '=' ELSE '*' END AS op, l_partkey * 100003 AS a, l_suppkey % 3 AS right_ FROM lineitem))"
 _WRAP = "((({} + 2147483648) % 4294967296) + 4294967296) % 4294967296 - 2147483648"
 _EVERY = "every AS (SELECT path, max(sha256) AS sha256, max(kind) AS kind FROM files WHERE path IS NOT NULL GROUP BY path)"
+_LANGUAGE = "CASE WHEN regexp_matches(ltrim({0}), '^(?:public|private|protected|final|abstract|package|import java|class \\w+ (?:[{{]|extends|implements))') THEN 'java' WHEN regexp_matches(ltrim({0}), '^(?:def |class \\w+[:(]|from \\w|import \\w)') THEN 'python' WHEN regexp_matches(ltrim({0}), '^(?i:select|insert|update|delete|create|with)\\s') THEN 'sql' WHEN starts_with(ltrim({0}), '$ ') THEN 'shell' WHEN regexp_matches(ltrim({0}), '^[\\[{{]') THEN 'json' WHEN regexp_matches(ltrim({0}), '^(?:export |interface \\w+|const \\w+|function \\w+)') THEN 'typescript' ELSE 'unknown' END"
 SQL = {
     "flow_reaching": f"WITH RECURSIVE {_REACHING} SELECT * FROM r",
     "flow_liveness": f"WITH RECURSIVE {_LIVE} SELECT * FROM live",
@@ -236,7 +238,7 @@ SQL = {
     "wrapped_products": "SELECT l_orderkey, ((((sum(l_partkey)::BIGINT * 1000003 + 2147483648) % 4294967296) + 4294967296) % 4294967296 - 2147483648)::BIGINT AS value FROM lineitem GROUP BY 1",
     "intervals": "SELECT p_partkey, greatest(p_size::DOUBLE, 200) AS low, least(p_size::DOUBLE * 30, p_retailprice - 400) AS high, greatest(p_size::DOUBLE, 200) > least(p_size::DOUBLE * 30, p_retailprice - 400) AS empty, CASE WHEN p_size % 2 = 0 THEN p_retailprice / 10 > p_size ELSE p_retailprice / 10 >= p_size END AND p_retailprice / 10 <= p_size::DOUBLE * 30 AS held FROM part",
     "nullability": "WITH RECURSIVE s AS MATERIALIZED (SELECT user_id AS method, event_type AS t, event_id % 3 AS v, (event_id + 1) % 3 AS w, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), f AS (SELECT DISTINCT method, 0::BIGINT AS k, [NULL, NULL, NULL]::VARCHAR[] AS held FROM s UNION ALL SELECT s.method, s.k, list_transform(f.held, lambda x, i: CASE WHEN i = s.v + 1 THEN CASE s.t WHEN 'error' THEN 'null' WHEN 'click' THEN 'nonnull' WHEN 'view' THEN coalesce(f.held[s.w + 1], 'unknown') ELSE 'unknown' END ELSE x END) FROM f JOIN s ON s.method = f.method AND s.k = f.k + 1), z AS (SELECT method, held FROM f QUALIFY row_number() OVER (PARTITION BY method ORDER BY k DESC) = 1) SELECT method, 'a' || i AS variable, held[i + 1] AS state FROM z, range(3) t(i) WHERE held[i + 1] IS NOT NULL",
-    "ingest_code_blocks": "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?s)```[A-Za-z0-9]*\\n(.*?)\\n```', 1)) AS code FROM documents) SELECT CASE WHEN regexp_matches(code, '^\\s*(?:public|private|protected|final|abstract|package)') THEN 'java' WHEN regexp_matches(code, '^\\s*def ') THEN 'python' WHEN regexp_matches(code, '^\\s*SELECT\\s') THEN 'sql' WHEN regexp_matches(code, '^\\s*\\$ ') THEN 'shell' WHEN regexp_matches(code, '^\\s*[\\[{]') THEN 'json' ELSE 'unknown' END AS language, count(*) AS blocks, count(DISTINCT doc_id) AS documents FROM t GROUP BY 1",
+    "ingest_code_blocks": f"WITH d AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS bare FROM documents), t AS (SELECT doc_id, CASE WHEN NOT contains(bare, '```') AND {_LANGUAGE.format('bare')} <> 'unknown' THEN [bare] ELSE regexp_extract_all(bare, '(?s)```[A-Za-z0-9]*\\n(.*?)\\n```', 1) END AS codes FROM d) SELECT doc_id AS id, (i - 1)::INT AS block, {_LANGUAGE.format('codes[i]')} AS language, sha256(codes[i]) AS code FROM t, range(1, 1000) r(i) WHERE i <= len(codes)",
     "ingest_classified": "SELECT CASE WHEN k = 1 THEN 'Java' WHEN k = 9 THEN 'TypeScript' END AS language, CASE WHEN g THEN 'generated' ELSE ['documentation', 'source', 'config', 'archive', 'binary', 'asset', 'documentation', 'unknown', 'build', 'source'][k + 1] END AS kind, t AS test, count(*) AS files FROM (SELECT doc_id % 10 AS k, doc_id % 3 = 1 AS g, doc_id % 3 = 0 AS t FROM documents WHERE doc_path IS NOT NULL) GROUP BY ALL",
     "project_fingerprints": f"WITH {FILES_SQL} SELECT project, count(*) AS files, sha256(count(*) || '|' || sum(('0x' || substr(sha256(concat_ws(chr(31), path, sha256)), 1, 15))::BIGINT::HUGEINT)) AS fingerprint FROM files GROUP BY project",
     "history_page": "SELECT DISTINCT id, workspace_fingerprint, succeeded FROM analysis_runs ORDER BY id DESC LIMIT 20 OFFSET 10",
@@ -247,9 +249,9 @@ SQL = {
     "report_lines": "SELECT '{\"s_suppkey\":' || s_suppkey || ',\"s_name\":\"' || s_name || '\",\"s_nationkey\":' || s_nationkey || '}' AS line FROM supplier",
     "report_sarif": "SELECT '{\"ruleId\":\"R1\",\"level\":\"' || CASE WHEN s_acctbal > 5000 THEN 'error' ELSE 'note' END || '\",\"message\":{\"text\":\"' || s_name || '\"},\"locations\":[{\"physicalLocation\":{\"artifactLocation\":{\"uri\":\"src/a.java\"},\"region\":{\"startLine\":' || s_nationkey || '}}}],\"partialFingerprints\":{\"primary\":\"' || s_suppkey || '\"}}' AS result FROM supplier",
     "watch_poll": f"WITH {FILES_SQL}, {_EVERY}, gone AS (SELECT path, sha256, row_number() OVER (PARTITION BY sha256 ORDER BY path) AS n FROM every WHERE kind IN ('adr', 'runbook')), come AS (SELECT 'moved/' || path AS path, sha256, row_number() OVER (PARTITION BY sha256 ORDER BY path) AS n FROM every WHERE kind = 'adr'), m AS (SELECT come.path, gone.path AS previous FROM come JOIN gone USING (sha256, n)) SELECT path, 'renamed' AS kind, previous AS previous_path FROM m UNION ALL SELECT path, 'modified', NULL FROM every WHERE kind = 'readme' UNION ALL SELECT path, 'deleted', NULL FROM gone WHERE path NOT IN (SELECT previous FROM m)",
-    "watch_debounced": "WITH e AS (SELECT ts, 'f' || user_id AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS kind FROM events), n AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, kind) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM e), g AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY ts, kind ROWS UNBOUNDED PRECEDING) AS period FROM n), f AS (SELECT path, list(kind ORDER BY ts, kind) AS kinds FROM g GROUP BY path, period), k AS (SELECT path, list_reduce(list_prepend('none', kinds), lambda h, x: CASE WHEN h = 'created' AND x = 'modified' THEN 'created' WHEN h = 'created' AND x = 'deleted' THEN 'none' ELSE x END) AS kind, len(kinds)::INT AS events FROM f) SELECT * FROM k WHERE kind <> 'none'",
+    "watch_debounced": "WITH e AS (SELECT ts, 'f' || user_id AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS kind FROM events), n AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, kind) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM e), g AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY ts, kind ROWS UNBOUNDED PRECEDING) AS period FROM n), f AS (SELECT path, list(kind ORDER BY ts, kind) AS kinds, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS \"at\" FROM g GROUP BY path, period), k AS (SELECT path, list_reduce(list_prepend('none', kinds), lambda h, x: CASE WHEN h = 'created' AND x = 'modified' THEN 'created' WHEN h = 'created' AND x = 'deleted' THEN 'none' ELSE x END) AS kind, len(kinds)::INT AS events, \"at\" FROM f) SELECT 'p' AS project, * FROM k WHERE kind <> 'none'",
     "stream_rates": "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS start, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS kind, count(*) AS events FROM events GROUP BY 1, 2",
     "batch_rates": "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS start, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS kind, count(*) AS events FROM events GROUP BY 1, 2",
     "plugin_health": "WITH o AS (SELECT 'plugin' || user_id AS plugin, event_id, ts, event_type <> 'error' AS ok FROM events), l AS (SELECT plugin, max((ts, event_id)) FILTER (NOT ok) AS bad, max((ts, event_id)) FILTER (ok) AS good, count(*) AS probes FROM o GROUP BY 1), c AS (SELECT plugin, any_value(probes) AS probes, bool_or(bad IS NULL) AS never, count(*) FILTER (NOT ok AND (good IS NULL OR (ts, event_id) > good)) AS consecutive_failures, count(*) FILTER (ok AND (bad IS NULL OR (ts, event_id) > bad)) AS consecutive_successes FROM o JOIN l USING (plugin) GROUP BY plugin) SELECT plugin, CASE WHEN consecutive_failures >= 3 THEN 'unhealthy' WHEN consecutive_failures > 0 THEN 'degraded' WHEN never OR consecutive_successes >= 2 THEN 'healthy' ELSE 'degraded' END AS status, consecutive_failures, consecutive_successes, probes FROM c",
-    "lease_states": "WITH l AS (SELECT 'job' || user_id AS job, event_id, CASE event_type WHEN 'signup' THEN 'complete' WHEN 'error' THEN 'fail' WHEN 'click' THEN 'lease' ELSE 'heartbeat' END AS kind, 'w' || (event_id % 5) AS worker FROM events), g AS (SELECT job, bool_or(kind = 'complete') AS done, count(*) FILTER (kind = 'lease') AS attempt, arg_max(kind, event_id) FILTER (kind IN ('lease', 'fail')) AS turn, arg_max(worker, event_id) FILTER (kind = 'lease') AS worker, max(event_id) FILTER (kind IN ('lease', 'heartbeat')) AS alive FROM l WHERE event_id < 800 OR kind <> 'complete' GROUP BY job) SELECT job, CASE WHEN done THEN 'succeeded' WHEN turn = 'fail' AND attempt >= 4 THEN 'failed' WHEN turn = 'fail' OR turn IS NULL THEN 'pending' WHEN alive + 500 <= 10000 THEN 'expired' ELSE 'leased' END AS state, worker, attempt FROM g",
+    "lease_states": "WITH l AS (SELECT 'job' || user_id AS job, event_id, CASE WHEN event_type = 'signup' AND event_id % 23 = 0 THEN 'complete' WHEN event_type = 'error' THEN 'fail' WHEN event_type = 'click' THEN 'lease' ELSE 'heartbeat' END AS kind, 'w' || (event_id % 5) AS worker FROM events), g AS (SELECT job, bool_or(kind = 'complete') AS done, count(*) FILTER (kind = 'lease') AS attempt, arg_max(kind, event_id) FILTER (kind IN ('lease', 'fail')) AS turn, arg_max(worker, event_id) FILTER (kind = 'lease') AS worker, max(event_id) FILTER (kind IN ('lease', 'heartbeat')) AS alive FROM l GROUP BY job) SELECT job, CASE WHEN done THEN 'succeeded' WHEN turn = 'fail' AND attempt >= 4 THEN 'failed' WHEN turn = 'fail' OR turn IS NULL THEN 'pending' WHEN alive + 500 <= 10000 THEN 'expired' ELSE 'leased' END AS state, worker, attempt FROM g",
 }

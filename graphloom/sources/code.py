@@ -17,9 +17,13 @@ from graphloom.session import ship
 
 
 def code_blocks(documents: DataFrame) -> DataFrame:
-    """``(id, block, language, code)`` of the fenced blocks of ``documents(id, text)``; the language is guessed from the code."""
+    """``(id, block, language, code)`` of the fenced blocks of ``documents(id, text)``; the language is guessed from the code.
+
+    A text without fences that begins as code of a known language does is code alone, and so one block.
+    """
     bare = F.regexp_replace("text", r"\r\n?", "\n")
-    found = F.regexp_extract_all(bare, F.lit(r"(?s)```[A-Za-z0-9]*\n(.*?)\n```"), 1)
+    fenced = F.regexp_extract_all(bare, F.lit(r"(?s)```[A-Za-z0-9]*\n(.*?)\n```"), 1)
+    found = F.when(~bare.contains("```") & (code_language(bare) != "unknown"), F.array(bare)).otherwise(fenced)
     rows = documents.select("id", F.posexplode(found).alias("block", "code"))
     return rows.select("id", "block", code_language(F.col("code")).alias("language"), "code")
 
