@@ -92,6 +92,17 @@ _P6 = ", ".join(
     )
 )
 
+#: Every value under its field's one name, with the field's commonest type and whether the value can be cast to it.
+_CASTS = ", ".join(
+    (
+        "li AS (SELECT DISTINCT o AS a, n AS b FROM rn JOIN fs USING (f) WHERE feed = 'runs'), tw AS (SELECT a, b FROM li UNION SELECT b, a FROM li), rc AS (SELECT a, b FROM tw UNION SELECT rc.a, tw.b FROM rc JOIN tw ON tw.a = rc.b), nm AS (SELECT a AS raw_name, least(a, min(b)) AS field FROM rc GROUP BY a)",
+        "na AS (SELECT 'runs' AS feed, vs.f AS export_file, coalesce(nm.field, vs.field) AS field, vs.field AS raw_name, kind AS raw_type, vs.x::JSON ->> '$' AS v FROM vs LEFT JOIN nm ON nm.raw_name = vs.field UNION ALL SELECT 'turns', f, 'snapshot_id', field, CASE WHEN regexp_full_match(x, '[0-9]{1,18}') THEN 'integer' WHEN json_valid(x) AND json_type(CASE WHEN json_valid(x) THEN x::JSON END) = 'OBJECT' THEN 'object' ELSE 'text' END, x FROM ts WHERE x IS NOT NULL)",
+        "ft AS (SELECT feed, field, raw_type AS field_type FROM na GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY feed, field ORDER BY count(*) DESC, raw_type) = 1)",
+        "dg AS (SELECT *, CASE WHEN raw_type NOT IN ('object', 'array', 'boolean') THEN regexp_replace(regexp_replace(v, '([0-9]),([0-9]{3})', '\\1\\2', 'g'), '([0-9]),([0-9]{3})', '\\1\\2', 'g') END AS d, CASE WHEN json_valid(v) THEN json_type(v::JSON) END AS shape FROM na JOIN ft USING (feed, field))",
+        "ca AS (SELECT *, CASE field_type WHEN 'integer' THEN coalesce(regexp_full_match(trim(d), '[+-]?[0-9]{1,38}') OR try_cast(d AS DECIMAL(38, 10)) = floor(try_cast(d AS DECIMAL(38, 10))), false) WHEN 'number' THEN try_cast(d AS DOUBLE) IS NOT NULL WHEN 'boolean' THEN raw_type IN ('boolean', 'string') AND lower(trim(v)) IN ('true', 'false') WHEN 'object' THEN coalesce(shape = 'OBJECT', false) WHEN 'array' THEN coalesce(shape = 'ARRAY', false) ELSE raw_type NOT IN ('object', 'array') END AS fits FROM dg)",
+    )
+)
+
 _P1 = ", ".join(
     (
         f"held AS (SELECT analysis_run_id AS run, r.project AS project, {_readable('r.x')} AS v FROM (SELECT analysis_run_id, arg_max({{'project': project, 'x': value_json}}, received_at) AS r FROM project_runs GROUP BY analysis_run_id, position))",
@@ -105,6 +116,7 @@ _P1 = ", ".join(
 )
 
 SQL = {
+    "p6_casts": f"WITH RECURSIVE {_P6}, {_CASTS} SELECT feed, export_file, field, raw_name, field_type, count(*) AS rows, count(*) FILTER (raw_type <> field_type) AS other_type, count(*) FILTER (NOT fits) AS failed FROM ca GROUP BY ALL",
     "p1_found": f"WITH {_P1} SELECT coalesce(n.run, o.run) AS run_id, coalesce(n.project, o.project) AS project, CASE WHEN o.run IS NULL THEN 'added' WHEN n.run IS NULL THEN 'removed' ELSE 'changed' END AS change_kind FROM new_ n FULL JOIN old_ o ON n.run = o.run AND n.project = o.project WHERE o.run IS NULL OR n.run IS NULL OR n.c IS DISTINCT FROM o.c",
     "p6_found": f"WITH {_P6} SELECT f AS file_name, 'renamed' AS change_kind, o AS field_name, n AS new_name FROM rn UNION ALL SELECT f, CASE WHEN k0 IS NULL THEN 'added' WHEN k1 IS NULL THEN 'removed' ELSE 'retyped' END, field, '' FROM cp WHERE (k0 IS NULL OR k1 IS NULL OR k0 <> k1) AND (f, field) NOT IN (SELECT (f, o) FROM rn UNION ALL SELECT (f, n) FROM rn)",
     "p3_found": f"WITH {_P3} " + " UNION ALL ".join(f"SELECT t AS record_table, id AS record_id, pos AS record_position, p AS item_path, parent AS parent_path FROM {x}" for x in ("m", "ty", "me", "f", "tr", "ev", "rq", "sc", "li", "su")),
