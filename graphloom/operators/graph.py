@@ -167,15 +167,29 @@ def _fixpoint_min(links: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
 
 
+#: How often nodes without a way in or out are taken away before the colouring.
+_TRIMS = 6
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """``(node, component, size, recursive)``: strongly connected components, named by their least node.
 
-    Colouring: the least label is passed forward to a fixpoint; the nodes of a colour that reach its root backward
+    Nodes without links into or out of what is left are components of their own and are taken away first, a few times over.
+    Then colouring: the least label is passed forward to a fixpoint; the nodes of a colour that reach its root backward
     within the colour are one component, and the rest goes on. ``recursive`` is a size above one or a self-loop.
     """
     every = checkpoint(edges.select("source", "target").where(F.col("source").isNotNull() & F.col("target").isNotNull()).distinct())
     left = checkpoint(every.select(F.col("source").alias("node")).unionByName(every.select(F.col("target").alias("node"))).distinct())
-    links, found = every, None
+    links, found = every.where("source <> target"), None
+    for _ in range(_TRIMS):
+        inner = left.join(links.select(F.col("source").alias("node")).distinct(), "node", "left_semi").join(links.select(F.col("target").alias("node")).distinct(), "node", "left_semi")
+        kept = checkpoint(inner)
+        single = checkpoint(left.join(kept, "node", "left_anti").select("node", F.col("node").alias("component")))
+        if single.isEmpty():
+            break
+        found = single if found is None else found.unionByName(single)
+        left = kept
+        links = checkpoint(links.join(left.select(F.col("node").alias("source")), "source", "left_semi").join(left.select(F.col("node").alias("target")), "target", "left_semi"))
     while not left.isEmpty():
         colours = _fixpoint_min(links, left.select("node", F.col("node").alias("colour")))
         inside = links.join(colours.select(F.col("node").alias("source"), F.col("colour").alias("c1")), "source").join(colours.select(F.col("node").alias("target"), F.col("colour").alias("c2")), "target").where("c1 = c2")

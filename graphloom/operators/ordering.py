@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.session import checkpoint
@@ -32,6 +32,24 @@ def globally_ranked(df: DataFrame, keys: Sequence[str], name: str = "rank") -> D
     return raw.withColumn(name, offsets[part.cast("int")] + F.col(name).bitwiseAND((1 << _ROW_BITS) - 1))
 
 
+def running_totals(df: DataFrame, keys: Sequence[str], weight: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``weight`` over all rows before, in the order of ``keys``, which tell rows apart.
+
+    Rows are range-partitioned and sorted as in ``globally_ranked``; one sum per partition reaches the driver, and each
+    partition adds up its own rows.
+    """
+    part = F.shiftright(F.monotonically_increasing_id(), _ROW_BITS).cast("int")
+    ordered = checkpoint(df.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn("_part", part)
+    sums = {row["_part"]: row["total"] for row in ordered.groupBy("_part").agg(F.sum(weight).alias("total")).collect()}
+    starts, total = [], 0
+    for part_id in range(max(sums, default=0) + 1):
+        starts.append(total)
+        total += sums.get(part_id) or 0
+    earlier = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(weight).over(earlier), F.lit(0))
+    return ordered.withColumn(name, F.lit(starts).cast("array<bigint>")[F.col("_part")] + inside).drop("_part")
+
+
 def ranked_within(df: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
     """``df`` with ``name``: 0, 1, 2 ... in the order of ``order`` within ``group``, which may be of any size."""
     ranked = globally_ranked(df, [group, *order], "_rank")

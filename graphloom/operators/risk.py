@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.ordering import globally_ranked
+from graphloom.operators.ordering import running_totals
+from graphloom.session import checkpoint
 
 #: Weights of the metrics.
 WEIGHTS = {"complexity": 0.25, "fan_in": 0.20, "fan_out": 0.15, "change_frequency": 0.15, "ownership": 0.10, "test_density": 0.10, "size": 0.05}
@@ -40,19 +41,19 @@ def normalised(metrics: DataFrame, minimum: int = COHORT_MINIMUM) -> DataFrame:
     """``metrics(subject_id, metric, cohort, value)`` with ``normalized`` and ``basis``.
 
     Within (metric, cohort): the mid-rank percentile ``(first + last) / 2 / (n - 1)`` of the value's ties if the cohort has
-    ``minimum`` subjects and some variance, else the absolute band. Null and non-positive values give no metric. Ranks
-    come from one range-partitioned sort, so a cohort of any size is spread over all tasks.
+    ``minimum`` subjects and some variance, else the absolute band. Null and non-positive values give no metric. Equal values
+    are counted first, and only the distinct ones are sorted, range by range, so a cohort of any size is spread over all tasks.
     """
     key = ["metric", "cohort"]
-    rows = metrics.where(F.col("value") > 0).select("subject_id", *key, F.col("value").cast("double").alias("value"))
-    ranked = globally_ranked(rows, [*key, "value", "subject_id"], "rank")
-    cohorts = ranked.groupBy(*key).agg(F.min("rank").alias("base"), F.count("*").alias("n"), (F.min("value") != F.max("value")).alias("varied"))
-    ties = ranked.groupBy(*key, "value").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
-    joined = ranked.drop("rank").join(ties, [*key, "value"]).join(cohorts, key)
+    rows = checkpoint(metrics.where(F.col("value") > 0).select("subject_id", *key, F.col("value").cast("double").alias("value")))
+    values = rows.groupBy(*key, "value").agg(F.count("*").alias("ties"))
+    placed = running_totals(values, [*key, "value"], "ties", "lo")
+    cohorts = placed.groupBy(*key).agg(F.min("lo").alias("base"), F.sum("ties").alias("n"), (F.count("*") > 1).alias("varied"))
     by_rank = (F.col("n") >= minimum) & F.col("varied")
-    percentile = ((F.col("lo") + F.col("hi")) / 2 - F.col("base")) / (F.col("n") - 1)
+    percentile = (F.col("lo") + (F.col("ties") - 1) / 2 - F.col("base")) / (F.col("n") - 1)
     basis = F.when(by_rank, "percentile").when(F.col("n") < minimum, "small-cohort").otherwise("no-variance")
-    return joined.select("subject_id", *key, "value", F.when(by_rank, percentile).otherwise(band_score(F.col("metric"), F.col("value"))).alias("normalized"), basis.alias("basis"))
+    scored = placed.join(cohorts, key).select(*key, "value", F.when(by_rank, percentile).otherwise(band_score(F.col("metric"), F.col("value"))).alias("normalized"), basis.alias("basis"))
+    return rows.join(scored, [*key, "value"]).select("subject_id", *key, "value", "normalized", "basis")
 
 
 def scores(normal: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:

@@ -209,7 +209,8 @@ def without_comments(code: Column) -> Column:
 
 def literal_arguments(code: Column, call: str) -> Column:
     """The texts in quotes that ``call`` is given, in order; arguments that are no plain texts are left out. Comments do not count."""
-    lists = F.regexp_extract_all(without_comments(code), F.lit(rf"(?m)^\s*{call}\b\s*\(?((?:\s*,?\s*(?:\"[^\"\n]*\"|'[^'\n]*'|[\w.]+))+)"), 1)
+    one = r"(?:\"[^\"\n]*\"|'[^'\n]*'|[\w.]+)"
+    lists = F.regexp_extract_all(without_comments(code), F.lit(rf"(?m)^[ \t]*{call}\b(?:[ \t]+|[ \t]*\(\s*)({one}(?:\s*,\s*{one})*)"), 1)
     texts = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r"\"([^\"\n]*)\"|'([^'\n]*)'"), 0)))
     return F.transform(texts, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
 
