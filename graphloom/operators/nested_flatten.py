@@ -168,17 +168,31 @@ def flatten_texts(texts: pa.Array, spec: Spec) -> tuple[np.ndarray, pa.Array, pa
     return np.concatenate(rows), pa.concat_arrays(paths), pa.concat_arrays(parents)
 
 
+#: Bytes of text whose structure is held at once; a longer text is taken alone.
+SLICE_BYTES = 8 << 20
+
+
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges (start, length) of ``texts`` of about ``size`` bytes each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, before = 0, 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield start, stop - start
+        start, before = stop, int(ends[stop - 1])
+
+
 def _batches(spec: Spec):
     names = [part.split()[0] for part in _OUT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column("text")))
-            if not batch.num_rows:
-                continue
-            row, path, parent = flatten_texts(batch.column("text"), spec)
-            keys = [batch.column(n).take(pa.array(row)) for n in names[:3]]
-            yield pa.RecordBatch.from_arrays([*keys, path, parent], names)
+            for start, length in slices(batch.column("text")):
+                part = batch.slice(start, length)
+                row, path, parent = flatten_texts(part.column("text"), spec)
+                keys = [part.column(n).take(pa.array(row)) for n in names[:3]]
+                yield pa.RecordBatch.from_arrays([*keys, path, parent], names)
 
     return run
 

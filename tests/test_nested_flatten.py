@@ -4,7 +4,7 @@ import random
 
 import pyarrow as pa
 
-from graphloom.operators.nested_flatten import PROJECT_RUNS, flatten_texts, nested_items
+from graphloom.operators.nested_flatten import PROJECT_RUNS, flatten_texts, nested_items, slices
 
 T0 = dt.datetime(2025, 1, 1)
 
@@ -81,3 +81,16 @@ def test_tables(spark, rows):
         key=repr,
     )
     assert rows(nested_items(runs.limit(0), analyses.limit(0), turns.limit(0))) == []
+
+
+def test_slices_hold_all_rows_in_order():
+    texts = pa.array(["x" * n for n in (5, 0, 3, 20, 1, 1, 1)])
+    for size in (1, 4, 8, 100):
+        found = list(slices(texts, size))
+        assert [k for start, length in found for k in range(start, start + length)] == list(range(7))
+        assert all(length == 1 or sum(len(texts[k].as_py()) for k in range(start, start + length)) <= size for start, length in found)
+    whole = pa.array(['{"modules":[{"a":1},{"types":[{}]}]}', "{}", '{"modules":{"a":2}}'])
+    rows = lambda t, base: [(int(r) + base, p) for r, p in zip(*(x.tolist() if hasattr(x, "tolist") else x.to_pylist() for x in flatten_texts(t, PROJECT_RUNS)[:2]))]
+    parts = [x for start, length in slices(whole, 10) for x in rows(whole.slice(start, length), start)]
+    assert sorted(parts) == sorted(rows(whole, 0))
+    assert list(slices(whole.slice(0, 0))) == []
