@@ -9,6 +9,7 @@ from graphloom.operators import knowledge as K
 from graphloom.operators import rules as R
 from graphloom.operators import security as X
 from graphloom.operators import traversal as V
+from graphloom.operators.flow import Method
 from graphloom.operators.graph import nearest
 from graphloom.operators.ordering import ranked_within
 from graphloom.sources import code as C
@@ -158,3 +159,25 @@ def test_code_and_settings(spark, rows):
     assert rows(C.source_roots(paths)) == [("m/src/main/java", 2), ("src", 1)]
     blocks = C.code_blocks(spark.createDataFrame([(1, "def f(x):\n    return x"), (2, "Words.\n```\nSELECT 1\n```\n"), (3, "Only words."), (4, None)], "id bigint, text string"))
     assert [(r["id"], r["block"], r["language"]) for r in blocks.orderBy("id").collect()] == [(1, 0, "python"), (2, 0, "sql")]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_reverse_postorder_of_branching_methods(seed):
+    rnd = random.Random(seed)
+    n = rnd.randrange(1, 9)
+    after = {a: sorted({rnd.randrange(n) for _ in range(rnd.randrange(3))}) for a in range(n)}
+    method = Method([(a, None, None, after[a]) for a in range(n)])
+
+    def reach(start):
+        seen, stack = {start}, [start]
+        while stack:
+            for b in after[stack.pop()]:
+                if b not in seen:
+                    seen.add(b)
+                    stack.append(b)
+        return seen
+
+    order = method.postorder()
+    place = {b: k for k, b in enumerate(order)}
+    assert order[0] == 0 and sorted(order) == sorted(reach(0)) and len(place) == len(order)
+    assert all(place[a] < place[b] or a in reach(b) for a in order for b in after[a])
