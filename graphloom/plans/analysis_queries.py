@@ -9,7 +9,8 @@ from graphloom.operators import impact as I
 from graphloom.operators import motifs as M
 from graphloom.operators import search as S
 from graphloom.operators import security as X
-from graphloom.operators.graph import paths_from, prefixes, reachable, strong_components
+from graphloom.operators.graph import paths_from, prefixes
+from graphloom.operators.hubs import Related
 from graphloom.plans.adapters import TRADE_SQL, projects, trade
 from graphloom.session import checkpoint
 from graphloom.sources.tables import table
@@ -142,9 +143,10 @@ def change_review(spark: SparkSession, folder: str) -> DataFrame:
     subjects = every.select("id", F.concat(F.lit("src/"), "name").alias("path"), F.col("area").cast("string").alias("project"))
     changes = subjects.where("id % 2 = 0").select("path", "project").unionByName(table(spark, folder, "region").select(F.concat(F.lit("docs/"), "r_name").alias("path"), F.col("r_regionkey").cast("string").alias("project")))
     back = links.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    dependents = reachable(back, every.select(F.col("id").alias("root")), "never").groupBy(F.col("root").alias("id")).agg(F.count("*").alias("dependents"))
+    related = Related(back, every.select(F.col("id").alias("root")), "by_cycle")
+    cyclic = checkpoint(related.recursive().withColumnRenamed("root", "id"))
+    dependents = related.counts().select(F.col("root").alias("id"), "pairs").join(cyclic.withColumn("self", F.lit(1)), "id", "left").select("id", (F.col("pairs") - F.coalesce("self", F.lit(0))).alias("dependents"))
     risk = table(spark, folder, "project_runs").groupBy("project").agg(F.count("*").alias("risk")).where("risk > 4").join(every.select(F.col("name").alias("project"), "id"), "project").select("id", "risk")
-    cyclic = strong_components(links).where("recursive").select(F.col("node").alias("id"))
     return X.change_review(changes, subjects, dependents, risk, cyclic)
 
 
