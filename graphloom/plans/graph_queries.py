@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
+from graphloom.operators import hubs as H
 from graphloom.plans.adapters import EDGES_SQL, NODES_SQL, TRADE_SQL, edges, nodes, trade
 from graphloom.session import checkpoint
 from graphloom.sources.tables import table
@@ -49,7 +50,7 @@ def graph_dependents(spark: SparkSession, folder: str) -> DataFrame:
 
 def graph_related(spark: SparkSession, folder: str) -> DataFrame:
     links = checkpoint(trade(spark, folder))
-    return G.reachable(links, _roots(links), "by_cycle").select("root", "node")
+    return H.Related(links, _roots(links), "by_cycle").pairs()
 
 
 def graph_shortest_paths(spark: SparkSession, folder: str) -> DataFrame:
