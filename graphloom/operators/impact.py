@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.evidence import tier
+from graphloom.operators.graph import reversed_edges
+from graphloom.operators.hubs import reach
 from graphloom.session import checkpoint
 
 #: Strength of each relation; reliability, specificity and coverage of its evidence.
@@ -104,6 +106,31 @@ def propagate(legal: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:
     return seen.where("hops > 0")
 
 
+def _one_relation(legal: DataFrame) -> str | None:
+    """The relation that all links have, if they have but one."""
+    found = legal.select("relation").distinct().limit(2).collect()
+    return found[0]["relation"] if len(found) == 1 else None
+
+
+def spread(legal: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:
+    """``(root, node, hops, weakest)`` of ``propagate``. Links of one relation are all as strong, so the distance tells the rest."""
+    relation = _one_relation(legal)
+    if relation is None:
+        return propagate(legal, roots, depth).select("root", "node", "hops", "weakest")
+    found = reach(reversed_edges(legal), roots, "never", depth)
+    return found.where("depth > 0").select("root", "node", F.col("depth").alias("hops"), _valued(F.lit(relation), STRENGTH).alias("weakest"))
+
+
+def spread_confidence(legal: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:
+    """``(root, node, hops, weakest, confidence, tier)``: ``path_confidence`` of ``propagate``; with one relation it is one of ``depth`` values."""
+    relation = _one_relation(legal)
+    if relation is None:
+        return path_confidence(propagate(legal, roots, depth)).drop("path")
+    steps = F.array_repeat(F.struct(F.lit(relation).alias("relation")), F.col("hops"))
+    values = path_confidence(legal.sparkSession.range(1, depth + 1, 1, 1).select(F.col("id").cast("int").alias("hops")).withColumn("path", steps)).drop("path")
+    return spread(legal, roots, depth).join(F.broadcast(values), "hops")  # a row for each distance
+
+
 def impact_score(weakest: Column, hops: Column, exposure: Column) -> Column:
     """.60 relation strength, .25 proximity and .15 exposure; an unknown exposure is left out and the rest renormalised."""
     base = weakest * 0.60 + 0.25 / (1 + 0.2 * (hops - 1))

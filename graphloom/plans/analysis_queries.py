@@ -20,20 +20,20 @@ def _projects(spark: SparkSession, folder: str) -> DataFrame:
     return projects(spark, folder).withColumn("kind", F.lit("project"))
 
 
-def _impact(spark: SparkSession, folder: str) -> DataFrame:
+def _legal(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     every, links = _projects(spark, folder), checkpoint(trade(spark, folder))
     legal = I.legal_edges(every, links, "signature")
     return I.propagate(legal, every.select(F.col("id").alias("root")), 4)
 
 
 def impact_findings(spark: SparkSession, folder: str) -> DataFrame:
-    found = _impact(spark, folder).where("root <> node")
+    found = I.spread(*_legal(spark, folder), 4).where("root <> node")
     seen = F.when(F.col("node") % 3 == 0, "public").when(F.col("node") % 3 == 1, "private")
     return found.select("root", "node", "hops", I.impact_score(F.col("weakest"), F.col("hops"), I.exposure(seen)).alias("score"), F.when(F.col("hops") == 1, "direct").otherwise("transitive").alias("reach"))
 
 
 def impact_confidence(spark: SparkSession, folder: str) -> DataFrame:
-    return I.path_confidence(_impact(spark, folder).where("root <> node")).select("root", "node", "confidence", "tier")
+    return I.spread_confidence(*_legal(spark, folder), 4).where("root <> node").select("root", "node", "confidence", "tier")
 
 
 def impact_breaking(spark: SparkSession, folder: str) -> DataFrame:
