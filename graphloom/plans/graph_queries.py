@@ -39,7 +39,7 @@ def graph_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
 
 def graph_dependencies(spark: SparkSession, folder: str) -> DataFrame:
     links = checkpoint(trade(spark, folder))
-    return G.reachable(links, _roots(links), "never").select("root", "node")
+    return H.Related(links, _roots(links), "never").pairs()
 
 
 def graph_dependents(spark: SparkSession, folder: str) -> DataFrame:
