@@ -45,7 +45,7 @@ def graph_dependencies(spark: SparkSession, folder: str) -> DataFrame:
 def graph_dependents(spark: SparkSession, folder: str) -> DataFrame:
     links = checkpoint(trade(spark, folder))
     back = links.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return G.reachable(back, _roots(links), "never").select("root", "node")
+    return H.Related(back, _roots(links), "never").pairs()
 
 
 def graph_related(spark: SparkSession, folder: str) -> DataFrame:
