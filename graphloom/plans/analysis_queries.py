@@ -22,8 +22,7 @@ def _projects(spark: SparkSession, folder: str) -> DataFrame:
 
 def _legal(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     every, links = _projects(spark, folder), checkpoint(trade(spark, folder))
-    legal = I.legal_edges(every, links, "signature")
-    return I.propagate(legal, every.select(F.col("id").alias("root")), 4)
+    return I.legal_edges(every, links, "signature"), every.select(F.col("id").alias("root"))
 
 
 def impact_findings(spark: SparkSession, folder: str) -> DataFrame:
