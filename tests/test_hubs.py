@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import graph as G
 from graphloom.operators import hubs as H
 from graphloom.operators import semantics as P
+from graphloom.plans import graph_queries
 
 
 def _links(seed):
@@ -75,3 +76,26 @@ def test_overloads_of_one_name_do_not_meet_one_by_one(spark):
     methods = spark.range(20_000).select(F.col("id").alias("method_id"), F.lit("f").alias("name"), F.array(F.when(F.col("id") % 2 == 0, "int").otherwise("long")).alias("parameters"))
     got = P.overloads(calls, methods, spark.createDataFrame([("int", "long")], "narrow string, wide string"))
     assert [tuple(r) for r in got.groupBy("status", "stage", "target", "options").count().collect()] == [("ambiguous", 0, 0, 10_000, 20_000)]
+
+
+def _mutual():
+    """A graph whose hub has a loop and ways back to nodes before it."""
+    return _links(2) + [(99, 99), (99, 20), (99, 21), (30, 31), (31, 21), (22, 20), (20, 21)]
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4])
+@pytest.mark.parametrize("links", [_links(1), _mutual(), [(1, 2), (3, 4)]], ids=["hub", "mutual", "none"])
+def test_all_paths(spark, rows, links, depth):
+    edges = spark.createDataFrame(links, "source long, target long")
+    roots = spark.createDataFrame([(x,) for x in sorted({x for link in links for x in link} | {500}) if x != 22], "root long")
+    want = sorted((">".join(map(str, r["path"])), r["cyclic"]) for r in G.paths_from(edges, roots, depth).collect())
+    assert sorted(rows(H.paths_from(edges, roots, depth))) == want
+
+
+def test_paths_of_all_roots_are_not_walked(spark, monkeypatch, tmp_path):
+    def no(*_):
+        raise AssertionError("each path walked on its own")
+
+    monkeypatch.setattr(G, "paths_from", no)
+    monkeypatch.setattr(graph_queries, "trade", lambda *_: spark.createDataFrame([(1, 9), (2, 9), (9, 7)], "source long, target long"))
+    assert sorted(r["path"] for r in graph_queries.graph_paths(spark, str(tmp_path)).collect()) == ["1>9>7", "2>9>7", "9>7"]
