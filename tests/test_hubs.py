@@ -1,14 +1,16 @@
 """Searches by way of a hub give what the searches pair by pair give."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 from graphloom.operators import hubs as H
+from graphloom.operators import security as X
 from graphloom.operators import semantics as P
-from graphloom.plans import graph_queries
+from graphloom.plans import analysis_queries, graph_queries
 
 
 def _links(seed):
@@ -99,3 +101,26 @@ def test_paths_of_all_roots_are_not_walked(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(G, "paths_from", no)
     monkeypatch.setattr(graph_queries, "trade", lambda *_: spark.createDataFrame([(1, 9), (2, 9), (9, 7)], "source long, target long"))
     assert sorted(r["path"] for r in graph_queries.graph_paths(spark, str(tmp_path)).collect()) == ["1>9>7", "2>9>7", "9>7"]
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4])
+@pytest.mark.parametrize("links", [_links(1), _mutual(), [(1, 2), (3, 4)]], ids=["hub", "mutual", "none"])
+@pytest.mark.parametrize("hub_in", ["", "99"])
+def test_simple_between(spark, rows, links, depth, hub_in):
+    edges = spark.createDataFrame(links, "source long, target long")
+    every = spark.createDataFrame([(x,) for x in sorted({x for link in links for x in link})], "id long")
+    sources, sinks, marks = (every.where(f"id % 5 in {kept} or (id = 99 and '{hub_in}' = '99')") for kept in ("(0, 3)", "(1, 2)", "(4)"))
+    paths = G.prefixes(G.paths_from(edges, every.withColumnRenamed("id", "root"), depth))
+    want = sorted((">".join(map(str, r["path"])), r["verdict"] == "sanitized") for r in X.taint_between(paths, sources, sinks, marks).collect())
+    assert sorted(rows(H.simple_between(edges, sources, sinks, marks, depth))) == want
+
+
+def test_taint_is_not_walked_from_every_project(spark, monkeypatch):
+    folder = str(Path(__file__).parents[2] / "testdata/sf0.001")
+
+    def no(*_):
+        raise AssertionError("all paths, before any end is looked at")
+
+    monkeypatch.setattr(G, "paths_from", no)
+    monkeypatch.setattr(analysis_queries, "paths_from", no, raising=False)
+    assert analysis_queries.taint_paths(spark, folder).count() > 0
