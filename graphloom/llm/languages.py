@@ -39,9 +39,14 @@ def label_language(label: Column) -> Column:
     return F.when(bare.rlike(r"^[\p{L}]+([-_][\p{L}\d]+)*$"), known)
 
 
+def labelled(documents: DataFrame) -> DataFrame:
+    """``(language, text, doc_id)`` of all documents with a text and a label that names one of our languages."""
+    return documents.select(label_language(F.col("lang")).alias("language"), "text", "doc_id").where(F.col("language").isNotNull() & F.col("text").isNotNull())
+
+
 def labelled_sample(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
     """``(language, text)``: of each label about ``per_label`` documents, chosen by a hash of ``doc_id``."""
-    known = documents.select(label_language(F.col("lang")).alias("language"), "text", "doc_id").where(F.col("language").isNotNull() & F.col("text").isNotNull())
+    known = labelled(documents)
     sizes = {row["language"]: row["count"] for row in known.groupBy("language").count().collect()}
     share = F.lit(0)
     for language, size in sizes.items():

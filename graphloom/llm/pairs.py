@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text_json import instant
-from graphloom.llm.languages import LANGUAGES, NAMES, SAMPLE_PER_LABEL, gram_counts, labelled_sample
-from graphloom.llm.text import chunks, ngrams, prose, sentences, visible, without_code
+from graphloom.llm.languages import LANGUAGES, NAMES, labelled
+from graphloom.llm.text import chunks, letters, ngrams, prose, sentences, visible, without_code, without_names
 
 #: Character n-grams of the naive Bayes model, and the hash buckets that they share.
 SIZES = (1, 2, 3, 4)
@@ -22,8 +22,6 @@ BUCKETS = 1 << 16
 #: Both languages must be as likely as this, from texts with so many letters.
 SURE = 0.9
 LEAST_LETTERS = 11
-#: Asks whose questions, labelled by their answers' language, are added to the model of questions.
-ASK_SAMPLE = 20_000
 #: The end-of-text model: characters and character classes of a context, hash buckets of each, and how many times over a
 #: longer context must be seen to count as much as the shorter one. A text whose end is less likely than this breaks off.
 END_CHARS, END_BUCKETS = 6, 1 << 22
@@ -193,14 +191,14 @@ def _end_contexts(texts: list[str], last_only: bool) -> tuple[list[np.ndarray],
     at = np.flatnonzero(ahead(stop, 1) & ~stop) if last_only else np.flatnonzero(~stop)
     begin, value = start[at], state[at].astype(np.uint64) + np.uint64(1)
     found = []
+    inside_text = [at - k >= begin for k in range(max(*END_CLASSES, END_CHARS))]
     for symbols, sizes, buckets in ((kind, END_CLASSES, CLASS_BUCKETS), (lower, (END_CHARS,), END_BUCKETS)):
         mixed = value
         for k in range(max(sizes)):
-            earlier = at - k
-            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + np.where(earlier >= begin, symbols[np.maximum(earlier, 0)], 0)
+            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + back(symbols, k)[at] * inside_text[k]
             if k + 1 in sizes:
                 hashed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                found.append((hashed >> np.uint64(32)).astype(np.int64) % buckets)
+                found.append(((hashed >> np.uint64(32)) & np.uint64(buckets - 1)).astype(np.int64))
     return found, stop[at + 1], (bits[1] | bits[2] | bits[5])[at] != 0
 
 
@@ -234,9 +232,9 @@ class Ends:
         return likely
 
 
-def fit_ends(asks: DataFrame, documents: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Ends:
-    """End-of-text counts of all answers, and of the paragraphs of about ``per_label`` documents of each label: these are
-    complete, so they tell how texts go on. Of each level as many rows as it has buckets, at most, reach the driver."""
+def fit_ends(asks: DataFrame, documents: DataFrame) -> Ends:
+    """End-of-text counts of all answers, and of the paragraphs of all documents: these are complete, so they tell how texts
+    go on. Of each level as many rows as it has buckets, at most, reach the driver."""
     sizes = (*(CLASS_BUCKETS for _ in END_CLASSES), END_BUCKETS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,7 +250,7 @@ def fit_ends(asks: DataFrame, documents: DataFrame, per_label: int = SAMPLE_PER_
             bucket = np.flatnonzero(seen)
             yield pd.DataFrame({"level": level, "bucket": bucket, "ends": ends[bucket], "seen": seen[bucket]})
 
-    texts = asks.select(F.col("answer").alias("text"), F.lit(True).alias("whole")).where("text <> ''").unionByName(labelled_sample(documents, per_label).select("text", F.lit(False).alias("whole")))
+    texts = asks.select(F.col("answer").alias("text"), F.lit(True).alias("whole")).where("text <> ''").unionByName(documents.select("text", F.lit(False).alias("whole")).where("text <> ''"))
     rows = texts.mapInPandas(count, "level int, bucket bigint, ends bigint, seen bigint").groupBy("level", "bucket").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen"))
     known = rows.where((F.col("seen") >= LEAST_SEEN) | (F.col("level") < len(END_CLASSES))).toPandas()
     return Ends(*(known[n].to_numpy() for n in ("level", "bucket", "ends", "seen")))
@@ -307,27 +305,44 @@ class NaiveBayes:
         return found
 
 
-def _collected(counts: DataFrame) -> np.ndarray:
+def _task_counts(found: Iterator[tuple[str, list[str]]]) -> Iterator[pd.DataFrame]:
+    """Counts by bucket of the n-grams of texts of a language, over a whole task: at most BUCKETS rows a language."""
+    held: dict[str, np.ndarray] = {}
+    for language, texts in found:
+        gram, _ = ngrams(texts, SIZES)
+        counts = held.setdefault(language, np.zeros(BUCKETS, np.int64))
+        counts += np.bincount((gram % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    for language, counts in held.items():
+        gram = np.flatnonzero(counts)
+        yield pd.DataFrame({"language": language, "gram": gram, "n": counts[gram]})
+
+
+def _collected(texts: DataFrame, count: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> np.ndarray:
     """Counts by bucket and language; at most BUCKETS rows a language."""
-    rows = counts.toPandas()
+    rows = texts.mapInPandas(count, "language string, gram bigint, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n")).toPandas()
     found = np.zeros((BUCKETS, len(LANGUAGES)))
     found[rows["gram"].to_numpy(), [LANGUAGES.index(x) for x in rows["language"]]] = rows["n"]
     return found
 
 
-def fit_answers(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> NaiveBayes:
-    """The model of answers, from about ``per_label`` documents of each label."""
-    return NaiveBayes(_collected(gram_counts(labelled_sample(documents, per_label), SIZES, BUCKETS)))
+def fit_answers(documents: DataFrame) -> NaiveBayes:
+    """The model of answers, from all documents with a label."""
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[str]]]:
+        for batch in batches:
+            for language, group in batch.groupby("language"):
+                for start, stop in chunks(whole := list(group["text"])):
+                    yield language, [letters(s) for t in whole[start:stop] for s in sentences(without_names(without_code(t)))]
+
+    return NaiveBayes(_collected(labelled(documents).select("language", "text"), lambda batches: _task_counts(texts(batches))))
 
 
-def fit_questions(asks: DataFrame, answers: NaiveBayes, sample: int = ASK_SAMPLE) -> NaiveBayes:
-    """The model of questions: that of answers, and the questions of about ``sample`` asks, each counted for the language
-    of its own answer where that is clear. Questions use words that documents lack, and few are answered in another language."""
+def fit_questions(asks: DataFrame, answers: NaiveBayes) -> NaiveBayes:
+    """The model of questions: that of answers, and the questions of all asks, each counted for the language of its own
+    answer where that is clear. Questions use words that documents lack, and few are answered in another language."""
     shared = asks.sparkSession.sparkContext.broadcast(answers)
-    share = min(1.0, sample / max(1, asks.count()))
-    chosen = asks.where(F.col("answer").isNotNull() & F.col("question").isNotNull()).where(F.pmod(F.xxhash64("ask_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[str]]]:
         for batch in batches:
             for start, stop in chunks(list(batch["answer"])):
                 part = batch.iloc[start:stop]
@@ -335,14 +350,11 @@ def fit_questions(asks: DataFrame, answers: NaiveBayes, sample: int = ASK_SAMPLE
                 likely = shared.value.posteriors(said)
                 best = likely.argmax(axis=1)
                 clear = (likely.max(axis=1) > 0.999) & np.array([_letters(x) >= 40 for x in said], bool)
-                asked = [_asked(q)[0] for q in part["question"]]
                 for k in np.unique(best[clear]):
-                    gram, _ = ngrams([asked[j] for j in np.flatnonzero(clear & (best == k))], SIZES)
-                    gram, n = np.unique(gram % np.uint64(BUCKETS), return_counts=True)
-                    yield pd.DataFrame({"language": LANGUAGES[k], "gram": gram.astype(np.int64), "n": n})
+                    yield LANGUAGES[k], [_asked(part["question"].iloc[j])[0] for j in np.flatnonzero(clear & (best == k))]
 
-    counts = chosen.select("question", "answer").mapInPandas(count, "language string, gram bigint, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n"))
-    return NaiveBayes(answers.counts + _collected(counts))
+    known = asks.where(F.col("answer").isNotNull() & F.col("question").isNotNull()).select("question", "answer")
+    return NaiveBayes(answers.counts + _collected(known, lambda batches: _task_counts(texts(batches))))
 
 
 def _asked(question: str) -> tuple[str, set[str]]:
@@ -405,7 +417,7 @@ def answered(asks: DataFrame, turns: DataFrame) -> DataFrame:
     return free.unionByName(bound.join(unfinished, "turn_id", "left_anti").select(*rows.columns)).drop("turn_id")
 
 
-def defective_pairs(asks: DataFrame, turns: DataFrame, documents: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
+def defective_pairs(asks: DataFrame, turns: DataFrame, documents: DataFrame) -> DataFrame:
     """``(ask_id, defect)``: empty, copy, refusal, truncated or language, the first that holds, for each defective pair.
 
     Truncation is judged by the likelihood that a text ends after its last characters, the language by the posteriors of
@@ -413,8 +425,8 @@ def defective_pairs(asks: DataFrame, turns: DataFrame, documents: DataFrame, per
     are left out.
     """
     context = asks.sparkSession.sparkContext
-    answering = fit_answers(documents, per_label)
-    shared = context.broadcast((fit_ends(asks, documents, per_label), fit_questions(asks, answering), answering))
+    answering = fit_answers(documents)
+    shared = context.broadcast((fit_ends(asks, documents), fit_questions(asks, answering), answering))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -259,3 +259,13 @@ def test_naive_bayes_accuracy(models):
     likely = models[2].posteriors([prose(t) for t in held.values()])
     assert [LANGUAGES[k] for k in likely.argmax(axis=1)] == list(held)
     assert not re.search("nan", str(likely))
+
+
+def test_pair_models_count_every_row(spark):
+    documents = spark.range(1500).selectExpr("id AS doc_id", f"'{EN}' AS text", "if(id < 1400, 'en', null) AS lang")
+    ends = pairs.fit_ends(spark.createDataFrame([], "answer string"), documents)
+    assert ends.levels[0][1].sum() == 1500
+    answering = pairs.fit_answers(documents)
+    assert answering.counts.max() % 1400 == 0
+    asks = spark.range(21000).selectExpr("id AS ask_id", "'Why zzzz?' AS question", f"'{EN}' AS answer")
+    assert (pairs.fit_questions(asks, answering).counts - answering.counts).max() % 21000 == 0
