@@ -9,7 +9,7 @@ import pytest
 pytest.importorskip("graphloom.llm")
 
 from graphloom.llm import pairs  # noqa: E402
-from graphloom.llm.conversations import rebuilt, sender_clocks, turns  # noqa: E402
+from graphloom.llm.conversations import corrected_turns, rebuilt, sender_clocks, turns  # noqa: E402
 from graphloom.llm.encode import PATTERN, TOKENIZERS, VOCABULARY, Encoder, Vocabulary, token_ids  # noqa: E402
 from graphloom.llm.languages import label_language  # noqa: E402
 from graphloom.llm.leakage import WORDS, Patterns, leaks, words  # noqa: E402
@@ -105,6 +105,20 @@ def test_clock_offsets(spark):
     assert not got[2]["feasible"]
 
 
+def test_merged_times_alone_give_the_order(spark):
+    same = "2025-01-01T00:00:09Z"
+    times = {1: [same] * 4, 2: [None, None, same, None], 3: [None] * 4, 4: [same, "2025-01-01T00:00:01Z", None, "2025-01-01T00:00:02Z"]}
+    data = [(c * 10 + k, c, k, ("user", "assistant")[k % 2], f"m{k}", at) for c, all_ in times.items() for k, at in enumerate(all_)]
+    got = corrected_turns(conversation(spark, data)).collect()
+    for c in times:
+        by_time = sorted((r["merged_us"], r["position"], r["place"]) for r in got if r["conversation_id"] == c)
+        assert len({t for t, *_ in by_time}) == 4 and [r[1:] for r in by_time] == [(k, k) for k in range(4)]
+    assert all(r["merged_us"] >= r["at_us"] for r in got if r["at_us"] is not None)
+    long = [(k, 1, k, ("user", "assistant")[k % 2], f"m{k}", same if k % 700 else None) for k in range(3000)]
+    merged = {r["position"]: (r["merged_us"], r["place"]) for r in corrected_turns(conversation(spark, long)).collect()}
+    assert all(merged[k][0] < merged[k + 1][0] and merged[k][1] == k for k in range(2999))
+
+
 # Leaks
 
 
