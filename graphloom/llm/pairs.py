@@ -189,16 +189,16 @@ def _end_contexts(texts: list[str], last_only: bool) -> tuple[list[np.ndarray],
     kind[(codes >= 0x3040) & (codes < 0xA000)] = 0x3040
     lower = np.where((codes >= 65) & (codes <= 90), codes + np.uint32(32), codes)
     at = np.flatnonzero(ahead(stop, 1) & ~stop) if last_only else np.flatnonzero(~stop)
-    begin, value = start[at], state[at].astype(np.uint64) + np.uint64(1)
+    kept, own = (at, slice(None)) if last_only else (slice(None), at)
+    since, value = (place - start)[kept], state[kept].astype(np.uint64) + np.uint64(1)
     found = []
-    inside_text = [at - k >= begin for k in range(max(*END_CLASSES, END_CHARS))]
     for symbols, sizes, buckets in ((kind, END_CLASSES, CLASS_BUCKETS), (lower, (END_CHARS,), END_BUCKETS)):
         mixed = value
         for k in range(max(sizes)):
-            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + back(symbols, k)[at] * inside_text[k]
+            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + back(symbols, k)[kept] * (since >= k)
             if k + 1 in sizes:
                 hashed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                found.append(((hashed >> np.uint64(32)) & np.uint64(buckets - 1)).astype(np.int64))
+                found.append(((hashed[own] >> np.uint64(32)) & np.uint64(buckets - 1)).astype(np.int64))
     return found, stop[at + 1], (bits[1] | bits[2] | bits[5])[at] != 0
 
 
@@ -258,12 +258,14 @@ def fit_ends(asks: DataFrame, documents: DataFrame) -> Ends:
 
 _MORE = re.compile(r"""(?:\s*(?:…|\.{3,})|\s+[("'«“\[]+|\s+)*$""")
 _NUMBER = re.compile(r"(?m)^\d+[.)](?=\s|$)")
+#: All characters that ``_MORE`` may match: it is searched for only where nothing else follows.
+_MORE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "….(\"'«“["
 
 
 def _ending(answer: str) -> str:
     """The text up to its end, which is before dots that stand for more and marks that open something; numbered items as dashes."""
     text = _NUMBER.sub("-", visible(answer).replace("\0", " ").replace("\r\n", "\n"))
-    return text[: _MORE.search(text).start()] or "."
+    return text[: _MORE.search(text, len(text.rstrip(_MORE_CHARS))).start()] or "."
 
 
 def _blocks(text: str) -> list[str]:
