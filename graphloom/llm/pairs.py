@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text_json import instant
 from graphloom.llm.languages import LANGUAGES, NAMES, labelled
-from graphloom.llm.text import chunks, letters, ngrams, prose, sentences, visible, without_code, without_names
+from graphloom.llm.text import chunks, each_sentence, ngrams, prose, prose_words, sentences, visible, without_code
 
 #: Character n-grams of the naive Bayes model, and the hash buckets that they share.
 SIZES = (1, 2, 3, 4)
@@ -77,16 +78,19 @@ _TURNING = re.compile(r"(?:^|[,;:–—-]\s*|\s)(?:but|however|still|instead i|y
 _COURTESY = re.compile(r"\b(?:sorry|apolog\w+|unfortunately|please|thank\w*|ask a maintainer|leid|leider|bitte|desolé|désolé\w*|malheureusement|siento|lamentablemente|disculp\w+|perd[oó]n\w*|mi dispiace|purtroppo|spiacente|desculp\w+|lamento|infelizmente|helaas|excuses|przepraszam|niestety|извините|к сожалению|申し訳)\b")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
 _LIST = re.compile(r"^\s*(?:[-*+•–]|\d+[.)])(?:\s+|$)")
-_PUNCTUATION = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]+")
+_BLANKED = {code: " " for code in range(128) if not chr(code).isalnum()}
 
 
 def _words(text: str) -> list[str]:
-    return [w for w in _PUNCTUATION.split(unicodedata.normalize("NFKC", visible(text)).casefold()) if w]
+    if text.isascii():
+        return text.lower().translate(_BLANKED).split()
+    return _WORD.findall(unicodedata.normalize("NFKC", visible(text)).casefold())
 
 
 def is_empty(answer: str | None) -> bool:
     """Null, blank, only marks, tags or fences, or only a phrase that stands for no answer."""
-    return answer is None or not (words := _words(_TAG.sub(" ", answer))) or " ".join(words) in PLACEHOLDERS
+    return answer is None or not (words := _words(_TAG.sub(" ", answer) if "<" in answer else answer)) or " ".join(words) in PLACEHOLDERS
 
 
 def is_copy(question: str, answer: str) -> bool:
@@ -123,8 +127,7 @@ def _without(text: str, part: str) -> str:
 def _declines(piece: str) -> bool:
     """Whether a sentence declines the request and says nothing else: no reason, no number or name, hardly a word of content."""
     lower = piece.lower()
-    match = _DECLINE.search(lower)
-    if not match or _SPECIFIC.search(piece if not piece.isupper() else lower) or _REASON.search(lower) or not _SERVICE.search(lower):
+    if _SPECIFIC.search(piece if not piece.isupper() else lower) or not _SERVICE.search(lower) or not _DECLINE.search(lower) or _REASON.search(lower):
         return False
     if _TURNING.search(lower) and not _COURTESY.search(lower):
         return False
@@ -141,7 +144,7 @@ def is_refusal(question: str, answer: str) -> bool:
     for line in _without(visible(answer), visible(question).strip()).replace("’", "'").splitlines():
         if _LIST.match(line):
             return False
-        for piece in sentences(line):
+        for piece in each_sentence(line):
             if not _words(piece):
                 continue
             if _declines(piece):
@@ -151,6 +154,14 @@ def is_refusal(question: str, answer: str) -> bool:
     return declined
 
 
+#: Classes of the characters: the characters themselves, but one of each kind of letters and of digits.
+_KIND = np.arange(1 << 16, dtype=np.uint32)
+_KIND[97:123] = _KIND[0xC0:0x2000] = 97
+_KIND[65:91] = 65
+_KIND[48:58] = 48
+_KIND[0x3040:0xA000] = 0x3040
+
+
 def _end_contexts(texts: list[str], last_only: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Buckets of the contexts at each character (or only the last) of ``texts``, from short to long; whether the text ends
     there; and whether names may stand there: in list items, code spans and texts without a blank.
@@ -160,46 +171,56 @@ def _end_contexts(texts: list[str], last_only: bool) -> tuple[list[np.ndarray],
     """
     joined = "\0".join(texts) + "\0"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    back = lambda x, k: np.pad(x, (k, 0))[: len(x)]
-    ahead = lambda x, k: np.pad(x, (0, k))[k:]
-    stop = codes == 0
-    place = np.arange(len(codes), dtype=np.int32)
-    first = back(stop, 1)
-    first[0] = True
-    start = np.maximum.accumulate(np.where(first, place, 0))
-    head = first | back(codes == 10, 1)
-    line = np.maximum.accumulate(np.where(head, place, 0))
-    tick, digit = codes == 96, (codes >= 48) & (codes <= 57)
-    fence = tick & back(tick, 1) & back(tick, 2) & ~back(tick, 3)
-    marked = head & np.isin(codes, (45, 42, 43, 0x2022)) & (ahead(codes, 1) == 32)
-
-    def so_far(flag: np.ndarray, since: np.ndarray) -> np.ndarray:
-        total = np.cumsum(flag, dtype=np.int32)
-        return total - (total - flag)[since]
-
-    bare = so_far((codes == 32) | (codes == 10), start) == 0
-    inside = so_far(codes == 40, line) > so_far(codes == 41, line)
-    bits = (so_far(fence, start) & 1, marked[line] & (place > line + 1), so_far(tick, line) & 1, so_far(codes == 34, line) & 1, inside, bare)
-    state = sum(bit.astype(np.int32) << k for k, bit in enumerate(bits))
-    kind = codes.copy()
-    kind[(codes >= 97) & (codes <= 122) | (codes >= 0xC0) & (codes < 0x2000)] = 97
-    kind[(codes >= 65) & (codes <= 90)] = 65
-    kind[digit] = 48
-    kind[digit & back(digit, 1) & back(digit, 2)] = 49  # longer numbers are no parts of versions
-    kind[(codes >= 0x3040) & (codes < 0xA000)] = 0x3040
-    lower = np.where((codes >= 65) & (codes <= 90), codes + np.uint32(32), codes)
-    at = np.flatnonzero(ahead(stop, 1) & ~stop) if last_only else np.flatnonzero(~stop)
-    kept, own = (at, slice(None)) if last_only else (slice(None), at)
-    since, value = (place - start)[kept], state[kept].astype(np.uint64) + np.uint64(1)
+    size, last = len(codes), len(_KIND) - 1
+    stop, blank = codes == 0, codes == 10
+    stops = np.flatnonzero(stop)
+    starts = np.r_[0, stops[:-1] + 1]
+    heads = np.union1d(starts, np.flatnonzero(blank[:-1]) + 1)  # of lines
+    blanks = np.flatnonzero(blank | (codes == 32))
+    text, line = np.diff(starts, append=size), np.diff(heads, append=size)
+    place = np.arange(size, dtype=np.int32)
+
+    def is_odd(flags: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For each bit of ``flags``, whether it is set an odd number of times since the text or line began."""
+        total = np.bitwise_xor.accumulate(flags)
+        return total ^ np.repeat((total ^ flags)[begin], lengths)
+
+    tick = codes == 96
+    third = np.flatnonzero(tick[2:] & tick[1:-1] & tick[:-2]) + 2
+    fence = np.zeros(size, np.uint8)
+    fence[third[(third < 3) | ~tick[third - 3]]] = 1
+    step = (codes == 40).view(np.int8) - (codes == 41).view(np.int8)
+    depth = np.cumsum(step, dtype=np.int32)
+    inside = depth > np.repeat((depth - step)[heads], line)
+    bare = place < np.repeat(np.r_[blanks, size][np.searchsorted(blanks, starts)].astype(np.int32), text)
+    marked = np.isin(codes[heads], (45, 42, 43, 0x2022)) & (codes[np.minimum(heads + 1, size - 1)] == 32)
+    listed = place > np.repeat(np.where(marked, heads + 1, size).astype(np.int32), line)
+    state = is_odd(tick.view(np.uint8) << 2 | (codes == 34).view(np.uint8) << 3, heads, line)
+    state |= listed.view(np.uint8) << 1 | inside.view(np.uint8) << 4 | bare.view(np.uint8) << 5
+    if fence.any():
+        state |= is_odd(fence, starts, text)
+    kind = _KIND[codes] if codes.max() <= last else np.where(codes <= last, _KIND[np.minimum(codes, last)], codes)
+    digit = kind == 48
+    kind[2:][digit[2:] & digit[1:-1] & digit[:-2]] = 49  # longer numbers are no parts of versions
+    lower = codes + ((kind == 65).view(np.uint8) << 5)
+    at = stops[stops > 0] - 1
+    at = at[~stop[at]] if last_only else np.flatnonzero(~stop)
+    value = state.astype(np.uint64) + np.uint64(1)
     found = []
     for symbols, sizes, buckets in ((kind, END_CLASSES, CLASS_BUCKETS), (lower, (END_CHARS,), END_BUCKETS)):
-        mixed = value
+        mixed, symbol = value.copy(), symbols.astype(np.uint64)
         for k in range(max(sizes)):
-            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + back(symbols, k)[kept] * (since >= k)
+            if k:
+                symbol[1:] = symbol[:-1]
+                symbol[starts] = 0
+            mixed *= np.uint64(0x9E3779B97F4A7C15)
+            mixed += symbol
             if k + 1 in sizes:
-                hashed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                found.append(((hashed[own] >> np.uint64(32)) & np.uint64(buckets - 1)).astype(np.int64))
-    return found, stop[at + 1], (bits[1] | bits[2] | bits[5])[at] != 0
+                hashed = mixed[at]
+                hashed ^= hashed >> np.uint64(31)
+                hashed *= np.uint64(0xBF58476D1CE4E5B9)
+                found.append(((hashed >> np.uint64(32)) & np.uint64(buckets - 1)).view(np.int64))
+    return found, stop[at + 1], (state & 0b100110)[at] != 0
 
 
 class Ends:
@@ -241,11 +262,11 @@ def fit_ends(asks: DataFrame, documents: DataFrame) -> Ends:
         held = [(np.zeros(n, np.int32), np.zeros(n, np.int32)) for n in sizes]
         for batch in batches:
             texts = [_ending(block) for text, whole in zip(batch["text"], batch["whole"]) for block in ([text] if whole else _blocks(text))]
-            for start, stop in chunks(texts):
+            for start, stop in chunks(texts, 1 << 16):  # its arrays fit into a core's cache
                 contexts, end, _ = _end_contexts(texts[start:stop], False)
                 for bucket, (ends, seen) in zip(contexts, held):
-                    ends += np.bincount(bucket[end], minlength=len(ends)).astype(np.int32)
-                    seen += np.bincount(bucket, minlength=len(seen)).astype(np.int32)
+                    np.add.at(ends, bucket[end], np.int32(1))
+                    np.add.at(seen, bucket, np.int32(1))
         for level, (ends, seen) in enumerate(held):
             bucket = np.flatnonzero(seen)
             yield pd.DataFrame({"level": level, "bucket": bucket, "ends": ends[bucket], "seen": seen[bucket]})
@@ -264,7 +285,9 @@ _MORE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "….
 
 def _ending(answer: str) -> str:
     """The text up to its end, which is before dots that stand for more and marks that open something; numbered items as dashes."""
-    text = _NUMBER.sub("-", visible(answer).replace("\0", " ").replace("\r\n", "\n"))
+    text = visible(answer).replace("\0", " ").replace("\r\n", "\n")
+    if "\n" in text or text[:1].isdecimal():
+        text = _NUMBER.sub("-", text)
     return text[: _MORE.search(text, len(text.rstrip(_MORE_CHARS))).start()] or "."
 
 
@@ -295,25 +318,32 @@ class NaiveBayes:
         """One row a text, even where nothing is known."""
         found = np.full((len(texts), len(LANGUAGES)), 1 / len(LANGUAGES))
         for start, stop in chunks(texts):
-            gram, owner = ngrams(texts[start:stop], SIZES)
-            if not len(gram):
+            held = [text.split() for text in texts[start:stop]]
+            code, words = pd.factorize(np.array([word for own in held for word in own], object))
+            if not len(words):
                 continue
+            gram, owner = ngrams(words, SIZES)
             order = np.argsort(owner, kind="stable")
-            gram, owner = gram[order], owner[order]
-            begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            score = np.add.reduceat(self.weights[(gram % np.uint64(BUCKETS)).astype(np.int64)], begin, axis=0)
+            of_word = np.add.reduceat(self.weights[(gram[order] % np.uint64(BUCKETS)).astype(np.int64)], np.flatnonzero(np.diff(owner[order], prepend=-1)), axis=0, dtype=np.float64)
+            sizes = np.array([len(own) for own in held])
+            own = np.flatnonzero(sizes)
+            score = np.add.reduceat(of_word[code], (np.cumsum(sizes) - sizes)[own], axis=0)
             score = np.exp(score - score.max(axis=1, keepdims=True))
-            found[start + owner[begin]] = score / score.sum(axis=1, keepdims=True)
+            found[start + own] = score / score.sum(axis=1, keepdims=True)
         return found
 
 
-def _task_counts(found: Iterator[tuple[str, list[str]]]) -> Iterator[pd.DataFrame]:
-    """Counts by bucket of the n-grams of texts of a language, over a whole task: at most BUCKETS rows a language."""
+def _task_counts(found: Iterator[tuple[str, Counter[str]]]) -> Iterator[pd.DataFrame]:
+    """Counts by bucket of the n-grams of a language's words, over a whole task: at most BUCKETS rows a language.
+
+    No n-gram spans two words, so those of each distinct word are taken once and count as often as the word does.
+    """
     held: dict[str, np.ndarray] = {}
-    for language, texts in found:
-        gram, _ = ngrams(texts, SIZES)
+    for language, words in found:
+        gram, owner = ngrams(list(words), SIZES)
+        times = np.fromiter(words.values(), np.float64, len(words))[owner]
         counts = held.setdefault(language, np.zeros(BUCKETS, np.int64))
-        counts += np.bincount((gram % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        counts += np.bincount((gram % np.uint64(BUCKETS)).astype(np.int64), times, BUCKETS).astype(np.int64)
     for language, counts in held.items():
         gram = np.flatnonzero(counts)
         yield pd.DataFrame({"language": language, "gram": gram, "n": counts[gram]})
@@ -330,13 +360,13 @@ def _collected(texts: DataFrame, count: Callable[[Iterator[pd.DataFrame]], Itera
 def fit_answers(documents: DataFrame) -> NaiveBayes:
     """The model of answers, from all documents with a label."""
 
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[str]]]:
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, Counter[str]]]:
         for batch in batches:
             for language, group in batch.groupby("language"):
                 for start, stop in chunks(whole := list(group["text"])):
-                    yield language, [letters(s) for t in whole[start:stop] for s in sentences(without_names(without_code(t)))]
+                    yield language, prose_words(map(without_code, whole[start:stop]))
 
-    return NaiveBayes(_collected(labelled(documents).select("language", "text"), lambda batches: _task_counts(texts(batches))))
+    return NaiveBayes(_collected(labelled(documents).select("language", "text"), lambda batches: _task_counts(words(batches))))
 
 
 def fit_questions(asks: DataFrame, answers: NaiveBayes) -> NaiveBayes:
@@ -344,19 +374,19 @@ def fit_questions(asks: DataFrame, answers: NaiveBayes) -> NaiveBayes:
     answer where that is clear. Questions use words that documents lack, and few are answered in another language."""
     shared = asks.sparkSession.sparkContext.broadcast(answers)
 
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[str]]]:
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, Counter[str]]]:
         for batch in batches:
             for start, stop in chunks(list(batch["answer"])):
-                part = batch.iloc[start:stop]
-                said = [_said(a, q) for q, a in zip(part["question"], part["answer"])]
+                questions, answers = (list(batch[c].iloc[start:stop]) for c in ("question", "answer"))
+                said = [_said(a, q) for q, a in zip(questions, answers)]
                 likely = shared.value.posteriors(said)
                 best = likely.argmax(axis=1)
                 clear = (likely.max(axis=1) > 0.999) & np.array([_letters(x) >= 40 for x in said], bool)
                 for k in np.unique(best[clear]):
-                    yield LANGUAGES[k], [_asked(part["question"].iloc[j])[0] for j in np.flatnonzero(clear & (best == k))]
+                    yield LANGUAGES[k], Counter(word for j in np.flatnonzero(clear & (best == k)) for word in _asked(questions[j])[0].split())
 
     known = asks.where(F.col("answer").isNotNull() & F.col("question").isNotNull()).select("question", "answer")
-    return NaiveBayes(answers.counts + _collected(known, lambda batches: _task_counts(texts(batches))))
+    return NaiveBayes(answers.counts + _collected(known, lambda batches: _task_counts(words(batches))))
 
 
 def _asked(question: str) -> tuple[str, set[str]]:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -16,10 +18,11 @@ _LINK = re.compile(r"\b(?:https?://|www\.)\S+")
 _IDENTIFIER = re.compile(  # the first look ahead passes over plain words at once
     r"(?<![A-Za-z0-9_])(?=[A-Z]?[a-z]*+[A-Z0-9_./:\\@-])(?=[A-Za-z0-9_]*(?:[._/:\\@-]+[A-Za-z0-9_]|[0-9]|[a-z][A-Z]))[A-Za-z0-9_]+(?:[._/:\\@-]+[A-Za-z0-9_]+)*|\d+"
 )
-_CODE_LINE = re.compile(
-    r"(?m)^[ \t]*(?:\$ |#!|//|/\*|\*/|@\w|(?:def|class|public|private|protected|static|final|import|return)\b|from \S+ import\b|(?:SELECT|FROM|WHERE|GROUP BY|ORDER BY|INSERT|UPDATE|DELETE)\b"
-    r"|(?:if|for|while|switch) ?\(|[{}\[\]]|\"[^\"\n]*\"[ \t]*:).*$|^.*[;{}][ \t]*$"
+_CODE_LINE = re.compile(  # matched at the start of a line; lines that end with _CODE_ENDS are code, too
+    r"[ \t]*(?:\$ |#!|//|/\*|\*/|@\w|(?:def|class|public|private|protected|static|final|import|return)\b|from \S+ import\b|(?:SELECT|FROM|WHERE|GROUP BY|ORDER BY|INSERT|UPDATE|DELETE)\b"
+    r"|(?:if|for|while|switch) ?\(|[{}\[\]]|\"[^\"\n]*\"[ \t]*:)"
 )
+_CODE_ENDS = (";", "{", "}")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[。！？])|\n+")
 _INVISIBLE = re.compile(r"[­͏ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯⠀ㅤ︀-️﻿ﾠ]")
@@ -31,7 +34,7 @@ def visible(text: str) -> str:
 
 
 #: Patterns of what is no prose, each with marks of which one must stand in the text.
-_NO_PROSE = ((_FENCED, ("```", "~~~")), (_SPAN, ("`",)), (_TAG, ("<",)), (_LINK, ("://", "www.")), (_CODE_LINE, ("",)))
+_NO_PROSE = ((_FENCED, ("```", "~~~")), (_SPAN, ("`",)), (_TAG, ("<",)), (_LINK, ("://", "www.")))
 
 
 def without_code(text: str) -> str:
@@ -42,7 +45,7 @@ def without_code(text: str) -> str:
     for pattern, marks in _NO_PROSE:
         if any(mark in text for mark in marks):
             text = pattern.sub(" ", text)
-    return text
+    return "\n".join([" " if _CODE_LINE.match(line) or line.rstrip(" \t").endswith(_CODE_ENDS) else line for line in text.split("\n")])
 
 
 _WRAP = regex.compile(r"(?<=[\p{L},;:'’\"-])[ \t]*\n[ \t]*(?:>[ \t]*)*(?=\p{Ll})")
@@ -58,6 +61,17 @@ def sentences(text: str) -> list[str]:
     return [piece for piece in _SENTENCE.split(text) if piece and not piece.isspace()]
 
 
+def each_sentence(text: str) -> Iterator[str]:
+    """``sentences``, each found when it is asked for."""
+    start = 0
+    for match in _SENTENCE.finditer(text):
+        if (piece := text[start : match.start()]) and not piece.isspace():
+            yield piece
+        start = match.end()
+    if (piece := text[start:]) and not piece.isspace():
+        yield piece
+
+
 _WHOLE = re.compile(r"[.!?…:。！？][\"'»”’)\]*_ ]*$")
 _WORD = re.compile(r"[^\W\d_]+")
 _KANA = re.compile(r"[぀-鿿]")
@@ -81,9 +95,32 @@ def letters(text: str) -> str:
     return " ".join(_LETTERS.findall(text)).lower()
 
 
+def _token_prose(token: str) -> str:
+    return letters(without_names(token))
+
+
+_known_prose = lru_cache(1 << 16)(_token_prose)
+
+
 def prose(text: str) -> str:
-    """The words of natural language, lower case, one space apart; identifiers and numbers are left out."""
-    return letters(without_names(text))
+    """The words of natural language, lower case, one space apart; identifiers and numbers are left out.
+
+    Neither a word nor an identifier goes beyond a blank, so what stands between blanks is judged by itself, and once.
+    """
+    return " ".join(filter(None, [_known_prose(t) if len(t) <= 40 else _token_prose(t) for t in text.split()]))
+
+
+def prose_words(texts: Iterable[str]) -> Counter[str]:
+    """How often each word of ``prose`` is in ``texts``."""
+    tokens: Counter[str] = Counter()
+    for text in texts:
+        tokens.update(text.split())
+    found: Counter[str] = Counter()
+    for token, n in tokens.items():
+        for word in _token_prose(token).split(" "):
+            found[word] += n
+    del found[""]
+    return found
 
 
 def chunks(texts: Sequence[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:

@@ -1,6 +1,7 @@
 import base64
 import random
 import re
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -14,7 +15,7 @@ from graphloom.llm.encode import PATTERN, TOKENIZERS, VOCABULARY, Encoder, Vocab
 from graphloom.llm.languages import label_language  # noqa: E402
 from graphloom.llm.leakage import WORDS, Patterns, leaks, words  # noqa: E402
 from graphloom.llm.segments import LANGUAGES, fit_profiles, language_segments, mislabelled  # noqa: E402
-from graphloom.llm.text import is_sentence, ngrams, prose, sentences, unwrapped, without_code  # noqa: E402
+from graphloom.llm.text import each_sentence, is_sentence, letters, ngrams, prose, prose_words, sentences, unwrapped, without_code, without_names  # noqa: E402
 
 DATA = Path("/root/testdata/sf0.01")
 needs_data = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -283,3 +284,65 @@ def test_pair_models_count_every_row(spark):
     assert answering.counts.max() % 1400 == 0
     asks = spark.range(21000).selectExpr("id AS ask_id", "'Why zzzz?' AS question", f"'{EN}' AS answer")
     assert (pairs.fit_questions(asks, answering).counts - answering.counts).max() % 21000 == 0
+
+
+ODD = [
+    "The `x` Foo.bar MetricBridge said 3 things. The end!\tIt's İstanbul, ΟΔΟΣ ΟΔΟΣ.a x²y\u00a0z\x85w", "日本語です。つぎ！ one\u3000two…) three", "", " \n ", "a" * 50 + ".b", "e\u0301 a\u00adb", "im Jahr 2024,das/ist x_y __init__ a-b c--d 4.5.6",
+    "x = 1;\nSay it; then go\n  return y\n}\n if (a)\n\"k\" : 1\nreturned\nend {  \n\n[1]\rimport os\r\nlast",
+]
+
+
+def test_words_are_counted_as_in_sentences():
+    texts = [without_code(t) for t in ODD]
+    assert texts[-1] == "\n".join([" ", "Say it; then go", " ", " ", " ", " ", "returned", " ", "", " ", " ", "last"])
+    pieces = [letters(s) for t in texts for s in sentences(without_names(t))]
+    assert prose_words(texts) == Counter(w for p in pieces for w in p.split())
+    assert [prose(t).split() for t in texts] == [letters(without_names(t)).split() for t in texts]
+    assert [list(each_sentence(t)) for t in ODD] == [sentences(t) for t in ODD]
+    gram, _ = ngrams(pieces * 3, pairs.SIZES)
+    wanted = np.bincount((gram % np.uint64(pairs.BUCKETS)).astype(np.int64), minlength=pairs.BUCKETS)
+    found = next(pairs._task_counts(iter([("en", prose_words(texts)), ("en", prose_words(texts * 2))])))
+    assert found["gram"].tolist() == np.flatnonzero(wanted).tolist() and found["n"].tolist() == wanted[wanted > 0].tolist()
+
+
+def test_the_words_of_many_texts_are_scored_once(monkeypatch):
+    model, seen = pairs.NaiveBayes(np.random.default_rng(1).integers(0, 9, (pairs.BUCKETS, len(LANGUAGES)))), []
+    one = model.posteriors([prose(EN), "", "zz"])
+    monkeypatch.setattr(pairs, "ngrams", lambda texts, sizes: seen.extend(texts) or ngrams(texts, sizes))
+    assert np.array_equal(model.posteriors([prose(EN), "", "zz"] * 1000), np.tile(one, (1000, 1)))
+    assert sorted(seen) == sorted({*prose(EN).split(), "zz"})
+    gram, _ = ngrams([prose(EN)], pairs.SIZES)
+    score = model.weights[(gram % np.uint64(pairs.BUCKETS)).astype(np.int64)].sum(axis=0, dtype=np.float64)
+    assert np.allclose(one[0], np.exp(score - score.max()) / np.exp(score - score.max()).sum())
+
+
+def plain_contexts(text):
+    """Of each character: the buckets of its contexts, and whether names may stand there."""
+    kinds = [97 if 97 <= c <= 122 or 0xC0 <= c < 0x2000 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 0x3040 if 0x3040 <= c < 0xA000 else c for c in map(ord, text)]
+    classes = [49 if kinds[max(k - 2, 0) : k + 1] == [48] * 3 else c for k, c in enumerate(kinds)]
+    lower = [ord(c) + 32 if "A" <= c <= "Z" else ord(c) for c in text]
+    for k in range(len(text)):
+        head = text.rfind("\n", 0, k) + 1
+        line = text[head : k + 1]
+        fences = sum(text[j - 2 : j + 1] == "```" and text[j - 3 : j - 2] != "`" for j in range(2, k + 1))
+        listed, bare = text[head] in "-*+•" and text[head + 1 : head + 2] == " " and k > head + 1, not re.search("[ \n]", text[: k + 1])
+        state = fences % 2 | listed << 1 | line.count("`") % 2 << 2 | line.count('"') % 2 << 3 | (line.count("(") > line.count(")")) << 4 | bare << 5
+        buckets = []
+        for symbols, sizes, size in ((classes, pairs.END_CLASSES, pairs.CLASS_BUCKETS), (lower, (pairs.END_CHARS,), pairs.END_BUCKETS)):
+            for n in sizes:
+                mixed = state + 1
+                for j in range(n):
+                    mixed = (mixed * 0x9E3779B97F4A7C15 + (symbols[k - j] if j <= k else 0)) % 2**64
+                buckets.append(((mixed ^ mixed >> 31) * 0xBF58476D1CE4E5B9 % 2**64 >> 32) % size)
+        yield buckets, k + 1 == len(text), bool(listed or line.count("`") % 2 or bare)
+
+
+def test_contexts_are_those_of_each_text():
+    draw = random.Random(4)
+    texts = ["```a\n```\n\n- b (c\n* d) 1234", "-", "- ", "````x", "``", "A1b22C333", "\n", '"\n"', "\U0001f600é日ア"]
+    texts += ["".join(draw.choice('aBé012 \n``"()-•*+日') for _ in range(draw.randint(1, 40))) for _ in range(150)]
+    plain = [list(plain_contexts(t)) for t in texts]
+    for last_only in (False, True):
+        contexts, end, named = pairs._end_contexts(texts, last_only)
+        found = [(list(b), e, n) for *b, e, n in zip(*(x.tolist() for x in (*contexts, end, named)))]
+        assert found == [x for own in plain for x in (own[-1:] if last_only else own)]
