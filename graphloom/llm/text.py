@@ -96,6 +96,8 @@ def letters(text: str) -> str:
 
 
 def _token_prose(token: str) -> str:
+    if token.isalpha() and token[1:].islower():  # a plain word, as most are
+        return token.lower()
     return letters(without_names(token))
 
 
@@ -115,12 +117,11 @@ def prose_words(texts: Iterable[str]) -> Counter[str]:
     tokens: Counter[str] = Counter()
     for text in texts:
         tokens.update(text.split())
-    found: Counter[str] = Counter()
+    found: dict[str, int] = {}
     for token, n in tokens.items():
-        for word in _token_prose(token).split(" "):
-            found[word] += n
-    del found[""]
-    return found
+        for word in _token_prose(token).split():
+            found[word] = found.get(word, 0) + n
+    return Counter(found)
 
 
 def chunks(texts: Sequence[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
