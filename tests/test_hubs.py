@@ -10,7 +10,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import hubs as H
 from graphloom.operators import security as X
 from graphloom.operators import semantics as P
-from graphloom.plans import analysis_queries, graph_queries
+from graphloom.plans import analysis_queries, graph_queries, semantic_queries
 
 
 def _links(seed):
@@ -124,3 +124,29 @@ def test_taint_is_not_walked_from_every_project(spark, monkeypatch):
     monkeypatch.setattr(G, "paths_from", no)
     monkeypatch.setattr(analysis_queries, "paths_from", no, raising=False)
     assert analysis_queries.taint_paths(spark, folder).count() > 0
+
+
+@pytest.mark.parametrize("name, most", [
+    ("graph_related", 0.5),
+])
+def test_pairs_by_way_of_a_hub_take_little_space(spark, monkeypatch, tmp_path, name, most):
+    """Bytes a row, as Spark writes them: 1,500 nodes before a hub and 1,500 behind it."""
+    number = lambda k: F.pmod(F.xxhash64(k), F.lit(2**48))
+    ways = spark.range(3000).select(F.when(F.col("id") < 1500, number("id")).otherwise(7).alias("source"), F.when(F.col("id") < 1500, 7).otherwise(number("id")).cast("long").alias("target"))
+    links = ways.select("source", "target", F.lit("depends_on").alias("relation"), F.array(F.lit("workspace.projects:module_of")).alias("evidence"))
+    every = links.select(F.explode(F.array("source", "target")).alias("id")).distinct().select("id", F.lit("x").alias("name"), (F.col("id") % 5).alias("area"))
+    for plans in (graph_queries, analysis_queries, semantic_queries):
+        monkeypatch.setattr(plans, "trade", lambda *_: links)
+        monkeypatch.setattr(plans, "projects", lambda *_: every, raising=False)
+    query = next(plans.QUERIES[name] for plans in (graph_queries, analysis_queries, semantic_queries) if name in plans.QUERIES)
+    query(spark, "").write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).count()
+    assert rows >= 1500 * 1500
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < most * rows
+
+
+def test_many_distances_are_not_made_for_each_node(spark, monkeypatch, rows):
+    monkeypatch.setattr(H, "_LEVELS", 3)
+    links = spark.createDataFrame([(k, k + 1) for k in range(8)] + [(20, 8), (21, 8), (8, 30), (8, 31), (10, 3), (9, 10)], "source long, target long")
+    roots = spark.range(35).select(F.col("id").alias("root"))
+    assert rows(H.reach(links, roots, "by_cycle")) == rows(G.reachable(links, roots, "by_cycle"))
