@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -112,13 +113,16 @@ def _one_relation(legal: DataFrame) -> str | None:
     return found[0]["relation"] if len(found) == 1 else None
 
 
-def spread(legal: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:
-    """``(root, node, hops, weakest)`` of ``propagate``. Links of one relation are all as strong, so the distance tells the rest."""
+def spread(legal: DataFrame, roots: DataFrame, depth: int = 4, told: Callable[[Column, Column, Column], dict[str, Column]] | None = None) -> DataFrame:
+    """``(root, node, hops, weakest)`` of ``propagate``, or, with ``told``, the columns that it makes of node, hops and weakest instead of the last two.
+    Links of one relation are all as strong, so the distance tells the rest, and what it tells is made once for a node and distance."""
+    told = told or (lambda node, hops, weakest: {"hops": hops, "weakest": weakest})
     relation = _one_relation(legal)
     if relation is None:
-        return propagate(legal, roots, depth).select("root", "node", "hops", "weakest")
-    found = reach(reversed_edges(legal), roots, "never", depth)
-    return found.where("depth > 0").select("root", "node", F.col("depth").alias("hops"), _valued(F.lit(relation), STRENGTH).alias("weakest"))
+        own = told(F.col("node"), F.col("hops"), F.col("weakest"))
+        return propagate(legal, roots, depth).select("root", "node", *(c.alias(name) for name, c in own.items()))
+    own = told(F.col("node"), F.col("depth"), _valued(F.lit(relation), STRENGTH))
+    return reach(reversed_edges(legal), roots, "never", depth, told=own).select("root", "node", *own)
 
 
 def spread_confidence(legal: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import hubs as H
@@ -26,9 +26,11 @@ def _legal(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def impact_findings(spark: SparkSession, folder: str) -> DataFrame:
-    found = I.spread(*_legal(spark, folder), 4).where("root <> node")
-    seen = F.when(F.col("node") % 3 == 0, "public").when(F.col("node") % 3 == 1, "private")
-    return found.select("root", "node", "hops", I.impact_score(F.col("weakest"), F.col("hops"), I.exposure(seen)).alias("score"), F.when(F.col("hops") == 1, "direct").otherwise("transitive").alias("reach"))
+    def told(node: Column, hops: Column, weakest: Column) -> dict[str, Column]:
+        seen = F.when(node % 3 == 0, "public").when(node % 3 == 1, "private")
+        return {"hops": hops, "score": I.impact_score(weakest, hops, I.exposure(seen)), "reach": F.when(hops == 1, "direct").otherwise("transitive")}
+
+    return I.spread(*_legal(spark, folder), 4, told).where("root <> node")
 
 
 def impact_confidence(spark: SparkSession, folder: str) -> DataFrame:
