@@ -131,8 +131,12 @@ def spread_confidence(legal: DataFrame, roots: DataFrame, depth: int = 4) -> Dat
     if relation is None:
         return path_confidence(propagate(legal, roots, depth)).drop("path")
     steps = F.array_repeat(F.struct(F.lit(relation).alias("relation")), F.col("hops"))
-    values = path_confidence(legal.sparkSession.range(1, depth + 1, 1, 1).select(F.col("id").cast("int").alias("hops")).withColumn("path", steps)).drop("path")
-    return spread(legal, roots, depth).join(F.broadcast(values), "hops")  # a row for each distance
+    values = path_confidence(legal.sparkSession.range(1, depth + 1, 1, 1).select(F.col("id").cast("int").alias("hops")).withColumn("path", steps)).collect()
+
+    def of(hops: Column, name: str, kind: str) -> Column:
+        return F.element_at(F.array(*(F.lit(r[name]) for r in sorted(values))).cast(f"array<{kind}>"), hops)
+
+    return spread(legal, roots, depth, lambda node, hops, weakest: {"hops": hops, "weakest": weakest, "confidence": of(hops, "confidence", "double"), "tier": of(hops, "tier", "string")})
 
 
 def impact_score(weakest: Column, hops: Column, exposure: Column) -> Column:
