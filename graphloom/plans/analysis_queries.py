@@ -21,7 +21,7 @@ def _projects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _legal(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    every, links = _projects(spark, folder), checkpoint(trade(spark, folder))
+    every, links = checkpoint(_projects(spark, folder).select("id", "kind")), checkpoint(trade(spark, folder))
     return I.legal_edges(every, links, "signature"), every.select(F.col("id").alias("root"))
 
 
